@@ -115,6 +115,11 @@ def unplanes(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def spans(starts: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+    """Start and end of each run, given the starts and the number of all values."""
+    return zip(starts.tolist(), [*starts[1:].tolist(), n] if len(starts) else [], strict=True)
+
+
 def ascii_lower(c):
     return F.translate(c, UPPER, LOWER)
 
