@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .embedding_dedup import near_vectors
 from .exact_dedup import exact_dedup
 from .mixing import mix_rates
 from .ngram_join import jaccard_components
 from .packing import pack
+from .quality import classify
 from .substring_dedup import remove_repeats
 from .token_files import token_round_trip
 from .url_filter import judge
@@ -44,11 +46,19 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_ngram_join, op3_mixing, op4_packing, op5_exact_dedup, op6_token_files, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_ngram_join, op3_mixing, op4_packing, op5_exact_dedup, op6_token_files, op7_embedding_dedup, op8_quality, op10_substring_dedup)}
 
 SQL: dict[str, str] = {
     "op3_mixing": r"""
