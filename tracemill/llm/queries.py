@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .embedding_dedup import near_vectors
 from .exact_dedup import exact_dedup
+from .lm_scoring import score_by_difference
 from .mixing import mix_rates
 from .ngram_join import jaccard_components
 from .packing import pack
@@ -54,11 +55,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
+    return score_by_difference(docs, docs.join(good, F.col("doc_id") == F.col("good_id"), "left_semi"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_ngram_join, op3_mixing, op4_packing, op5_exact_dedup, op6_token_files, op7_embedding_dedup, op8_quality, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_ngram_join, op3_mixing, op4_packing, op5_exact_dedup, op6_token_files, op7_embedding_dedup, op8_quality, op9_lm_scoring, op10_substring_dedup)}
 
 SQL: dict[str, str] = {
     "op3_mixing": r"""
