@@ -59,10 +59,10 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         start = end
 
 
-def words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts in one array, and the first word's index of each text (one more at the end)."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    lists = pc.ascii_split_whitespace(texts)
     flat, starts = lists.flatten(), np.asarray(lists.offsets, dtype=np.int64)
     starts = starts - starts[0]
     full = np.asarray(pc.greater(pc.binary_length(flat), 0))
@@ -73,12 +73,15 @@ def words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
 
 
 def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of every word, computed once for each different word, and the starts as in words()."""
-    flat, starts = words(texts, lower)
+    """Two 64-bit hashes of every word, computed once for each different word, and the starts as in words().
+
+    lower: of words with A-Z lower-cased (as bytes).
+    """
+    flat, starts = words(texts)
     coded = flat.dictionary_encode()
     both = np.empty((len(coded.dictionary), 2), dtype=np.uint64)
-    for i, w in enumerate(coded.dictionary.to_pylist()):
-        h = xxhash.xxh3_128_intdigest(w.encode("utf-8", "surrogatepass"))
+    for i, w in enumerate(coded.dictionary.cast(pa.large_binary()).to_pylist()):
+        h = xxhash.xxh3_128_intdigest(w.lower() if lower else w)
         both[i, 0], both[i, 1] = h & 0xFFFFFFFFFFFFFFFF, h >> 64
     at = np.asarray(coded.indices)
     return both[at, 0], both[at, 1], starts
