@@ -12,9 +12,11 @@ coordinates. So a leaf is the points with equal coordinates in a block, and a pr
 under three shingles say little and are not indexed; where the agreeing blocks of a link could all be such (short
 texts), more forests with other hashes are kept, until the chance of that is under MISS for each link.
 
-A leaf's points are compared with its smallest alone (all pairs in a leaf of four or fewer), verified links are joined
-into components, and only leaves whose points are in several components get their remaining pairs compared. So no link
-between components is lost, and groups of copies never emit all their pairs. Points are distinct sets: copies collapse.
+A leaf's points are compared with its smallest alone (all pairs in a leaf of four or fewer), and verified links are
+joined into components. Leaves whose points are then in several components are opened: their points, gathered into
+clusters, are dealt into pages by size and hash, and pairs of pages are compared in one task each, which emits a
+spanning forest of the links that it finds and never a pair that is no link. So no link between components is lost,
+and no group emits all of its pairs. Points are distinct sets: copies collapse before anything is compared.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ GROUPS = 64
 #: compared all with all, points of a leaf that a task ships before it keeps its smallest alone, entries held by a task.
 LEAST, MISS, SMALL_LEAF, LOCAL_LEAF, FLUSH = 3, 1e-6, 4, 64, 1_500_000
 SHARD_BYTES = 6 << 20
+#: Points of a page.
+PAGE = 384
 ENTRY, PAIR, MEMBER = 0, 1, 2
 
 SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("counts", pa.binary())])
@@ -309,18 +313,97 @@ def verified(num: int, den: int):
     return run
 
 
-def links(pairs: DataFrame, points: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def links(pairs: DataFrame, points: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of different sets that reach the threshold, of those given."""
     side = lambda s: points.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("counts").alias(f"c{s}"))
-    near = stage_table(pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(within_bound(num, den), "a long, b long"), "near")
-    need = near.select(F.col("a").alias("sid")).union(near.select("b")).distinct()
-    rows = points.join(need, "sid").select(F.col("rep").alias("id_")).distinct()
-    texts = docs.join(rows, F.col("id").eqNullSafe(F.col("id_")), "left_semi").select("text")
-    sets = texts.mapInArrow(named_sets(width), "sid long, shingles binary").dropDuplicates(["sid"])
+    near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(within_bound(num, den), "a long, b long")
     of = lambda s: sets.select(F.col("sid").alias(s), F.col("shingles").alias(f"s{s}"))
     return near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(verified(num, den), "a long, b long")
 
 
+def set_table(need: DataFrame, points: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The shingles of the points named."""
+    rows = points.join(need, "sid").select(F.col("rep").alias("id_")).distinct()
+    texts = docs.join(rows, F.col("id").eqNullSafe(F.col("id_")), "left_semi").select("text")
+    return stage_table(texts.mapInArrow(named_sets(width), "sid long, shingles binary").dropDuplicates(["sid"]), "sets")
+
+
+def compared(num: int, den: int):
+    """Of one pair of pages: a spanning forest of the links between points of different components."""
+
+    def run(key: tuple, page: pa.Table) -> pa.Table:
+        low, i, j = (k.as_py() for k in key[1:])
+        names, band, chunk = (np.asarray(page[c]) for c in ("sid", "band", "chunk"))
+        sets = [np.cumsum(unplanes(x, 6), dtype=np.uint64) for x in page["shingles"].to_pylist()]
+        n = np.array([len(x) for x in sets], dtype=np.int64)
+        counts = np.stack([np.bincount((x >> np.uint64(42)).astype(np.int64), minlength=GROUPS) for x in sets]).astype(np.int32)
+        part = np.unique(np.asarray(page["component"]), return_inverse=True)[1]
+        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        edges: list[tuple[int, int]] = []
+        for at in range(0, len(left), 128):
+            x = left[at : at + 128]
+            both = n[x][:, None] + n[right][None, :]
+            ok = (part[x][:, None] != part[right][None, :]) & (np.minimum(band[x][:, None], band[right][None, :]) == low)
+            if i == j:
+                ok &= x[:, None] < right[None, :]
+            ok &= np.minimum(n[x][:, None], n[right][None, :]) * den >= np.maximum(n[x][:, None], n[right][None, :]) * num
+            if not ok.any():
+                continue
+            bound = np.zeros(ok.shape, dtype=np.int32)
+            for g in range(GROUPS):
+                bound += np.minimum(counts[x, g][:, None], counts[right, g][None, :])
+            ok &= bound.astype(np.int64) * (den + num) >= num * both
+            rows, cols = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
+            if not len(rows):
+                continue
+            common = overlaps([sets[k] for k in x[rows]], [sets[k] for k in right[cols]])
+            linked = ok[np.ix_(rows, cols)] & (common * (den + num) >= num * both[np.ix_(rows, cols)])
+            for r, c in zip(*np.nonzero(linked), strict=True):
+                u, v = x[rows[r]], right[cols[c]]
+                if part[u] != part[v]:
+                    edges.append((int(names[u]), int(names[v])))
+                    part[part == part[v]] = part[u]
+        return pa.table([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of two lists of ascending arrays, by products of their incidence matrices."""
+    shared = np.intersect1d(np.concatenate(xs), np.concatenate(ys))
+    out = np.zeros((len(xs), len(ys)), dtype=np.float64)
+    where = lambda sets: (np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets))
+    (rx, vx), (ry, vy) = where(xs), where(ys)
+    for at in range(0, len(shared), step):
+        part = shared[at : at + step]
+        a, b = np.zeros((len(xs), len(part)), dtype=np.float32), np.zeros((len(ys), len(part)), dtype=np.float32)
+        for m, r, v in ((a, rx, vx), (b, ry, vy)):
+            own = (v >= part[0]) & (v <= part[-1])
+            k = np.searchsorted(part, v[own])
+            hit = part[k] == v[own]
+            m[r[own][hit], k[hit]] = 1
+        out += a @ b.T
+    return out.astype(np.int64)
+
+
+def opened(members: DataFrame, joined: DataFrame, points: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between components among the points of leaves that hold several."""
+    placed = members.join(joined, F.col("sid") == F.col("node"), "left").select("leaf", "sid", F.coalesce("component", "sid").alias("component"))
+    leaf = placed.groupBy("leaf").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("sid").alias("first")).where("low < high")
+    rows = stage_table(placed.join(leaf.select("leaf", "first"), "leaf").select("sid", "component", "first").distinct(), "open")
+    if rows.isEmpty():
+        return rows.select(F.col("sid").alias("a"), F.col("first").alias("b"))
+    cluster = components(rows.select(F.col("sid").alias("a"), F.col("first").alias("b")))
+    width = math.log(den / num) * 1.0001  # so that sizes of a link lie in one band or in two neighbours
+    points_ = rows.select("sid", "component").distinct().join(cluster.select(F.col("node").alias("sid"), F.col("component").alias("cluster")), "sid").join(points.select("sid", "n"), "sid")
+    points_ = points_.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
+    size = points_.groupBy("cluster").agg(F.ceil(F.count("*") / PAGE).cast("int").alias("chunks"))
+    dealt = points_.join(size, "cluster").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("low", F.explode(F.array(F.col("band") - 1, F.col("band"))))
+    dealt = dealt.select("cluster", "low", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "sid", "band", "chunk", "component").join(sets, "sid")
+    return dealt.groupBy("cluster", "low", "i", "j").applyInArrow(compared(num, den), "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id (smallest id reachable by links, itself included).
 
@@ -336,17 +419,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     signed = stage_table(rows.mapInArrow(signatures(width), "id long, n long, sid long, counts binary"), "points")
     points = signed.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("counts"))
     found = stage_table(rows.mapInArrow(ship(num, den, width, shard_bits), "shard int, kind int, a binary, b binary").groupBy("shard").applyInArrow(leaves, "kind int, a long, b long"), "leaves")
-    sure = stage_table(links(found.where(f"kind = {PAIR}").select("a", "b"), points, rows, width, num, den), "links")
-    joined = components(sure)
-    # leaves with points of several components: their pairs across components
+    pairs = found.where(f"kind = {PAIR}").select("a", "b").distinct()
     members = found.where(f"kind = {MEMBER}").select(F.col("a").alias("leaf"), F.col("b").alias("sid")).distinct()
-    placed = members.join(joined, F.col("sid") == F.col("node"), "left").select("leaf", "sid", F.coalesce("component", "sid").alias("component"))
-    split = placed.groupBy("leaf").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("leaf", "low")
-    open_ = stage_table(placed.join(split, "leaf"), "open")
-    x = open_.where("component > low").select("leaf", F.col("sid").alias("a"), F.col("component").alias("x"))
-    y = open_.select("leaf", F.col("sid").alias("b"), F.col("component").alias("y"))
-    if not open_.isEmpty():
-        more = stage_table(links(x.join(y, "leaf").where("y < x").select("a", "b"), points, rows, width, num, den), "links")
+    sets = set_table(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(members.select("sid")).distinct(), points, rows, width)
+    sure = stage_table(links(pairs, points, sets, num, den), "links")
+    joined = components(sure)
+    more = stage_table(opened(members, joined, points, sets, num, den), "links")
+    if not more.isEmpty():
         joined = components(sure.union(more))
     joined = stage_table(joined, "components")
     placed = signed.select("id", "n", "sid").join(joined, F.col("sid") == F.col("node"), "left").select("id", "n", F.coalesce("component", "sid").alias("component"))
