@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Python's 29 white-space characters, inside and as a class.
-WS_IN = r"\t-\r\x1c-\x1f \x85\xa0  -     　"
+WS_IN = r"\t-\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WS = f"[{WS_IN}]"
 #: A word's character, and the two sides of a boundary (only where a pattern's edge is a word's character).
 WORD = r"[\p{L}\p{N}_]"
