@@ -12,11 +12,11 @@ coordinates. So a leaf is the points with equal coordinates in a block, and a pr
 under three shingles say little and are not indexed; where the agreeing blocks of a link could all be such (short
 texts), more forests with other hashes are kept, until the chance of that is under MISS for each link.
 
-A leaf's points are compared with its smallest alone (all pairs in a leaf of four or fewer), and verified links are
-joined into components. Leaves whose points are then in several components are opened: their points, gathered into
-clusters, are dealt into pages by size and hash, and pairs of pages are compared in one task each, which emits a
-spanning forest of the links that it finds and never a pair that is no link. So no link between components is lost,
-and no group emits all of its pairs. Points are distinct sets: copies collapse before anything is compared.
+A leaf's points are compared with its smallest alone (all pairs in a leaf of four or fewer). Leaves with points that do
+not link with their smallest are opened: the points below one smallest are dealt into pages by size and hash, and pairs
+of pages are compared in one task each, which emits a spanning forest of the links that it finds and never a pair that
+is no link. So no link between components is lost, and no group emits all of its pairs. Points are distinct sets:
+copies collapse before anything is compared.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ GROUPS = 64
 LEAST, MISS, SMALL_LEAF, LOCAL_LEAF, FLUSH = 3, 1e-6, 4, 64, 1_500_000
 SHARD_BYTES = 6 << 20
 #: Points of a page.
-PAGE = 384
+PAGE = 1024
 ENTRY, PAIR, MEMBER = 0, 1, 2
 
 SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("counts", pa.binary())])
@@ -386,22 +386,21 @@ def overlaps(xs: list[np.ndarray], ys: list[np.ndarray], step: int = 4096) -> np
     return out.astype(np.int64)
 
 
-def opened(members: DataFrame, joined: DataFrame, points: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between components among the points of leaves that hold several."""
-    placed = members.join(joined, F.col("sid") == F.col("node"), "left").select("leaf", "sid", F.coalesce("component", "sid").alias("component"))
-    leaf = placed.groupBy("leaf").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("sid").alias("first")).where("low < high")
-    rows = stage_table(placed.join(leaf.select("leaf", "first"), "leaf").select("sid", "component", "first").distinct(), "open")
-    if rows.isEmpty():
-        return rows.select(F.col("sid").alias("a"), F.col("first").alias("b"))
-    cluster = components(rows.select(F.col("sid").alias("a"), F.col("first").alias("b")))
+def opened(members: DataFrame, sure: DataFrame, points: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links among the points of leaves that hold points without a link to their leaf's smallest."""
+    first = members.groupBy("leaf").agg(F.min("sid").alias("first"))
+    below = members.join(first, "leaf").select("sid", "first").distinct()
+    linked = sure.select(F.col("a").alias("sid"), F.col("b").alias("first"), F.lit(False).alias("apart")).distinct()
+    below = below.join(linked, ["sid", "first"], "left").withColumn("apart", F.coalesce("apart", F.col("sid") != F.col("first")))
+    open_ = below.groupBy("first").agg(F.max("apart").alias("apart"), F.ceil(F.count("*") / PAGE).cast("int").alias("chunks")).where("apart").drop("apart")
+    # points with one part are linked through it already
+    part = sure.groupBy(F.col("a").alias("sid")).agg(F.min("b").alias("least"))
+    rows = below.select("sid", "first").join(open_, "first").join(part, "sid", "left").join(points.select("sid", "n"), "sid")
     width = math.log(den / num) * 1.0001  # so that sizes of a link lie in one band or in two neighbours
-    points_ = rows.select("sid", "component").distinct().join(cluster.select(F.col("node").alias("sid"), F.col("component").alias("cluster")), "sid").join(points.select("sid", "n"), "sid")
-    points_ = points_.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
-    size = points_.groupBy("cluster").agg(F.ceil(F.count("*") / PAGE).cast("int").alias("chunks"))
-    dealt = points_.join(size, "cluster").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
+    dealt = rows.select("first", "sid", F.least("least", "sid").alias("component"), F.floor(F.log(F.col("n").cast("double")) / width).cast("int").alias("band"), "chunks", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int").alias("chunk"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("low", F.explode(F.array(F.col("band") - 1, F.col("band"))))
-    dealt = dealt.select("cluster", "low", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "sid", "band", "chunk", "component").join(sets, "sid")
-    return dealt.groupBy("cluster", "low", "i", "j").applyInArrow(compared(num, den), "a long, b long")
+    dealt = dealt.select("first", "low", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "sid", "band", "chunk", "component").join(sets, "sid")
+    return dealt.groupBy("first", "low", "i", "j").applyInArrow(compared(num, den), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -423,10 +422,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = found.where(f"kind = {MEMBER}").select(F.col("a").alias("leaf"), F.col("b").alias("sid")).distinct()
     sets = set_table(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(members.select("sid")).distinct(), points, rows, width)
     sure = stage_table(links(pairs, points, sets, num, den), "links")
-    joined = components(sure)
-    more = stage_table(opened(members, joined, points, sets, num, den), "links")
-    if not more.isEmpty():
-        joined = components(sure.union(more))
+    joined = components(sure.union(opened(members, sure, points, sets, num, den)))
     joined = stage_table(joined, "components")
     placed = signed.select("id", "n", "sid").join(joined, F.col("sid") == F.col("node"), "left").select("id", "n", F.coalesce("component", "sid").alias("component"))
     least = placed.where("n > 0").groupBy("component").agg(F.min("id").alias("least"))
