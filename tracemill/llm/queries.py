@@ -97,5 +97,72 @@ SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)
+""",
+    "op2_ngram_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), places AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) AS i FROM d),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+2], ' ') AS s FROM places),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, m AS component_id FROM d JOIN c ON c.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+""",
+    "op7_embedding_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+k AS (SELECT a, count(*) AS k FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(k.k, 0) AS BIGINT) AS n_links, m AS component_id, vec_id = m AS kept FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN k ON k.a = vec_id
+""",
+    "op10_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+win AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS s FROM places),
+least AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM win JOIN least USING (s) WHERE m < doc_id),
+each AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS t, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+""",
+    "op1_url_filters": r"""
+WITH parts AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), urls AS (SELECT host, path, count(*) AS n FROM parts GROUP BY ALL),
+rules AS (SELECT * FROM (VALUES ('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')) r(kind, rule)),
+hits AS (
+  SELECT host, path, kind, rule, row_number() OVER (PARTITION BY host, path ORDER BY length(rule) DESC, rule DESC) AS r FROM urls JOIN rules
+  ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substring(rule, instr(rule, '/')))
+), raw AS (SELECT host, path, n, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: regexp_replace(s, '[0-9]+', '#', 'g')) AS all_shapes FROM urls),
+shaped AS (SELECT host, path, n, CASE WHEN len(all_shapes) > 12 THEN list_append(all_shapes[1:12], '**') ELSE all_shapes END AS shapes FROM raw),
+each AS (SELECT host, path, n, unnest(shapes) AS shape, generate_subscripts(shapes, 1) AS pos, shapes FROM shaped),
+placed AS (SELECT host, path, n, shape, pos, pos || ':' || array_to_string(shapes[1:pos-1], '/') AS prefix FROM each),
+children AS (SELECT host, prefix, shape, sum(n) AS n FROM placed GROUP BY ALL),
+wild AS (SELECT host, prefix FROM children GROUP BY ALL HAVING count(*) >= 8 AND sum(n) <= 2.0 * count(*)),
+named AS (SELECT p.host, p.path, pos, CASE WHEN w.host IS NULL THEN shape ELSE '*' END AS shape FROM placed p LEFT JOIN wild w ON p.host = w.host AND p.prefix = w.prefix),
+texts AS (SELECT host, path, list(shape ORDER BY pos) AS names FROM named GROUP BY ALL),
+known AS (
+  SELECT u.host, u.path, u.n, '/' || array_to_string(names, '/') || CASE WHEN names IS NOT NULL AND ends_with(u.path, '/') THEN '/' ELSE '' END AS template,
+         '/' || array_to_string(names[2:13], '/') AS parent, h.rule, h.kind
+  FROM urls u LEFT JOIN texts t ON t.host = u.host AND t.path = u.path LEFT JOIN hits h ON h.host = u.host AND h.path = u.path AND h.r = 1
+), full_names AS (SELECT host, path, n, coalesce(template, '/') AS template, coalesce(parent, '/') AS parent, rule, kind FROM known),
+counted AS (SELECT host, template, parent, coalesce(sum(n) FILTER (kind = 'block'), 0) AS bad, coalesce(sum(n) FILTER (kind = 'allow'), 0) AS good FROM full_names GROUP BY ALL),
+marked AS (SELECT *, CASE WHEN bad + good > 0 THEN round(4.0 * bad / (bad + good)) ELSE -1 END AS alike FROM counted),
+branch AS (SELECT host, parent, alike, sum(bad) AS bb, sum(good) AS bg FROM marked GROUP BY ALL),
+pooled AS (SELECT template, sum(bad) AS ab, sum(good) AS ag FROM marked GROUP BY ALL),
+overall AS (SELECT coalesce(sum(ab)::DOUBLE / nullif(sum(ab + ag), 0), 0.5) AS o FROM pooled),
+scored AS (
+  SELECT m.host, m.template, m.parent, (bb + 4.0::DOUBLE * ((ab + 4.0::DOUBLE * o) / (ab + ag + 4.0::DOUBLE))) / (bb + bg + 4.0::DOUBLE) AS purity, greatest(bb + bg, ab + ag) >= 5 AS enough
+  FROM marked m JOIN branch b ON b.host = m.host AND b.parent = m.parent AND b.alike = m.alike JOIN pooled p ON p.template = m.template, overall
+)
+SELECT page_id, parts.host, parts.path, rule, coalesce(kind, CASE WHEN enough AND purity >= 0.6 THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts JOIN full_names f ON f.host = parts.host AND f.path = parts.path JOIN scored s ON s.host = f.host AND s.template = f.template AND s.parent = f.parent
 """,
 }
