@@ -6,7 +6,7 @@ also starts in a document with a smaller identifier. Windows are judged on the i
 First pass: each task counts its windows in a sketch with one row of 2**40 cells, of which it keeps the full cells
 alone; the parts of all tasks' sketches are merged by range of cells. A cell's merged count is at least that of any
 window in it, so a window that occurs twice is always estimated repeated. Each block of documents gets back which of
-its cells are repeated. Second pass: windows in those cells alone are grouped exactly, by 128-bit fingerprints, which
+its cells are repeated. Second pass: windows in those cells alone are grouped exactly, by 96-bit fingerprints, which
 gives the smallest document of each, and every block gets back the windows that start in a smaller document elsewhere.
 
 Blocks hold a few MB of text each, so their number grows with the input; sketches hold a cell of a task's share twice
@@ -36,12 +36,12 @@ OUT = pa.schema([("id", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64
 
 
 def windows(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprint halves of all windows, the text of each, and its first word's index in all words."""
+    """Fingerprints of all windows in two parts (64 and 32 bits), the text of each, and its first word's index in all words."""
     a, b, starts = word_hashes(texts)
     doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     n = max(0, len(a) - width + 1)
     at = np.flatnonzero(doc[:n] == doc[width - 1 :]) if n else np.zeros(0, dtype=np.int64)
-    return rolled(a, width)[at], rolled(b, width, BASE2)[at], doc[at], at
+    return rolled(a, width)[at], rolled(b, width, BASE2)[at] >> np.uint64(32), doc[at], at
 
 
 def record(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
@@ -145,7 +145,7 @@ def candidates(width: int, shard_bits: int):
         h1, h2, owner = h1[new], h2[new], owner[new]
         shard = (h1 >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(h1), dtype=np.int64)
         start = runs(shard)
-        return table_of(OWNERS, [(int(shard[s]), block, planes(np.diff(h1[s:e], prepend=np.uint64(0)), 8), planes(h2[s:e], 8), planes(owner[s:e].astype(np.uint64), 8)) for s, e in spans(start, len(shard))])
+        return table_of(OWNERS, [(int(shard[s]), block, planes(np.diff(h1[s:e], prepend=np.uint64(0)), 8), planes(h2[s:e], 4), planes(owner[s:e].astype(np.uint64), 8)) for s, e in spans(start, len(shard))])
 
     return run
 
@@ -154,7 +154,7 @@ def read_owners(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     h1 = [np.cumsum(unplanes(x, 8), dtype=np.uint64) for x in part["h1"].to_pylist()]
     n = [len(x) for x in h1]
     join = lambda xs: np.concatenate(xs) if xs else np.zeros(0, dtype=np.uint64)
-    return np.repeat(np.array(part["block"].to_pylist(), dtype=np.int64), n), join(h1), join([unplanes(x, 8) for x in part["h2"].to_pylist()]), join([unplanes(x, 8) for x in part["owner"].to_pylist()]).astype(np.int64)
+    return np.repeat(np.array(part["block"].to_pylist(), dtype=np.int64), n), join(h1), join([unplanes(x, 4) for x in part["h2"].to_pylist()]), join([unplanes(x, 8) for x in part["owner"].to_pylist()]).astype(np.int64)
 
 
 def grouped(part: pa.Table) -> pa.Table:
@@ -168,7 +168,7 @@ def grouped(part: pa.Table) -> pa.Table:
     order = np.lexsort((h1[told], block[told]))
     block, h1, h2, least = block[told][order], h1[told][order], h2[told][order], least[told][order]
     start = runs(block)
-    return table_of(OWNERS, [(0, int(block[s]), planes(np.diff(h1[s:e], prepend=np.uint64(0)), 8), planes(h2[s:e], 8), planes(least[s:e].astype(np.uint64), 8)) for s, e in spans(start, len(block))])
+    return table_of(OWNERS, [(0, int(block[s]), planes(np.diff(h1[s:e], prepend=np.uint64(0)), 8), planes(h2[s:e], 4), planes(least[s:e].astype(np.uint64), 8)) for s, e in spans(start, len(block))])
 
 
 def removed(width: int):
