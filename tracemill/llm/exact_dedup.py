@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import ascii_lower, slices
 
 #: Distinct bytes that a map task keeps in its tries before it hands them on.
 TRIE_BYTES = 48 << 20
@@ -160,9 +160,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """The rows of docs that stay, with all their columns; of repeated rows with one identifier and text, one."""
     stay = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("__id"), F.unhex("text_sha256").alias("__sha"))
-    marked = docs.withColumn("__sha", F.unhex(F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)))
+    marked = docs.withColumn("__sha", F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)))
     kept = marked.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (marked["__sha"] == stay["__sha"]), "left_semi")
-    from pyspark.sql import Window
-
     first = F.row_number().over(Window.partitionBy(id_col, "__sha").orderBy(*[F.col(c) for c, t in docs.dtypes if t in ("string", "bigint", "int", "double") and c not in (id_col, text_col)][:8] or [F.lit(1)]))
     return kept.withColumn("__n", first).where("__n = 1").drop("__n", "__sha")
