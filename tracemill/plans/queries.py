@@ -405,8 +405,8 @@ def vote_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{SOURCE_SQL} SELECT d.doc_id, CASE WHEN a = 'unknown' AND b = 'unknown' THEN t WHEN a = 'unknown' THEN b WHEN b = 'unknown' THEN a WHEN a = b THEN a ELSE t END AS label FROM (SELECT d.doc_id, CASE WHEN d.doc_id % 5 = 0 THEN 'unknown' ELSE alpha END AS a, CASE WHEN d.doc_id % 7 = 0 THEN 'unknown' ELSE beta END AS b, CASE WHEN d.doc_id % 11 = 0 THEN 'ai' ELSE gamma END AS t FROM documents d JOIN l USING (doc_id)) d")
 def agreement_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two models' tables lack some records, the tie-break's lacks others."""
-    v, side = source_votes(spark, sf_dir), lambda m, k: v.where(F.col("doc_id") % k != 0).select("doc_id", F.col(m).alias("label"))  # noqa: B023, E731
     v = source_votes(spark, sf_dir)
+    side = lambda m, k: v.where(F.col("doc_id") % k != 0).select("doc_id", F.col(m).alias("label"))
     return votes.agree_else_tiebreak(v.select("doc_id"), side("alpha", 5), side("beta", 7), side("gamma", 11), "doc_id").select("doc_id", "label")
 
 
