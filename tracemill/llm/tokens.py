@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO = 500_000
+MEMO = 300_000
 #: Chunks that are one word of Latin letters and one run of punctuation at most, which a tokenizer never merges.
 SIMPLE = re.compile(r" ?([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
 #: Texts that are encoded whole: a space at an end or beside other white space, or what may be a special token.
@@ -32,8 +32,6 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are Spark's to run side by side
         from tokenizers import Tokenizer
 
-        gc.freeze()
-        gc.disable()  # the memo's many small lists hold no cycles; walking them again and again costs more than encoding
         self.tokenizer, self.byte_level = Tokenizer.from_file(path), byte_level
         self.memo: dict[str, list[int]] = {}
         self.tails: dict[str, list[int]] = {"": []}
@@ -77,6 +75,13 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the first id's index of each text (one more at the end). Null is empty."""
+        gc.disable()  # the memo's many small lists hold no cycles; walking them again and again costs more than encoding
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         whole = np.asarray(pc.match_substring_regex(texts, WHOLE_BYTES if self.byte_level else WHOLE_WORDS))
         lists = pc.split_pattern(texts, " ") if self.byte_level else pc.ascii_split_whitespace(texts)
