@@ -288,6 +288,47 @@ def test_lm_scores_as_brute_force(spark, empty):
     assert score_by_difference(empty, empty).count() == 0 and score_by_difference(docs, empty, size=size).count() == len(rows)
 
 
+def test_lm_counts_every_word(spark, empty, monkeypatch):
+    """More words than any fixed vocabulary: documents that differ in rare words of one shape alone differ in score."""
+    monkeypatch.setattr("tracemill.llm.lm_scoring.CHUNK_TOKENS", 400)
+    monkeypatch.setattr("tracemill.llm.lm_scoring.SHARD_BYTES", 4000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    rng = random.Random(7)
+    rows = [(k, " ".join(f"Word{'abcdefghij'[rng.randrange(10)] * 3}{rng.choice('klmnopqrst')}{rng.choice('uvwxyz')}{rng.choice('abcdefgh')}" for _ in range(60))) for k in range(120)]
+    rows += [(90, None), (91, " "), (None, "aa bb"), (3, "zz"), (3, "zz"), (200, "common goodword"), (201, "common badword"), (1, "common goodword")]
+    docs = frame(spark, rows)
+    own = lambda k: k is not None and k < 40
+    tokens = [(t or "").encode().lower().split() for _, t in rows]
+    models = []
+    for texts in ([w for w, (k, _) in zip(tokens, rows, strict=True) if own(k)], tokens):
+        pairs = Counter(x for w in texts for x in zip([None, *w], w, strict=False))
+        after, one = Counter(), Counter()
+        for (h, w), n in pairs.items():
+            after[h] += n
+            one[w] += n
+        models.append((pairs, after, one, sum(one.values())))
+    vocabulary = len(models[1][2])
+    assert vocabulary > 2048
+
+    def loss(model, scale, h, w):
+        pairs, after, one, n = model
+        return -np.log((pairs[h, w] * scale + 4 * (one[w] * scale + 1) / (n * scale + vocabulary)) / (after[h] * scale + 4))
+
+    want = []
+    for (k, _), w in zip(rows, tokens, strict=True):
+        t, b = (np.mean([loss(m, s, *x) for x in zip([None, *w], w, strict=False)]) if w else 0.0 for m, s in zip(models, (1.0, models[0][3] / models[1][3]), strict=True))
+        want.append((str(k), len(w), round(t, 6), round(b, 6), round(t - b, 6)))
+    got = score_by_difference(docs, docs.where("doc_id < 40")).collect()
+    key = lambda r: (r[0], *r[1:])
+    have = sorted(((str(r["doc_id"]), r["n_tokens"], r["ce_target"], r["ce_background"], r["score"]) for r in got), key=key)
+    for x, y in zip(have, sorted(want, key=key), strict=True):
+        assert x[:2] == y[:2] and np.allclose(x[2:], y[2:], atol=1e-5)
+    by_id = {r["doc_id"]: r["score"] for r in got}
+    assert by_id[200] < by_id[201]
+    assert np.allclose([r["ce_target"] for r in score_by_difference(docs, empty).where("n_tokens > 0").collect()], np.log(vocabulary))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 # ---- 10
 
 

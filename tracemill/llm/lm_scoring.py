@@ -1,13 +1,18 @@
 """LM scoring by cross-entropy difference.
 
-Two bigram models, of a target corpus and of the background, share one vocabulary: the most frequent words of the
-background, a start symbol, and classes by shape for all other words. Both are counted over all of their documents and
-matched: background counts are scaled to the target's number of tokens, and both interpolate with their own unigrams.
-A document's score is its mean loss per token under the target minus that under the background; the lower, the more it
-is like the target.
-
-The vocabulary has a fixed size, so a model is a fixed table of V * V losses, which is why it may be broadcast. Tasks
-ship the counts they have seen by segment of the table; segments are merged in two levels, in a stream.
+Two bigram models, of a target corpus and of the background, share one vocabulary: every word of either. Both are counted
+over all of their documents and matched: background counts are scaled to the target's number of tokens, and both
+interpolate with their own unigrams. A document's score is its mean loss per token under the target minus that under the
+background; the lower, the more it is like the target.
+
+The models are never held in one place. Texts are cut into chunks, each staged as its distinct words' hashes and one
+index a token. A chunk ships its distinct words and pairs once, with their counts, by ranges of their hashes; each range
+adds up the counts of all chunks and answers every chunk of the background with the totals of what it asked for, and
+the chunk scores its documents. So a hot n-gram is one entry a chunk, and what is counted grows with the corpus.
+
+Given a size, the vocabulary is only that many entries instead: the most frequent words of the background, a start symbol,
+and classes by shape for all other words. That model is a fixed table of size * size losses, which is why it may be
+broadcast.
 """
 
 from __future__ import annotations
@@ -18,14 +23,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import planes, slices, unplanes, words
-
-#: Entries of the vocabulary, segments of the table of pairs, tasks whose counts the first level merges, weight of unigrams.
-VOCABULARY, SEGMENTS, MERGED, PRIOR = 2048, 32, 16, 4.0
+from .common import mix, planes, slices, spans, stage_table, text_bytes, unplanes, words
+
+#: Tokens and documents of a chunk, bytes of text for each range of hashes.
+CHUNK_TOKENS, CHUNK_DOCS, SHARD_BYTES = 1_000_000, 100_000, 8 << 20
+FIRST = np.uint64(0x243F6A8885A308D3)  # stands for the start of a document where pairs are hashed
+CHUNKS = "chunk long, ids array<long>, lengths array<long>, words binary, tokens binary"
+ASKED = "shard int, chunk long, words binary, n binary, ends binary, pairs binary, m binary"
+SCORED = "id long, n_tokens long, ce_target double, ce_background double, score double"
+TOTALS = "shard int, chunk long, n binary, ends binary, m binary, vocabulary long, tokens long, wanted_tokens long, texts long, wanted_texts long"
+#: Of a vocabulary of a given size: segments of the table of pairs, tasks whose counts the first level merges, weight of unigrams.
+SEGMENTS, MERGED, PRIOR = 32, 16, 4.0
 START, SHAPES = 0, 8  # entry 0 starts a document; entries 1 to SHAPES are words outside the vocabulary
 FLUSH_BYTES = 32 << 20
 
@@ -64,7 +77,7 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield merged()
 
 
-def vocabulary(texts: DataFrame, size: int = VOCABULARY) -> list[str]:
+def vocabulary(texts: DataFrame, size: int) -> list[str]:
     """The most frequent words (a fixed number; ties by the word)."""
     counts = texts.mapInArrow(word_counts, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
     return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(size - SHAPES - 1).collect()]
@@ -150,18 +163,171 @@ def losses(counts: np.ndarray, scale: float, prior: float) -> np.ndarray:
     return -np.log((c + prior * one[None, :]) / (c.sum(axis=1, keepdims=True) + prior))
 
 
-def score_by_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = VOCABULARY, prior: float = PRIOR) -> DataFrame:
+def packed(values: np.ndarray, width: int) -> bytes:
+    """Planes, compressed as counts and ranks need it (by the entropy of their bytes), after their length."""
+    data = planes(values, width)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, width: int) -> np.ndarray:
+    return unplanes(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True) if data[:8].strip(b"\0") else b"", width)
+
+
+def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of documents: hashes of the distinct words (A-Z lower-cased, as bytes), frequent ones first, and an index a token."""
+    names, at, ids, lengths, held, docs, chunk = [], [], [], [], 0, 0, TaskContext.get().partitionId() << 32
+
+    def flushed() -> pa.RecordBatch:
+        every, own = np.unique(np.concatenate(names), return_inverse=True)
+        first = np.cumsum([0, *map(len, names)])
+        tokens = np.concatenate([own[k + i] for k, i in zip(first, at, strict=False)])
+        order = np.argsort(-np.bincount(tokens, minlength=len(every)), kind="stable")
+        rank = np.empty(len(every), dtype=np.int64)
+        rank[order] = np.arange(len(every))
+        row = [chunk, pa.concat_arrays(ids), np.concatenate(lengths), packed(every[order], 8), packed(rank[tokens].astype(np.uint64), 4)]
+        lists = [pa.LargeListArray.from_arrays([0, len(x)], pa.array(x, pa.int64())).cast(pa.list_(pa.int64())) for x in row[1:3]]
+        return pa.RecordBatch.from_arrays([pa.array(row[:1], pa.int64()), *lists, *[pa.array([x], pa.binary()) for x in row[3:]]], names=["chunk", "ids", "lengths", "words", "tokens"])
+
+    for batch in batches:
+        for part in slices(batch, "text"):
+            flat, starts = words(part["text"])
+            coded = flat.dictionary_encode()
+            names.append(np.array([xxhash.xxh3_64_intdigest(w.lower()) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], dtype=np.uint64))
+            at.append(np.asarray(coded.indices).astype(np.int64))
+            ids.append(part["id"])
+            lengths.append(np.diff(starts))
+            held, docs = held + len(flat), docs + part.num_rows
+            if held >= CHUNK_TOKENS or docs >= CHUNK_DOCS:
+                yield flushed()
+                names, at, ids, lengths, held, docs, chunk = [], [], [], [], 0, 0, chunk + 1
+    if docs:
+        yield flushed()
+
+
+def grams(names: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of a chunk: hashes of its distinct pairs, ascending, their counts, words before (len(names): none) and words, and each token's pair."""
+    size, starts = len(names) + 1, np.cumsum(lengths) - lengths
+    before = np.concatenate([[0], tokens[:-1]]) if len(tokens) else tokens
+    before[starts[lengths > 0]] = size - 1
+    pairs, at, m = np.unique(before * size + tokens, return_inverse=True, return_counts=True)
+    before, word = pairs // size, pairs % size
+    key = mix(mix(np.append(names, FIRST)[before]) * np.uint64(0x9E3779B97F4A7C15) + names[word])
+    order = np.argsort(key, kind="stable")
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    return key[order], m[order], before[order], word[order], rank[at]
+
+
+def chunk_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return unpacked(row["words"], 8), unpacked(row["tokens"], 4).astype(np.int64), np.array(row["lengths"], dtype=np.int64)
+
+
+def asked(shard_bits: int):
+    """A chunk's distinct words (counts, and how often last in a document) and pairs, by range of their hashes."""
+
+    def by_shard(keys: np.ndarray, counts: list[np.ndarray]) -> dict[int, list[bytes]]:
+        shard = (keys >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(keys), dtype=np.int64)
+        start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else shard
+        return {int(shard[s]): [packed(np.diff(keys[s:e], prepend=np.uint64(0)), 8), *(packed(c[s:e].astype(np.uint64), 5) for c in counts)] for s, e in spans(start, len(shard))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                names, tokens, lengths = chunk_of(row)
+                last = tokens[(np.cumsum(lengths) - 1)[lengths > 0]]
+                order = np.argsort(names)
+                one = by_shard(names[order], [np.bincount(t, minlength=len(names))[order] for t in (tokens, last)])
+                keys, m, *_ = grams(names, tokens, lengths)
+                two = by_shard(keys, [m])
+                rows = [(s, row["chunk"], *one.get(s, [b""] * 3), *two.get(s, [b""] * 2)) for s in sorted(one.keys() | two.keys())]
+                cols = list(zip(*rows, strict=True)) or [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)], names=["shard", "chunk", "words", "n", "ends", "pairs", "m"])
+
+    return run
+
+
+def totals(part: pa.Table) -> pa.Table:
+    """Of one range of hashes: the totals of what each chunk of the background asked for, and a row of sums.
+
+    Chunks of the target have none. A value of the answers holds the background's counts, then the target's.
+    """
+    chunks, shard = part["chunk"].to_pylist(), part["shard"][0].as_py()
+    background = np.array([c is not None for c in chunks])
+    answers, sums = [], []
+    for key, *counts in (("words", "n", "ends"), ("pairs", "m")):
+        own = [np.cumsum(unpacked(x, 8), dtype=np.uint64) for x in part[key].to_pylist()]
+        size = np.array([len(x) for x in own])
+        every, at = np.unique(np.concatenate(own), return_inverse=True)
+        mine, first = np.repeat(background, size), np.cumsum(size) - size
+        for c in counts:
+            n = np.concatenate([unpacked(x, 5) for x in part[c].to_pylist()]).astype(np.float64)
+            both = [np.bincount(at[w], weights=n[w], minlength=len(every)).astype(np.uint64) for w in (mine, ~mine)]
+            sums += [len(every), *(int(x.sum()) for x in both)]
+            answers.append([packed(np.concatenate([x[at[s : s + k]] for x in both]), 5) for s, k, b in zip(first, size, background, strict=True) if b])
+    named = [c for c in chunks if c is not None]
+    cols = [[shard] * (len(named) + 1), [*named, None], *([*a, None] for a in answers), *([None] * len(named) + [x] for x in (sums[0], sums[1], sums[2], sums[4], sums[5]))]
+    types = [pa.int32(), pa.int64(), *[pa.binary()] * 3, *[pa.int64()] * 5]
+    return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in TOTALS.split(", ")])
+
+
+def halves(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The background's counts of all answers, and the target's."""
+    got = [np.zeros(0), *(unpacked(x, 5).astype(np.float64) for x in values)]
+    return np.concatenate([x[: len(x) // 2] for x in got]), np.concatenate([x[len(x) // 2 :] for x in got])
+
+
+def scored(sums: dict, prior: float):
+    tokens, texts = (sums["tokens"], sums["wanted_tokens"]), (sums["texts"], sums["wanted_texts"])
+    scales = (tokens[1] / max(tokens[0], 1) if tokens[1] else 1.0, 1.0)
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("shard")
+        n, ends, m = (halves(answers[c].to_pylist()) for c in ("n", "ends", "m"))
+        ids, row = chunk["ids"].combine_chunks().flatten(), chunk.drop_columns(["ids"]).to_pylist()[0]
+        names, own, lengths = chunk_of(row)
+        order, (_, _, before, word, at) = np.argsort(names), grams(names, own, lengths)
+        of, safe, means = np.repeat(np.arange(len(lengths)), lengths), np.maximum(lengths, 1), []
+        for i in (0, 1):
+            word_n, after = np.empty(len(names)), np.empty(len(names) + 1)
+            word_n[order], after[order], after[-1] = n[i], n[i] - ends[i], texts[i]
+            one = (word_n[word] * scales[i] + 1.0) / (tokens[i] * scales[i] + sums["vocabulary"])
+            loss = -np.log((m[i] * scales[i] + prior * one) / (after[before] * scales[i] + prior))
+            means.append(np.bincount(of, weights=loss[at], minlength=len(lengths)) / safe)
+        return pa.table([ids, pa.array(lengths), pa.array(means[1]), pa.array(means[0]), pa.array(means[1] - means[0])], names=["id", "n_tokens", "ce_target", "ce_background", "score"])
+
+    return run
+
+
+def score_by_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int | None = None, prior: float = PRIOR) -> DataFrame:
     """One row per row of docs: id_col, n_tokens, ce_target, ce_background, score (their difference, in nats a token).
 
     target: texts (text_col) to be like; docs are the background. Words are split at ASCII white space and lower-cased
     (A-Z). Null and empty texts have 0 tokens, losses and score. Repeated rows are counted and scored as often as they
     occur. With an empty target all of its losses are uniform; an empty docs gives no rows. Other columns are not read.
+    size: entries of a vocabulary of frequent words and shapes; None counts every word.
     """
-    texts, wanted = docs.select(F.col(text_col).alias("text")), target.select(F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if size is not None:
+        return score_by_table(rows, target.select(F.col(text_col).alias("text")), size, prior).withColumnRenamed("id", id_col)
+    shard_bits = max(0, (max(1, text_bytes(docs, text_col) // SHARD_BYTES) - 1).bit_length())
+    chunks = stage_table(rows.mapInArrow(chunked, CHUNKS), "chunks")
+    ask = asked(shard_bits)
+    wanted = target.select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: ask(chunked(batches)), ASKED)
+    every = chunks.mapInArrow(ask, ASKED).union(wanted.withColumn("chunk", F.lit(None).cast("long")))
+    found = stage_table(every.groupBy("shard").applyInArrow(totals, TOTALS), "totals")
+    sums = found.where("chunk is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("vocabulary", "tokens", "wanted_tokens", "texts", "wanted_texts")]).first().asDict()
+    answers = found.where("chunk is not null").select("shard", "chunk", "n", "ends", "m")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored(sums, prior), SCORED).withColumnRenamed("id", id_col)
+
+
+def score_by_table(rows: DataFrame, wanted: DataFrame, size: int, prior: float) -> DataFrame:
+    """The same with a vocabulary of a fixed number of entries."""
+    texts = rows.select("text")
     vocab = vocabulary(texts, size)
     background, own = counted(texts, vocab, size), counted(wanted, vocab, size)
     scale = own.sum() / max(background.sum(), 1) if own.sum() else 1.0
-    models = docs.sparkSession.sparkContext.broadcast((vocab, losses(own, 1.0, prior).astype(np.float32), losses(background, scale, prior).astype(np.float32)))  # 2 * size**2 * 4 bytes
+    models = rows.sparkSession.sparkContext.broadcast((vocab, losses(own, 1.0, prior).astype(np.float32), losses(background, scale, prior).astype(np.float32)))  # 2 * size**2 * 4 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, of_target, of_background = models.value
@@ -174,5 +340,4 @@ def score_by_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_i
                 x, y = (np.bincount(doc, weights=m[cells].astype(np.float64), minlength=len(n)) / safe for m in (t, b))
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array(n), pa.array(x), pa.array(y), pa.array(x - y)], names=["id", "n_tokens", "ce_target", "ce_background", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n_tokens long, ce_target double, ce_background double, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, SCORED)
