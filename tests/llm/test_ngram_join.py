@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from tracemill.llm.ngram_join import bands, jaccard_components, layout
+from tracemill.llm.ngram_join import LOCAL_LEAF, MEMBER, SMALL_LEAF, bands, entries, jaccard_components, layout, leaves, set_ids, shingle_sets, ship
 
 SCHEMA = "doc_id long, text string, lang string, id long, n int"
 
@@ -59,6 +62,26 @@ def test_as_brute_force_on_many_near_copies(spark, width, similarity, num, den):
     assert run(spark, rows, width, similarity) == brute(rows, width, num, den)
 
 
+@pytest.mark.parametrize("elsewhere", [1, 3])
+def test_leaf_hot_in_one_task_with_few_points_elsewhere(elsewhere):
+    """All points of a leaf with more than SMALL_LEAF are its members, whichever task ships them."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(120)]
+    near = lambda: " ".join(w if rng.random() > 1 / 120 else word() for w in base)
+    texts = [pa.array([near() for _ in range(n)]) for n in (300, elsewhere)]
+    rows = pa.Table.from_batches([r for t in texts for r in ship(9, 10, 3, 2)(iter([pa.record_batch([t], names=["text"])]))])
+    found = [leaves(rows.filter(pc.equal(rows["shard"], s))) for s in range(4)]
+    members = {(a, b) for f in found for k, a, b in zip(*(f[c].to_pylist() for c in ("kind", "a", "b")), strict=True) if k == MEMBER}
+    points: dict = {}
+    for t in texts:
+        values, starts = shingle_sets(t, 3)
+        for key, name in zip(*entries(values, starts, set_ids(values, starts), 9, 10), strict=True):
+            points.setdefault(int(np.uint64(key).view(np.int64)), set()).add(int(name))
+    want = {(k, n) for k, own in points.items() if len(own) > SMALL_LEAF for n in own}
+    assert want <= members and max(map(len, points.values())) > LOCAL_LEAF
+
+
 def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(5, None), (4, ""), (3, " \n"), (None, "a b c"), (7, "A b  c"), (7, "A b  c"), (9, long), (8, long), (None, "only null"), (2, "x"), (1, "x"), (6, "x y")]

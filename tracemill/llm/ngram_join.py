@@ -40,7 +40,7 @@ LEAST, MISS, SMALL_LEAF, LOCAL_LEAF, FLUSH = 3, 1e-6, 4, 64, 1_500_000
 SHARD_BYTES = 6 << 20
 #: Points of a page.
 PAGE = 1024
-ENTRY, PAIR, MEMBER = 0, 1, 2
+ENTRY, PAIR, MEMBER, HOT = 0, 1, 2, 3
 
 SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("counts", pa.binary())])
 SHIPPED = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
@@ -196,6 +196,7 @@ def ship(num: int, den: int, width: int, shard_bits: int):
     def flushed(keys: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
         """An entry ships its key and a place in its row's list of names."""
         rows: list[tuple] = []
+        place = lambda k: (k >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(k), dtype=np.int64)
         keys, names, start, size = leaf_runs(keys, names)
         hot = size > LOCAL_LEAF
         if hot.any():
@@ -206,10 +207,12 @@ def ship(num: int, den: int, width: int, shard_bits: int):
             own = np.repeat(hot, size)
             spread = (mix(names[own].view(np.uint64)) % np.uint64(1 << shard_bits)).astype(np.int64)
             pack(MEMBER, spread, keys[own].view(np.int64), names[own], rows)
+            marked = keys[start[hot]].view(np.int64)
+            pack(HOT, place(keys[start[hot]]), marked, np.zeros_like(marked), rows)
         keep = ~np.repeat(hot, size)
         keep[start] = True
         keys, names = keys[keep], names[keep]
-        shard = (keys >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(keys), dtype=np.int64)
+        shard = place(keys)
         start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, dtype=np.int64)
         for s, e in spans(start, len(shard)):
             own, at = np.unique(names[s:e], return_inverse=True)
@@ -246,7 +249,7 @@ def ship(num: int, den: int, width: int, shard_bits: int):
 
 def leaves(part: pa.Table) -> pa.Table:
     """Of one range of leaf keys: pairs to compare, and the members of leaves whose pairs are not all compared."""
-    out, keys, names = [], [], []
+    out, keys, names, hot = [], [], [], [np.zeros(0, dtype=np.uint64)]
     for kind, a, b in zip(part["kind"].to_pylist(), part["a"].to_pylist(), part["b"].to_pylist(), strict=True):
         first = np.cumsum(unplanes(a, 8), dtype=np.uint64)
         if kind == ENTRY:
@@ -254,6 +257,8 @@ def leaves(part: pa.Table) -> pa.Table:
             own = np.frombuffer(b, dtype="<i8", count=n, offset=8)
             keys.append(first)
             names.append(own[unplanes(b[8 + 8 * n :], 3).astype(np.int64)])
+        elif kind == HOT:
+            hot.append(first)
         else:
             out.append((kind, first.view(np.int64), unplanes(b, 8).view(np.int64)))
     if keys:
@@ -264,7 +269,8 @@ def leaves(part: pa.Table) -> pa.Table:
             pairs += [np.stack([names[at + j], names[at + i]], axis=1) for i, j in combinations(range(1, k), 2)]
         both = np.unique(np.concatenate(pairs), axis=0)
         out.append((PAIR, both[:, 0], both[:, 1]))
-        big = np.repeat(size > SMALL_LEAF, size)
+        # points beside those that a task kept to itself are few here, but their leaf is not
+        big = np.repeat((size > SMALL_LEAF) | ((size > 1) & np.isin(keys[start], np.concatenate(hot))), size)
         out.append((MEMBER, keys[big].view(np.int64), names[big]))
     kinds = np.concatenate([np.full(len(a), k, dtype=np.int32) for k, a, _ in out]) if out else np.zeros(0, dtype=np.int32)
     join = lambda i: np.concatenate([x[i] for x in out]) if out else np.zeros(0, dtype=np.int64)
