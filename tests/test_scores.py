@@ -121,3 +121,9 @@ def test_tables_of_features(spark):
     assert {(r["g"], r["feature"]): r["fire_rate"] for r in fire_rates(df, ["x", "y"], ("g",)).collect()} == {("a", "x"): 1, ("a", "y"): 0, ("b", "x"): 1, ("b", "y"): 0.5}
     assert {r["feature"]: round(r["cohens_d"], 6) for r in cohens_d(df, ["x"], "g", "a", "b").collect()} == {"x": round(-4 / math.sqrt(2), 6)}
     assert fitted(df, ["x", "y"], 3).columns == ["g", "x", "y", "pad_2"] and fitted(df, ["x", "y"], 1).columns == ["g", "x"]
+
+
+def test_stop_words_of_all_languages(spark):
+    rows = spark.createDataFrame([("der Hund und le chat que la casa de",)], "t string")
+    assert sorted(rows.select(S.content_words("t").alias("w")).first()["w"]) == ["casa", "chat", "hund"]
+    assert len(set(fixed.STOP_WORDS)) == 707

@@ -11,7 +11,7 @@ FUNCTION_WORDS = (
     "very also then than i me my we our he him his she her it its they them their you your "
 ).split()
 
-# English stop words of content-word overlap. Lists of other languages are a parameter of the functions.
+# Stop words of content-word overlap, English first, then the reference's other languages.
 STOP_WORDS = (
     "a an the is are was were be been being have has had do does did "
     "will would shall should can could may might must ought to of in for on at by with from as into through during before after above below "
@@ -19,6 +19,28 @@ STOP_WORDS = (
     "no nor not only own same so than too very that this these those and but or if while because until although since what which who whom i me my "
     "myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs "
     "themselves am s t d ll ve re m "
+    "的 了 在 是 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这 他 她 们 那 被 从 它 把 给 让 用 对 与 但 而 或 如果 因为 所以 虽然 这个 那个 什么 怎么 为什么 可以 这些 那些 之 吗 呢 吧 啊 呀 "
+    "啦 哦 嗯 還 這 個 與 來 為 於 過 後 對 "
+    "der die das ein eine einer eines einem den dem des ist sind war waren wird werden hat hatte haben sein seine seiner seinem seinen ihr ihre "
+    "ihrem ihren ihrer wir uns ich mich mir du dich dir er ihn ihm sie es man sich und oder aber wenn als auch noch schon nur nicht kein keine "
+    "keinem keinen keiner dass ob weil damit um zu von mit für auf aus bei nach über unter vor hinter neben zwischen durch "
+    "le la les un une de au aux ce cette ces que qui quoi dont où est sont ont été être avoir fait faire je moi tu te toi il elle nous vous ils "
+    "elles se en y ne pas plus moins très bien aussi encore tout tous toute toutes avec pour par dans sur entre vers chez sans sous mais ou et "
+    "donc ni car si "
+    "el los las una unos unas del al son está están fue fueron ha han ser estar tener hacer yo mi ti él ella nosotros vosotros ellos ellas usted "
+    "ustedes lo nos os su sus con por para sobre sin desde hasta según contra durante mediante como más menos muy también pero o "
+    "и в не на я что с он как это все она они мы так к его но за от по был бы до из у о при уже если то же ни ее ли мне вы нет ему было вот еще "
+    "когда кто где чтобы этот того тоже себя свой чем там "
+    "của là và có được cho với trong không một những này đã để từ người tôi bạn anh chị ấy đó như về trên ra các rất cũng lại còn nên vì nếu thì "
+    "đang sẽ hay hoặc mà "
+    "uma umas da dos em na nas com mas não sim seu sua seus suas este esta estes estas esse essa esses essas aquele aquela aqueles aquelas foi "
+    "era é são ter "
+    "gli uno di dello della dei degli delle dal dallo dalla dai dagli dalle nel nello nella nei negli nelle sul sullo sulla sui sugli sulle per "
+    "tra fra che e ma non come più anche molto questo questa questi queste quello quella quelli quelle "
+    "w z nie się co jak ale za od po jest są był było być tak ten ta tego tej tych tym że już czy gdy "
+    "في من على إلى عن مع هذا هذه ذلك تلك الذي التي هو هي أنا نحن أنت هم هن ما لا إن أن كان يكون لم لن قد عند كل بعض كثير قليل جدا "
+    "이 가 은 는 을 를 의 에 에서 으로 로 와 과 도 만 부터 까지 하다 되다 있다 없다 이다 그 그것 이것 저것 나 너 우리 그녀 그들 "
+    "の に は を で が と も か ら れ た だ て い う こと する から まで よう な ない ある いる なる その この あの どの それ これ あれ どれ 私 彼 彼女 "
 ).split()
 
 # Keywords of unsafe topics, phrases of refusal (plain substrings), and words counted as whole words.
