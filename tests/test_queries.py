@@ -2,9 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from tracemill.plans.queries import QUERIES, SQL
+from tracemill.plans.queries import QUERIES, SQL, whole_evidence
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,3 +43,16 @@ def test_others_have_rows(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_whole_cascade_counts_all_refusals(spark):
+    """Metrics, one cell of the grid and the best rule against counts of the rows' own evidence."""
+    rows = whole_evidence(spark, SF).select("y", "stripped", "refusal", "overlap", "length", F.contains(F.lower("trace"), F.lit("cannot help")).alias("plain")).collect()
+    assert any(r["refusal"] and not r["plain"] for r in rows)
+    said = [(r["y"], not (r["stripped"] < 5 or r["refusal"]) and (r["overlap"] > 0.08 or r["length"] > 3500)) for r in rows]
+    want = [said.count(x) for x in ((True, True), (False, True), (True, False), (False, False))]
+    got = QUERIES["whole_rule_metrics"](spark, SF).first()
+    grid = QUERIES["whole_rule_grid"](spark, SF).collect()
+    cell = next(r for r in grid if (r["overlap_1000"], r["length"]) == (80, 3500))
+    assert [got[k] for k in ("tp", "fp", "fn", "tn")] == want == [cell[k] for k in ("tp", "fp", "fn", "tn")]
+    assert QUERIES["whole_rule_best"](spark, SF).first()["f1_macro"] == max(r["f1_macro"] for r in grid)

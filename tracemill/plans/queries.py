@@ -563,6 +563,38 @@ def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.buckets(e, F.col("length"), (1500, 3500, 8000), "label")
 
 
+# The cascade with all patterns and NFKC, which SQL cannot express; those above are its plain variant.
+
+
+def whole_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cascade.evidence(inputs.gold(spark, sf_dir))
+
+
+@query()
+def whole_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whole_evidence(spark, sf_dir).select("doc_id", cascade.rule().alias("label"))
+
+
+@query()
+def whole_rule_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(tuning.evaluate_rule(whole_evidence(spark, sf_dir), F.col("y"), 0.08, 3500), "f1_true", "f1_false", "f1_macro", "accuracy")
+
+
+@query()
+def whole_rule_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(tuning.rule_scores(whole_evidence(spark, sf_dir), "y"), "f1_macro")
+
+
+@query()
+def whole_rule_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(tuning.best_rule(tuning.rule_scores(whole_evidence(spark, sf_dir), "y")), "f1_macro")
+
+
+@query()
+def whole_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.buckets(whole_evidence(spark, sf_dir).withColumn("label", cascade.rule()), F.col("length"), (1500, 3500, 8000), "label")
+
+
 # ---- models
 
 MODEL_FEATURES = ("word_count_log", "vocab_richness", "avg_word_length", "punct_ratio", "newline_ratio", "hapax_ratio", "yules_k", "sentence_length_cv")
