@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than the six ASCII white-space characters (Java, RE2 and Python agree on it).
@@ -25,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where it names none (as in tests) one of our own."""
+    """The cluster's shared folder. Only a session of one machine (as in tests) may name none and gets one of our own."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tracemill-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -42,6 +44,22 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column has it (in any case, as Spark compares them)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """A column by its whole name, which may hold dots."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def cut(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
@@ -137,7 +155,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps. Each is a grouped minimum, which Spark combines before it shuffles,
     and an equi-join that adaptive execution can split at a hot node; no step collects a component anywhere. Lineage
-    is cut with checkpoint() after each round. Edges with nulls and loops are ignored; no edges give no rows.
+    is cut with checkpoint() after each round. Edges with nulls and loops are ignored; no edges give no rows. Rounds grow
+    with the logarithm of a component's diameter; components that are not whole after `most_rounds` raise an error.
     """
     now = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
@@ -152,4 +171,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components are not whole after {most_rounds} rounds")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(now.select("v", "v").distinct())
