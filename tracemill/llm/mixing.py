@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, fresh, quoted, stage_table
 
 #: Sources beyond this many are joined by a shuffle instead of a broadcast.
 BROADCAST_SOURCES = 10_000
@@ -21,21 +21,32 @@ def n_words(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def ranked(sizes: DataFrame) -> DataFrame:
+    """Adds each source's place (from 0) by code point, null last. Sources may be many: ranges of them are sorted side by
+    side, and only the ranges' sizes, a row each, meet in one task."""
+    dealt = sizes.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    numbered = stage_table(dealt.select("source", "source_size", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "sources")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = numbered.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))
+    return numbered.join(parts, "part").select("source", "source_size", (F.col("before") + F.col("at")).alias("place"))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
     """sizes: one row per source (source, source_size). Adds weight and target.
 
-    Sources by code point, null last, weigh `weights`, repeating. The loop's state is three numbers; each round is one
+    Sources by code point, null last, weigh `weights`, repeating. The loop's state is two numbers; each round is one
     aggregate over the table of sources, and caps at least one more source or ends.
     """
-    ranked = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(weights))) + 1).cast("int")))
-    held = ranked.persist()  # a row per source
-    total, free = held.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
-    rest = total
+    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    held = stage_table(ranked(sizes).select("source", "source_size", weight.alias("weight")), "weights")
+    sums = lambda rows: tuple(rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first())
+    total, weights_sum = sums(held)
+    rest, free = total, weights_sum
     while True:
         # at this level a source is above if weight * rest / free > most * source_size
         above = (F.col("weight").cast("decimal(38,0)") * F.lit(rest).cast("decimal(19,0)")) > (F.col("source_size").cast("decimal(38,0)") * F.lit(most * free).cast("decimal(19,0)"))
-        size, weight = held.where(above).agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
-        left, leftw = total - most * size, sum_weight(held) - weight
+        size, weight_sum = sums(held.where(above))
+        left, leftw = total - most * size, weights_sum - weight_sum
         if (left, leftw) == (rest, free) or leftw == 0:
             break
         rest, free = left, leftw
@@ -43,38 +54,40 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     return held.withColumn("target", F.least(share, (F.col("source_size") * most).cast("double")))
 
 
-def sum_weight(held: DataFrame) -> int:
-    return held.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
-
-
 def coin(id_col):
     """Uniform in [0, 1) from the first 52 bits of the identifier's MD5."""
     return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit("null")).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix_rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, carry: bool = False) -> DataFrame:
+def rated(rows: DataFrame, sizes: DataFrame, id_col: str, source_col: str, weights: tuple[int, ...], most: int, names: list[str]) -> DataFrame:
+    """rows with source_size, target and copies under the given names, which no column of rows has."""
+    source = fresh([*rows.columns, *names], "source_of_mix")[0]
+    table = targets(sizes, weights, most).select(F.col("source").alias(source), F.col("source_size").alias(names[0]), F.col("target").alias(names[1]))
+    small = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    joined = rows.join(F.broadcast(table) if small else table, quoted(source_col).eqNullSafe(quoted(source))).drop(source)
+    rate = F.when(quoted(names[0]) > 0, quoted(names[1]) / quoted(names[0])).otherwise(F.lit(1.0))
+    whole = F.floor(rate)
+    return joined.withColumn(names[2], (whole + (coin(quoted(id_col)) < rate - whole).cast("long")).cast("long"))
+
+
+def source_sizes(docs: DataFrame, text_col: str, source_col: str) -> DataFrame:
+    return docs.select(quoted(source_col).alias("source"), n_words(quoted(text_col)).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+
+
+def mix_rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
     """One row per row of docs: id, source, size, source_size, target, copies, taken (= size * copies).
 
-    carry keeps all columns of docs and adds __copies alone. Null texts have size 0; null sources are one source of
-    their own. Repeated rows toss the same coin. A source without words has target 0 and takes each document once
-    (its documents have no words to take). No document is taken more than `most` times.
+    Null texts have size 0; null sources are one source of their own. Repeated rows and rows that share an identifier toss
+    the same coin. A source without words has target 0 and takes each document once (its documents have no words to
+    take). No document is taken more than `most` times. An empty table gives no rows. Other columns are not read.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    table = targets(sizes, weights, most).select(F.col("source").alias("__source"), F.col("source_size").alias("__size"), F.col("target").alias("__target"))
-    small = table.count() <= BROADCAST_SOURCES
-    left = docs if carry else sized
-    src = F.col(source_col if carry else "source")
-    joined = left.join(F.broadcast(table) if small else table, src.eqNullSafe(F.col("__source")))
-    rate = F.when(F.col("__size") > 0, F.col("__target") / F.col("__size")).otherwise(F.lit(1.0))
-    whole = F.floor(rate)
-    copies = (whole + (coin(F.col(id_col if carry else "id")) < rate - whole).cast("long")).cast("long")
-    if carry:
-        return joined.withColumn("__copies", copies).drop("__source", "__size", "__target")
-    return joined.select("id", "source", "size", F.col("__size").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    sized = docs.select(quoted(id_col).alias("id"), quoted(source_col).alias("source"), n_words(quoted(text_col)).alias("size"))
+    out = rated(sized, source_sizes(docs, text_col, source_col), "id", "source", weights, most, ["source_size", "target", "copies"])
+    return out.withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """The mix itself: each document's row as often as it is taken, with the columns of docs."""
-    rated = mix_rates(docs, id_col, text_col, source_col, weights, most, carry=True)
-    return rated.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).drop("__copy", "__copies")
+    """The mix itself: each document's row as often as it is taken, with the columns of docs, whatever their names."""
+    size, target, copies, copy = fresh(docs.columns, "source_size", "target", "copies", "copy")
+    out = rated(docs, source_sizes(docs, text_col, source_col), id_col, source_col, weights, most, [size, target, copies])
+    return out.where(quoted(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), quoted(copies)))).drop(size, target, copies, copy)
