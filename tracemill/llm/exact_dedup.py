@@ -1,10 +1,15 @@
 """Exact dedup by Patricia-trie owners.
 
-Texts count as equal when identical after lower-casing A-Z; null counts as empty. Work is dealt by (length, content
-hash). A task inserts whole byte strings into compressed radix tries, so equality is of bytes, never of hashes alone;
-a terminal node stores the owner's identifier and the count. Each map task first collapses its own copies in tries,
-so a group of copies that holds a third of all rows reaches the shuffle as one row a task. Rows reach the second
-tries sorted by (length, hash), a sort that Spark spills to disk; one subtree is in memory at a time.
+Texts count as equal when identical after lower-casing A-Z; null counts as empty. Texts are dealt by length and a few
+bits of a content hash, and whole byte strings of one such part are inserted into a compressed radix trie, so equality
+is of bytes, never of hashes. A terminal node stores the owner's identifier and row and the count.
+
+First, each task collapses its own copies in tries, one for each part, and gives every row the number of its terminal;
+a group of copies that holds a third of all rows thus goes on as one string a task. Tries over their budget are spilled,
+the largest first; a spilled string that comes again opens another terminal. Second, the strings of all tasks meet by
+part in the order of their bytes, a sort that Spark spills to disk. A trie that is filled in this order is complete to
+the left of its last path, so those subtrees are settled and dropped at once, and a task holds one path. Each terminal
+of the first step learns its owner from the terminal it ended in, and rows are labelled through their terminals.
 """
 
 from __future__ import annotations
@@ -14,131 +19,191 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, slices
+from .common import ascii_lower, fresh, quoted, slices, stage_table
 
-#: Distinct bytes that a map task keeps in its tries before it hands them on.
-TRIE_BYTES = 48 << 20
+#: Distinct bytes that a task keeps in its tries, bits of the content hash that deal strings of one length.
+TRIE_BYTES, BITS = 48 << 20, 12
+
+LOCAL = pa.schema([("terminal", pa.int64()), ("row", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("length", pa.int64()), ("bits", pa.int32()), ("body", pa.binary())])
+LOCAL_DDL = "terminal long, row long, id long, n long, length long, bits int, body binary"
+SETTLED = pa.schema([("terminal", pa.int64()), ("keep_row", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("sha", pa.binary())])
+SETTLED_DDL = "terminal long, keep_row long, keep_id long, group_size long, sha binary"
+
+
+def common_prefix(a: bytes, b: bytes) -> int:
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
+    return low
 
 
 class PatriciaTrie:
-    """A compressed radix trie over byte strings. Edges hold runs of bytes; terminals hold [owner, count]."""
+    """A compressed radix trie over byte strings. A node is [run of bytes, children by first byte, terminal]; a terminal
+    is [owner, owner's row, count, names of first-step terminals]."""
 
     def __init__(self, keep: str = "largest"):
         self.better = max if keep == "largest" else min
-        self.root: list = [b"", {}, None]  # run of bytes, children by first byte, terminal
+        self.size = 0
+        self.root: list = [b"", {}, None]
 
-    def insert(self, key: bytes, owner: int | None, count: int = 1) -> bool:
-        """True if the string is new."""
+    def insert(self, key: bytes, owner: int | None, row: int, n: int = 1, name: int | None = None) -> list:
+        """The string's terminal. `name` is the terminal's first name if it is new, one more if it is given again."""
         node, at = self.root, 0
         while True:
             run = node[0]
-            if key[at : at + len(run)] != run:
-                same = next((i for i, (x, y) in enumerate(zip(run, key[at:], strict=False)) if x != y), min(len(run), len(key) - at))
+            if not key.startswith(run, at):
+                same = common_prefix(run, key[at : at + len(run)])
                 node[:] = [run[:same], {run[same]: [run[same:], node[1], node[2]]}, None]  # split the edge
                 run = node[0]
             at += len(run)
             if at == len(key):
                 if node[2] is None:
-                    node[2] = [owner, count]
-                    return True
-                held = node[2]
-                held[0] = owner if held[0] is None else held[0] if owner is None else self.better(held[0], owner)
-                held[1] += count
-                return False
+                    node[2] = self.opened(key, owner, row, n, name)
+                else:
+                    self.merged(node[2], owner, row, n, name)
+                return node[2]
             child = node[1].get(key[at])
             if child is None:
-                node[1][key[at]] = [key[at:], {}, [owner, count]]
-                return True
+                node[1][key[at]] = child = [key[at:], {}, self.opened(key, owner, row, n, name)]
+                return child[2]
             node = child
 
-    def items(self) -> Iterator[tuple[bytes, int | None, int]]:
-        stack = [(self.root, b"")]
+    def opened(self, key: bytes, owner: int | None, row: int, n: int, name: int | None) -> list:
+        self.size += len(key) + 500
+        return [owner, row, n, [row if name is None else name]]
+
+    def merged(self, held: list, owner: int | None, row: int, n: int, name: int | None) -> None:
+        if owner is not None and (held[0] is None or (owner != held[0] and self.better(owner, held[0]) == owner)):
+            held[0], held[1] = owner, row
+        elif owner == held[0]:
+            held[1] = min(held[1], row)
+        held[2] += n
+        if name is not None:
+            held[3].append(name)
+
+    def items(self, node: list | None = None, before: bytes = b"") -> Iterator[tuple[bytes, list]]:
+        stack = [(node or self.root, before)]
         while stack:
             node, before = stack.pop()
             whole = before + node[0] if before else node[0]
             if node[2] is not None:
-                yield whole, node[2][0], node[2][1]
+                yield whole, node[2]
             stack += [(child, whole) for child in node[1].values()]
 
+    def settled(self, key: bytes) -> Iterator[tuple[bytes, list]]:
+        """Takes out the subtrees that lie before a string: no string that follows it in order can reach them."""
+        node, at = self.root, 0
+        while True:
+            run = node[0]
+            if not key.startswith(run, at):
+                if node is self.root:  # its whole tree lies before
+                    yield from self.items()
+                    self.root = [b"", {}, None]
+                return
+            at += len(run)
+            if at == len(key):
+                return
+            for first in [b for b in node[1] if b < key[at] or not key.startswith(node[1][b][0], at) and node[1][b][0] < key[at:]]:
+                yield from self.items(node[1].pop(first), key[:at])
+            child = node[1].get(key[at])
+            if child is None:
+                return
+            node = child
+
 
-OWNERS = pa.schema([("length", pa.int64()), ("chash", pa.int64()), ("body", pa.binary()), ("owner", pa.int64()), ("n", pa.int64())])
-SETTLED = pa.schema([("sha", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+def rows_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * len(schema.types), schema.types, strict=True)], schema=schema)
 
 
-def local_owners(keep: str):
+def local_tries(keep: str, budget: int):
+    """A row (terminal, row, id) for each row of docs, and one with the string for each terminal."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[tuple[int, int], PatriciaTrie] = {}
-        held = 0
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            out: list[tuple] = []
-            size = 0
-            for (length, chash), trie in tries.items():
-                for body, owner, n in trie.items():
-                    out.append((length, chash, body, owner, n))
-                    size += length
+        held, row = 0, TaskContext.get().partitionId() << 40
+
+        def spilled(most: int) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            out, size = [], 0
+            for part in sorted(tries, key=lambda p: tries[p].size):
+                if held <= most:
+                    break
+                trie = tries.pop(part)
+                held -= trie.size
+                for body, (owner, at, n, names) in trie.items():
+                    out.append((names[0], at, owner, n, *part, body))
+                    size += len(body)
                     if size > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), OWNERS.types, strict=True)], schema=OWNERS)
+                        yield rows_of(out, LOCAL)
                         out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), OWNERS.types, strict=True)], schema=OWNERS)
+                yield rows_of(out, LOCAL)
 
         for batch in batches:
-            for part in slices(batch, "text"):
-                for owner, text in zip(part["id"].to_pylist(), part["text"].cast(pa.large_binary()).to_pylist(), strict=True):
+            for rows in slices(batch, "text"):
+                terminals, first = [], row
+                for owner, text in zip(rows["id"].to_pylist(), rows["text"].cast(pa.large_binary()).to_pylist(), strict=True):
                     body = (text or b"").lower()  # of bytes, this lower-cases A-Z alone
-                    key = (len(body), xxhash.xxh3_64_intdigest(body) - (1 << 63))
-                    trie = tries.get(key)
+                    part = len(body), xxhash.xxh3_64_intdigest(body) >> (64 - BITS)
+                    trie = tries.get(part)
                     if trie is None:
-                        trie = tries[key] = PatriciaTrie(keep)
-                    if trie.insert(body, owner):
-                        held += len(body) + 500
-                if held > TRIE_BYTES:
-                    yield from rows()
-                    tries.clear()
-                    held = 0
-        yield from rows()
+                        trie = tries[part] = PatriciaTrie(keep)
+                    before = trie.size
+                    terminals.append(trie.insert(body, owner, row)[3][0])
+                    held += trie.size - before
+                    row += 1
+                none = lambda kind: pa.nulls(len(terminals), kind)
+                yield pa.RecordBatch.from_arrays([pa.array(terminals, pa.int64()), pa.array(range(first, row), pa.int64()), rows["id"], none(pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.binary())], schema=LOCAL)
+                if held > budget:
+                    yield from spilled(budget // 2)
+        yield from spilled(-1)
 
     return run
 
 
-def settled_owners(keep: str):
+def settled_tries(keep: str):
+    """Of strings in the order of (length, bits, body): the owner of each first-step terminal."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, trie = None, PatriciaTrie(keep)
         out: list[tuple] = []
-        for batch in batches:
-            cols = [batch[c].to_pylist() for c in OWNERS.names]
-            for length, chash, body, owner, n in zip(*cols, strict=True):
-                if (length, chash) != now:
-                    out += [(hashlib.sha256(b).digest(), o, k) for b, o, k in trie.items()]
-                    now, trie = (length, chash), PatriciaTrie(keep)
-                trie.insert(body, owner, n)
-            if len(out) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SETTLED.types, strict=True)], schema=SETTLED)
-                out = []
-        out += [(hashlib.sha256(b).digest(), o, k) for b, o, k in trie.items()]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SETTLED.types, strict=True)], schema=SETTLED)
 
-    return run
+        def put(found: Iterator[tuple[bytes, list]]) -> None:
+            for body, (owner, row, n, names) in found:
+                sha = hashlib.sha256(body).digest()
+                out.extend((name, row, owner, n, sha) for name in names)
 
+        for batch in batches:
+            cols = [batch[c].to_pylist() for c in LOCAL.names]
+            for terminal, row, owner, n, length, bits, body in zip(*cols, strict=True):
+                if (length, bits) != now:
+                    put(trie.items())
+                    now, trie = (length, bits), PatriciaTrie(keep)
+                else:
+                    put(trie.settled(body))
+                trie.insert(body, owner, row, n, terminal)
+                if len(out) > 5000:
+                    yield rows_of(out, SETTLED)
+                    out.clear()
+        put(trie.items())
+        yield rows_of(out, SETTLED)
 
-def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Appends the digest of the normalised text in place of the text, keeping the other columns."""
-    for batch in batches:
-        sha = [hashlib.sha256((t or b"").lower()).digest() for t in batch["text"].cast(pa.large_binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(sha, pa.binary())], names=["id", "sha"])
+    return run
 
 
-def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """One row per different text: sha (of the normalised text), keep_id, group_size."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    local = rows.mapInArrow(local_owners(keep), "length long, chash long, body binary, owner long, n long")
-    dealt = local.repartition("length", "chash").sortWithinPartitions("length", "chash")
-    return dealt.mapInArrow(settled_owners(keep), "sha binary, keep_id long, group_size long")
+def labelled(docs: DataFrame, id_col: str, text_col: str, keep: str) -> DataFrame:
+    """id, keep_id, group_size, kept, sha of every row of docs, through the terminals of the tries."""
+    rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
+    local = stage_table(rows.mapInArrow(local_tries(keep, TRIE_BYTES), LOCAL_DDL), "tries")
+    strings = local.where("body is not null").repartition("length", "bits").sortWithinPartitions("length", "bits", "body")
+    owners = strings.mapInArrow(settled_tries(keep), SETTLED_DDL)
+    placed = local.where("body is null").select("terminal", "row", "id").join(owners, "terminal")
+    return placed.select("id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "sha")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
@@ -149,18 +214,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts are empty, and empty texts are copies of each other. An empty table gives no rows. Other columns of docs
     are not read, so their names cannot clash.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    each = rows.mapInArrow(digests, "id long, sha binary").groupBy("sha", "id").agg(F.count("*").alias("copies"))
-    joined = each.join(owners(docs, id_col, text_col, keep), "sha")  # a hot text's rows can be split between tasks
-    return joined.select("id", "keep_id", "group_size", "sha", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select(
-        F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
-    )
+    return labelled(docs, id_col, text_col, keep).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of repeated rows with one identifier and text, one."""
-    stay = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("__id"), F.unhex("text_sha256").alias("__sha"))
-    marked = docs.withColumn("__sha", F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)))
-    kept = marked.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (marked["__sha"] == stay["__sha"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col, "__sha").orderBy(*[F.col(c) for c, t in docs.dtypes if t in ("string", "bigint", "int", "double") and c not in (id_col, text_col)][:8] or [F.lit(1)]))
-    return kept.withColumn("__n", first).where("__n = 1").drop("__n", "__sha")
+    """The rows of docs that stay, with all their columns, whatever their names; of repeated rows with one identifier and
+    text, one. Nulls and empty tables as in exact_dedup()."""
+    own_id, own_sha, sha, n = fresh(docs.columns, "own_id", "own_sha", "sha", "n")
+    stay = labelled(docs, id_col, text_col, keep).where("kept").select(F.col("id").alias(own_id), F.col("sha").alias(own_sha))
+    marked = docs.withColumn(sha, F.unhex(F.sha2(ascii_lower(F.coalesce(quoted(text_col), F.lit(""))), 256)))
+    kept = marked.join(stay, quoted(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.col(sha) == F.col(own_sha)), "left_semi")
+    others = [quoted(c) for c, t in docs.dtypes if t in ("string", "bigint", "int", "double") and c not in (id_col, text_col)][:8]
+    first = F.row_number().over(Window.partitionBy(quoted(id_col), F.col(sha)).orderBy(*others or [F.lit(1)]))
+    return kept.withColumn(n, first).where(F.col(n) == 1).drop(n, sha)
