@@ -4,6 +4,9 @@ Document statistics (of characters, words and lines; never labels, language, sou
 and mapped to cosines of random projections, whose inner products approximate a Gaussian kernel. Tasks sum the normal
 equations of their rows; the driver adds a fixed number of such sums and solves a system of `features` unknowns. Scores
 are calibrated by isotonic regression on rows that the ridge did not see.
+
+A fit reads labelled rows alone: the labels, FIT_ROWS at most, are joined to the documents before any statistics are
+taken, and the statistics of those rows are a staged table from there on. Scoring is one pass over all documents.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage_table, words
+from .common import quoted, slices, stage_table, words
 
 #: Labelled rows that a model is fitted on at most (a sample by hash beyond), tasks that sum equations, cosines, ridge.
 FIT_ROWS, FIT_TASKS, FEATURES, RIDGE, SEED = 200_000, 16, 384, 1.0, 11
@@ -78,7 +81,7 @@ def statistics_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         for part in slices(batch, "text"):
             x = statistics(part["text"])
-            yield pa.RecordBatch.from_arrays([part["id"], pa.array([r.astype("<f8").tobytes() for r in x], pa.binary())], names=["id", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([r.astype("<f8").tobytes() for r in x], pa.binary()), part["y"], part["fold"]], names=["x", "y", "fold"])
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -140,14 +143,21 @@ def fold(id_col):
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(4))
 
 
-def fit(stats: DataFrame, labels: DataFrame, label_id: str = "doc_id", label: str = "quality", held_out: int = 2, calibrate: int = 3, features: int = FEATURES, most: int = FIT_ROWS) -> Model:
-    """stats: (id, x). Learns from labelled rows outside fold `held_out`; fold `calibrate` fits the calibration alone."""
-    y = labels.select(F.col(label_id).cast("long").alias("id"), F.col(label).cast("double").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    rows = stats.join(y, "id").withColumn("fold", fold(F.col("id"))).where(F.col("fold") != held_out)
-    n = y.where(fold(F.col("id")) != held_out).count()
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, label: str, held_out: int, most: int) -> DataFrame:
+    """x, y and fold of the documents with a label outside fold `held_out`; beyond `most` labels, of a sample by hash."""
+    y = labels.select(quoted(label_id).cast("long").alias("own"), quoted(label).cast("double").alias("y")).where("own is not null and y is not null")
+    y = y.groupBy("own").agg(F.max("y").alias("y")).withColumn("fold", fold(F.col("own"))).where(F.col("fold") != held_out)
+    n = y.count()
     if n > most:
-        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(most / n * (1 << 20)))
-    rows = stage_table(rows.select("x", "y", "fold").coalesce(FIT_TASKS), "labelled")
+        y = y.where(F.pmod(F.xxhash64("own"), F.lit(1 << 20)) < int(most / n * (1 << 20)))
+    rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
+    own = rows.join(F.broadcast(y), F.col("id") == F.col("own"))  # about `most` rows of three numbers, whatever the input
+    return stage_table(own.select("text", "y", "fold").mapInArrow(statistics_rows, "x binary, y double, fold long"), "labelled")
+
+
+def fit(rows: DataFrame, calibrate: int = 3, features: int = FEATURES) -> Model:
+    """Learns from labelled() rows; fold `calibrate` fits the calibration alone. The table is of a bounded size, so that
+    FIT_TASKS tasks read it, whose sums are added up here."""
     learn = rows.where(F.col("fold") != calibrate)
     k = len(NAMES)
     sums = total(learn.coalesce(FIT_TASKS), lambda x, y: np.concatenate([x.sum(axis=0), (x**2).sum(axis=0), [len(x)]]), 2 * k + 1)
@@ -177,17 +187,8 @@ def fit(stats: DataFrame, labels: DataFrame, label_id: str = "doc_id", label: st
     return model
 
 
-def scores(stats: DataFrame, model: Model) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch["id"], pa.array(model.score(matrix(batch["x"])))], names=["id", "score"])
-
-    return stats.mapInArrow(run, "id long, score double")
-
-
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(statistics_rows, "id long, x binary")
+def model_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str = "doc_id", label: str = "quality", held_out: int = 2, most: int = FIT_ROWS) -> Model:
+    return fit(labelled(docs, labels, id_col, text_col, label_id, label, held_out, most))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: float = 0.7) -> DataFrame:
@@ -198,19 +199,29 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     labels every score is 0.5. Repeated rows get one score each; an empty table gives no rows. Other columns are not
     read.
     """
-    stats = stage_table(text_statistics(docs, id_col, text_col), "statistics")
-    scored = scores(stats, fit(stats, labels))
+    model = model_of(docs, labels, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(model.score(statistics(part["text"])))], names=["id", "score"])
+
+    rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
+    scored = rows.mapInArrow(run, "id long, score double")
     return scored.select(F.col("id").alias(id_col), F.coalesce(fold(F.col("id")) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= good).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: float = 0.7) -> DataFrame:
-    """The rows of docs that are not rejected, with their columns. Nothing is shuffled but the statistics of labelled rows."""
-    model = fit(text_statistics(docs, id_col, text_col), labels)
-    names = docs.columns
+    """The rows of docs that are not rejected, with their columns, whatever their names. Nothing is shuffled but labels.
+
+    Odd rows and labels as in classify(); without any labels every row is rejected.
+    """
+    model = model_of(docs, labels, id_col, text_col)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
-                yield part.filter(pa.array(model.score(statistics(part[names.index(text_col)])) >= good))
+                yield part.filter(pa.array(model.score(statistics(part[at])) >= good))
 
     return docs.mapInArrow(run, docs.schema)
