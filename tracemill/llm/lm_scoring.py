@@ -3,164 +3,39 @@
 Two bigram models, of a target corpus and of the background, share one vocabulary: every word of either. Both are counted
 over all of their documents and matched: background counts are scaled to the target's number of tokens, and both
 interpolate with their own unigrams. A document's score is its mean loss per token under the target minus that under the
-background; the lower, the more it is like the target.
+background; the lower, the more it is like the target. A document is scored by models that were counted without it, so
+that documents of the target are not near to it for having been counted.
 
 The models are never held in one place. Texts are cut into chunks, each staged as its distinct words' hashes and one
-index a token. A chunk ships its distinct words and pairs once, with their counts, by ranges of their hashes; each range
-adds up the counts of all chunks and answers every chunk of the background with the totals of what it asked for, and
-the chunk scores its documents. So a hot n-gram is one entry a chunk, and what is counted grows with the corpus.
-
-Given a size, the vocabulary is only that many entries instead: the most frequent words of the background, a start symbol,
-and classes by shape for all other words. That model is a fixed table of size * size losses, which is why it may be
-broadcast.
+index a token. A chunk ships its distinct words and pairs once, with their counts in both corpora, by ranges of their
+hashes; each range adds up the counts of all chunks and answers every chunk that has documents to score with the totals
+of what it asked for, and the chunk scores its documents. So a hot n-gram is one entry a chunk, what is counted grows
+with the corpus, and no task holds more than a chunk or a range. Within its range, a hash is told by KEY_BITS bits.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, planes, slices, spans, stage_table, text_bytes, unplanes, words
+from .common import mix, planes, quoted, slices, spans, stage_table, text_bytes, unplanes, words
 
-#: Tokens and documents of a chunk, bytes of text for each range of hashes.
-CHUNK_TOKENS, CHUNK_DOCS, SHARD_BYTES = 1_000_000, 100_000, 8 << 20
+#: Tokens and documents of a chunk, bytes of text for each range of hashes, bits of a hash within its range, weight of unigrams.
+CHUNK_TOKENS, CHUNK_DOCS, SHARD_BYTES, KEY_BITS, PRIOR = 1_000_000, 100_000, 8 << 20, 40, 4.0
 FIRST = np.uint64(0x243F6A8885A308D3)  # stands for the start of a document where pairs are hashed
-CHUNKS = "chunk long, ids array<long>, lengths array<long>, words binary, tokens binary"
+BACKGROUND, TARGET = 1, 2  # flags of a document
+
+CHUNKS = "chunk long, ids array<long>, flags binary, lengths array<long>, words binary, tokens binary"
+COUNTS = ("n", "ends", "m")  # of words, of words that end a document, of pairs; each in the background, then in the target
 ASKED = "shard int, chunk long, words binary, n binary, ends binary, pairs binary, m binary"
-SCORED = "id long, n_tokens long, ce_target double, ce_background double, score double"
 TOTALS = "shard int, chunk long, n binary, ends binary, m binary, vocabulary long, tokens long, wanted_tokens long, texts long, wanted_texts long"
-#: Of a vocabulary of a given size: segments of the table of pairs, tasks whose counts the first level merges, weight of unigrams.
-SEGMENTS, MERGED, PRIOR = 32, 16, 4.0
-START, SHAPES = 0, 8  # entry 0 starts a document; entries 1 to SHAPES are words outside the vocabulary
-FLUSH_BYTES = 32 << 20
-
-
-def shape(word: str) -> int:
-    """Class of a word outside the vocabulary: with a digit, with only marks, or by length and whether it is ASCII."""
-    if re.search(r"\d", word):
-        return 1
-    if not re.search(r"\w", word):
-        return 2
-    return (3 if len(word) < 6 else 4 if len(word) < 12 else 5) if word.isascii() else (6 if len(word) < 6 else 7 if len(word) < 12 else 8)
-
-
-def lowered(names: pa.Array) -> pa.Array:
-    """Words with A-Z lower-cased (as bytes)."""
-    return pa.array([w.lower() for w in names.cast(pa.large_binary()).to_pylist()], pa.large_binary()).cast(pa.large_string())
-
-
-def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-
-    def merged() -> pa.RecordBatch:
-        t = pa.concat_tables(held).group_by("w").aggregate([("n", "sum")])
-        return pa.RecordBatch.from_arrays([t["w"].combine_chunks().cast(pa.string()), t["n_sum"].combine_chunks().cast(pa.int64())], names=["w", "n"])
-
-    for batch in batches:
-        for part in slices(batch, "text"):
-            flat, _ = words(part["text"])
-            counts = pc.value_counts(flat)
-            held.append(pa.table([lowered(counts.field("values")), counts.field("counts")], names=["w", "n"]))
-            size += part["text"].nbytes
-            if size >= FLUSH_BYTES:
-                yield merged()
-                held, size = [], 0
-    if held:
-        yield merged()
-
-
-def vocabulary(texts: DataFrame, size: int) -> list[str]:
-    """The most frequent words (a fixed number; ties by the word)."""
-    counts = texts.mapInArrow(word_counts, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(size - SHAPES - 1).collect()]
-
-
-def entries(texts: pa.Array, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Vocabulary entry of every word, and the starts of the texts."""
-    flat, starts = words(texts)
-    coded = flat.dictionary_encode()
-    names = lowered(coded.dictionary)
-    at = pc.index_in(names, vocab)
-    known = np.asarray(pc.fill_null(at, -1)).astype(np.int64)
-    own = np.where(known >= 0, known + SHAPES + 1, 0)
-    for i in np.flatnonzero(known < 0).tolist():
-        own[i] = shape(names[i].as_py())
-    return own[np.asarray(coded.indices)] if len(flat) else np.zeros(0, dtype=np.int64), starts
-
-
-def pair_cells(texts: pa.Array, vocab: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cell (history * size + word) of every word, and the starts of the texts."""
-    word, starts = entries(texts, vocab)
-    before = np.concatenate([[START], word[:-1]]) if len(word) else word
-    before[starts[:-1][np.diff(starts) > 0]] = START
-    return before * size + word, starts
-
-
-def pair_counts(vocab: list[str], size: int):
-    per = -(-size * size // SEGMENTS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = pa.array(vocab, pa.large_string()), np.zeros(size * size, dtype=np.int64)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                cells, _ = pair_cells(part["text"], known, size)
-                total += np.bincount(cells, minlength=size * size)
-        rows = []
-        for k in range(SEGMENTS):
-            own = total[k * per : (k + 1) * per]
-            at = np.flatnonzero(own)
-            if len(at):
-                rows.append((k, TaskContext.get().partitionId() % MERGED, planes(np.diff(at, prepend=0).astype(np.uint64), 4), planes(own[at].astype(np.uint64), 8)))
-        yield _rows(rows)
-
-    return run
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["segment", "task", "at", "n"])
-
-
-def merge(size: int):
-    per = -(-size * size // SEGMENTS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, segment = np.zeros(per, dtype=np.int64), None
-        for batch in batches:
-            for k, at, n in zip(batch["segment"].to_pylist(), batch["at"].to_pylist(), batch["n"].to_pylist(), strict=True):
-                segment = k
-                total[np.cumsum(unplanes(at, 4).astype(np.int64))] += unplanes(n, 8).astype(np.int64)
-        if segment is not None:
-            at = np.flatnonzero(total)
-            yield _rows([(segment, 0, planes(np.diff(at, prepend=0).astype(np.uint64), 4), planes(total[at].astype(np.uint64), 8))])
-
-    return run
-
-
-def counted(texts: DataFrame, vocab: list[str], size: int) -> np.ndarray:
-    """How often each pair of entries occurs in all texts: SEGMENTS rows of a fixed size reach the driver."""
-    ddl, per = "segment int, task int, at binary, n binary", -(-size * size // SEGMENTS)
-    stream = merge(size)
-    rows = texts.mapInArrow(pair_counts(vocab, size), ddl).groupBy("segment", "task").applyInArrow(stream, ddl).groupBy("segment").applyInArrow(stream, ddl)
-    total = np.zeros(per * SEGMENTS, dtype=np.int64)
-    for r in rows.collect():
-        total[r["segment"] * per + np.cumsum(unplanes(bytes(r["at"]), 4).astype(np.int64))] += unplanes(bytes(r["n"]), 8).astype(np.int64)
-    return total[: size * size].reshape(size, size)
-
-
-def losses(counts: np.ndarray, scale: float, prior: float) -> np.ndarray:
-    """-ln p(word | history), rows of histories, of counts times scale."""
-    c = counts * scale
-    one = (c.sum(axis=0) + 1.0) / (c.sum() + len(c))
-    return -np.log((c + prior * one[None, :]) / (c.sum(axis=1, keepdims=True) + prior))
+SCORED = "id long, n_tokens long, ce_target double, ce_background double, score double"
 
 
 def packed(values: np.ndarray, width: int) -> bytes:
@@ -174,8 +49,8 @@ def unpacked(data: bytes, width: int) -> np.ndarray:
 
 
 def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of documents: hashes of the distinct words (A-Z lower-cased, as bytes), frequent ones first, and an index a token."""
-    names, at, ids, lengths, held, docs, chunk = [], [], [], [], 0, 0, TaskContext.get().partitionId() << 32
+    """Chunks of documents (id, flag, text): hashes of the distinct words (A-Z lower-cased, as bytes), frequent ones first, and an index a token."""
+    names, at, ids, flags, lengths, held, docs, chunk = [], [], [], [], [], 0, 0, TaskContext.get().partitionId() << 32
 
     def flushed() -> pa.RecordBatch:
         every, own = np.unique(np.concatenate(names), return_inverse=True)
@@ -184,9 +59,10 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(-np.bincount(tokens, minlength=len(every)), kind="stable")
         rank = np.empty(len(every), dtype=np.int64)
         rank[order] = np.arange(len(every))
-        row = [chunk, pa.concat_arrays(ids), np.concatenate(lengths), packed(every[order], 8), packed(rank[tokens].astype(np.uint64), 4)]
-        lists = [pa.LargeListArray.from_arrays([0, len(x)], pa.array(x, pa.int64())).cast(pa.list_(pa.int64())) for x in row[1:3]]
-        return pa.RecordBatch.from_arrays([pa.array(row[:1], pa.int64()), *lists, *[pa.array([x], pa.binary()) for x in row[3:]]], names=["chunk", "ids", "lengths", "words", "tokens"])
+        lists = [pa.LargeListArray.from_arrays([0, len(x)], pa.array(x, pa.int64())).cast(pa.list_(pa.int64())) for x in (pa.concat_arrays(ids), np.concatenate(lengths))]
+        row = [np.concatenate(flags).astype(np.uint8).tobytes(), packed(every[order], 8), packed(rank[tokens].astype(np.uint64), 4)]
+        cols = [pa.array([x], pa.binary()) for x in row]
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), lists[0], cols[0], lists[1], *cols[1:]], names=[x.split()[0] for x in CHUNKS.split(", ")])
 
     for batch in batches:
         for part in slices(batch, "text"):
@@ -195,149 +71,160 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names.append(np.array([xxhash.xxh3_64_intdigest(w.lower()) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], dtype=np.uint64))
             at.append(np.asarray(coded.indices).astype(np.int64))
             ids.append(part["id"])
+            flags.append(np.asarray(part["flag"]))
             lengths.append(np.diff(starts))
             held, docs = held + len(flat), docs + part.num_rows
             if held >= CHUNK_TOKENS or docs >= CHUNK_DOCS:
                 yield flushed()
-                names, at, ids, lengths, held, docs, chunk = [], [], [], [], 0, 0, chunk + 1
+                names, at, ids, flags, lengths, held, docs, chunk = [], [], [], [], [], 0, 0, chunk + 1
     if docs:
         yield flushed()
 
 
-def grams(names: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of a chunk: hashes of its distinct pairs, ascending, their counts, words before (len(names): none) and words, and each token's pair."""
-    size, starts = len(names) + 1, np.cumsum(lengths) - lengths
-    before = np.concatenate([[0], tokens[:-1]]) if len(tokens) else tokens
-    before[starts[lengths > 0]] = size - 1
-    pairs, at, m = np.unique(before * size + tokens, return_inverse=True, return_counts=True)
-    before, word = pairs // size, pairs % size
-    key = mix(mix(np.append(names, FIRST)[before]) * np.uint64(0x9E3779B97F4A7C15) + names[word])
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.arange(len(order))
-    return key[order], m[order], before[order], word[order], rank[at]
+KINDS = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
 
 
-def chunk_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return unpacked(row["words"], 8), unpacked(row["tokens"], 4).astype(np.int64), np.array(row["lengths"], dtype=np.int64)
+def record(rows: list[tuple], ddl: str) -> pa.Table:
+    fields = [x.split() for x in ddl.split(", ")]
+    cols = list(zip(*rows, strict=True)) or [[]] * len(fields)
+    return pa.table([pa.array(c, KINDS[kind]) for c, (_, kind) in zip(cols, fields, strict=True)], names=[name for name, _ in fields])
+
+
+class Chunk:
+    """A staged chunk: its documents' flags and lengths, its words and tokens, and its distinct pairs. Documents at the
+    wanted places are the target's."""
+
+    def __init__(self, chunk: pa.Table, wanted: list):
+        row = chunk.drop_columns(["ids"]).to_pylist()[0]
+        self.number, self.lengths = row["chunk"], np.array(row["lengths"], dtype=np.int64)
+        self.flags = np.frombuffer(row["flags"], dtype=np.uint8).copy()
+        for places in wanted:
+            self.flags[np.array(places or [], dtype=np.int64)] |= TARGET
+        self.names, self.tokens = unpacked(row["words"], 8), unpacked(row["tokens"], 4).astype(np.int64)
+        self.of = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        full = self.lengths > 0
+        self.first, self.last = (np.cumsum(self.lengths) - self.lengths)[full], (np.cumsum(self.lengths) - 1)[full]
+        size = len(self.names) + 1  # the last history is a document's start
+        self.history = np.concatenate([[0], self.tokens[:-1]]) if len(self.tokens) else self.tokens
+        self.history[self.first] = size - 1
+        pairs, self.pair = np.unique(self.history * size + self.tokens, return_inverse=True)
+        self.key = mix(mix(np.append(self.names, FIRST)[pairs // size]) * np.uint64(0x9E3779B97F4A7C15) + self.names[pairs % size])
+
+    def counted(self, at: np.ndarray, docs: np.ndarray, n: int) -> list[np.ndarray]:
+        """How often each of n entries occurs in the background's documents and in the target's."""
+        return [np.bincount(at[(self.flags[docs] & f) > 0], minlength=n) for f in (BACKGROUND, TARGET)]
+
+    def counts(self) -> dict[str, list[np.ndarray]]:
+        n = len(self.names)
+        return {"n": self.counted(self.tokens, self.of, n), "ends": self.counted(self.tokens[self.last], self.of[self.last], n), "m": self.counted(self.pair, self.of, len(self.key))}
 
 
 def asked(shard_bits: int):
     """A chunk's distinct words (counts, and how often last in a document) and pairs, by range of their hashes."""
+    shift, rest = np.uint64(shard_bits), np.uint64(64 - KEY_BITS)
 
-    def by_shard(keys: np.ndarray, counts: list[np.ndarray]) -> dict[int, list[bytes]]:
+    def by_shard(keys: np.ndarray, counts: list[list[np.ndarray]]) -> dict[int, list[bytes]]:
+        order = np.argsort(keys)
+        keys = keys[order]
         shard = (keys >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(keys), dtype=np.int64)
+        short = (keys << shift) >> rest
         start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else shard
-        return {int(shard[s]): [packed(np.diff(keys[s:e], prepend=np.uint64(0)), 8), *(packed(c[s:e].astype(np.uint64), 5) for c in counts)] for s, e in spans(start, len(shard))}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                names, tokens, lengths = chunk_of(row)
-                last = tokens[(np.cumsum(lengths) - 1)[lengths > 0]]
-                order = np.argsort(names)
-                one = by_shard(names[order], [np.bincount(t, minlength=len(names))[order] for t in (tokens, last)])
-                keys, m, *_ = grams(names, tokens, lengths)
-                two = by_shard(keys, [m])
-                rows = [(s, row["chunk"], *one.get(s, [b""] * 3), *two.get(s, [b""] * 2)) for s in sorted(one.keys() | two.keys())]
-                cols = list(zip(*rows, strict=True)) or [[]] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)], names=["shard", "chunk", "words", "n", "ends", "pairs", "m"])
+        own = [[x[order].astype(np.uint64) for x in c] for c in counts]
+        return {int(shard[s]): [packed(np.diff(short[s:e], prepend=np.uint64(0)), 5), *(packed(np.concatenate([x[s:e] for x in c]), 5) for c in own)] for s, e in spans(start, len(shard))}
+
+    def run(chunk: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not chunk.num_rows:
+            return record([], ASKED)
+        own = Chunk(chunk, wanted["places"].to_pylist())
+        c = own.counts()
+        one, two = by_shard(own.names, [c["n"], c["ends"]]), by_shard(own.key, [c["m"]])
+        return record([(s, own.number, *one.get(s, [b""] * 3), *two.get(s, [b""] * 2)) for s in sorted(one.keys() | two.keys())], ASKED)
 
     return run
 
 
 def totals(part: pa.Table) -> pa.Table:
-    """Of one range of hashes: the totals of what each chunk of the background asked for, and a row of sums.
-
-    Chunks of the target have none. A value of the answers holds the background's counts, then the target's.
-    """
+    """Of one range of hashes: the totals of what each chunk asked for, and a row of sums."""
     chunks, shard = part["chunk"].to_pylist(), part["shard"][0].as_py()
-    background = np.array([c is not None for c in chunks])
-    answers, sums = [], []
-    for key, *counts in (("words", "n", "ends"), ("pairs", "m")):
-        own = [np.cumsum(unpacked(x, 8), dtype=np.uint64) for x in part[key].to_pylist()]
-        size = np.array([len(x) for x in own])
+    answers, sums = {}, {}
+    for key, names in (("words", ("n", "ends")), ("pairs", ("m",))):
+        own = [np.cumsum(unpacked(x, 5), dtype=np.uint64) for x in part[key].to_pylist()]
+        size = [len(x) for x in own]
         every, at = np.unique(np.concatenate(own), return_inverse=True)
-        mine, first = np.repeat(background, size), np.cumsum(size) - size
-        for c in counts:
-            n = np.concatenate([unpacked(x, 5) for x in part[c].to_pylist()]).astype(np.float64)
-            both = [np.bincount(at[w], weights=n[w], minlength=len(every)).astype(np.uint64) for w in (mine, ~mine)]
-            sums += [len(every), *(int(x.sum()) for x in both)]
-            answers.append([packed(np.concatenate([x[at[s : s + k]] for x in both]), 5) for s, k, b in zip(first, size, background, strict=True) if b])
-    named = [c for c in chunks if c is not None]
-    cols = [[shard] * (len(named) + 1), [*named, None], *([*a, None] for a in answers), *([None] * len(named) + [x] for x in (sums[0], sums[1], sums[2], sums[4], sums[5]))]
-    types = [pa.int32(), pa.int64(), *[pa.binary()] * 3, *[pa.int64()] * 5]
-    return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in TOTALS.split(", ")])
+        sums[key], first = len(every), np.cumsum([0, *size])
+        for c in names:
+            both = [unpacked(x, 5).reshape(2, -1) for x in part[c].to_pylist()]
+            added = [np.bincount(at, weights=np.concatenate([x[i] for x in both]).astype(np.float64), minlength=len(every)).astype(np.uint64) for i in (0, 1)]
+            sums[c] = [int(x.sum()) for x in added]
+            answers[c] = [packed(np.concatenate([x[at[s:e]] for x in added]), 5) for s, e in zip(first[:-1], first[1:], strict=True)]
+    rows = [(shard, c, *own, *[None] * 5) for c, *own in zip(chunks, *(answers[c] for c in COUNTS), strict=True)]
+    return record([*rows, (shard, None, None, None, None, sums["words"], *sums["n"], *sums["ends"])], TOTALS)
 
 
-def halves(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The background's counts of all answers, and the target's."""
-    got = [np.zeros(0), *(unpacked(x, 5).astype(np.float64) for x in values)]
-    return np.concatenate([x[: len(x) // 2] for x in got]), np.concatenate([x[len(x) // 2 :] for x in got])
+def halves(values: list[bytes]) -> list[np.ndarray]:
+    """The background's totals of all answers, and the target's."""
+    got = [np.zeros((2, 0)), *(unpacked(x, 5).astype(np.float64).reshape(2, -1) for x in values)]
+    return [np.concatenate([x[i] for x in got]) for i in (0, 1)]
 
 
 def scored(sums: dict, prior: float):
     tokens, texts = (sums["tokens"], sums["wanted_tokens"]), (sums["texts"], sums["wanted_texts"])
-    scales = (tokens[1] / max(tokens[0], 1) if tokens[1] else 1.0, 1.0)
 
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        if not chunk.num_rows:
+            return record([], SCORED)
         answers = answers.sort_by("shard")
-        n, ends, m = (halves(answers[c].to_pylist()) for c in ("n", "ends", "m"))
-        ids, row = chunk["ids"].combine_chunks().flatten(), chunk.drop_columns(["ids"]).to_pylist()[0]
-        names, own, lengths = chunk_of(row)
-        order, (_, _, before, word, at) = np.argsort(names), grams(names, own, lengths)
-        of, safe, means = np.repeat(np.arange(len(lengths)), lengths), np.maximum(lengths, 1), []
-        for i in (0, 1):
-            word_n, after = np.empty(len(names)), np.empty(len(names) + 1)
-            word_n[order], after[order], after[-1] = n[i], n[i] - ends[i], texts[i]
-            one = (word_n[word] * scales[i] + 1.0) / (tokens[i] * scales[i] + sums["vocabulary"])
-            loss = -np.log((m[i] * scales[i] + prior * one) / (after[before] * scales[i] + prior))
-            means.append(np.bincount(of, weights=loss[at], minlength=len(lengths)) / safe)
-        return pa.table([ids, pa.array(lengths), pa.array(means[1]), pa.array(means[0]), pa.array(means[1] - means[0])], names=["id", "n_tokens", "ce_target", "ce_background", "score"])
+        n, ends, m = (halves([x for x in answers[c].to_pylist() if x is not None]) for c in COUNTS)
+        c = Chunk(chunk, answers["places"].to_pylist())
+        size, lengths, of = len(c.names) + 1, c.lengths, c.of
+        places = lambda keys: np.argsort(np.argsort(keys))
+        word_at, pair_at = places(c.names), places(c.key)[c.pair]
+        # what a token's own document has of its pair, word and history
+        same = lambda x, k: np.take(*np.unique(of * k + x, return_inverse=True, return_counts=True)[:0:-1])
+        own_pair, own_word = same(c.pair, len(c.key) + 1), same(c.tokens, size)
+        ending = np.zeros(len(lengths), dtype=np.int64) - 1
+        ending[lengths > 0] = c.tokens[c.last]
+        own_after = np.concatenate([[0], own_word[:-1]]) - (c.history == ending[of]) if len(of) else own_word
+        own_after[c.first] = 1
+        took = [np.where((c.flags & f) > 0, 1, 0) for f in (BACKGROUND, TARGET)]
+        left = [tokens[i] - took[i] * lengths for i in (0, 1)]
+        scale = np.where((left[0] > 0) & (left[1] > 0), left[1] / np.maximum(left[0], 1), 1.0)
+        means, safe = [], np.maximum(lengths, 1)
+        for i, s in ((0, scale[of]), (1, np.ones(len(of)))):
+            t = took[i][of]
+            after = np.append((n[i] - ends[i])[word_at], texts[i])[c.history] - t * own_after
+            one = ((n[i][word_at][c.tokens] - t * own_word) * s + 1.0) / (left[i][of] * s + sums["vocabulary"])
+            loss = -np.log(((m[i][pair_at] - t * own_pair) * s + prior * one) / (after * s + prior))
+            means.append(np.bincount(of, weights=loss, minlength=len(lengths)) / safe)
+        ids, kept = chunk["ids"].combine_chunks().flatten(), pa.array((c.flags & BACKGROUND) > 0)
+        out = pa.table([ids, pa.array(lengths), pa.array(means[1]), pa.array(means[0]), pa.array(means[1] - means[0])], names=["id", "n_tokens", "ce_target", "ce_background", "score"])
+        return out.filter(kept)
 
     return run
 
 
-def score_by_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int | None = None, prior: float = PRIOR) -> DataFrame:
+def score_by_difference(docs: DataFrame, target: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR, wanted: DataFrame | None = None) -> DataFrame:
     """One row per row of docs: id_col, n_tokens, ce_target, ce_background, score (their difference, in nats a token).
 
-    target: texts (text_col) to be like; docs are the background. Words are split at ASCII white space and lower-cased
-    (A-Z). Null and empty texts have 0 tokens, losses and score. Repeated rows are counted and scored as often as they
-    occur. With an empty target all of its losses are uniform; an empty docs gives no rows. Other columns are not read.
-    size: entries of a vocabulary of frequent words and shapes; None counts every word.
+    docs are the background. The texts to be like are rows of docs whose identifiers `wanted` (id_col) lists, or those of
+    another table, target (text_col), or both. A document's own counts are taken out of every model that holds them, so
+    a copy of it still counts. Words are split at ASCII white space and lower-cased (A-Z). Null and empty texts have 0
+    tokens, losses and score. Repeated rows are counted and scored as often as they occur; null identifiers are scored and
+    never wanted. Without a target all of its losses are uniform; an empty docs gives no rows. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    if size is not None:
-        return score_by_table(rows, target.select(F.col(text_col).alias("text")), size, prior).withColumnRenamed("id", id_col)
+    rows = docs.select(quoted(id_col).cast("long").alias("id"), F.lit(BACKGROUND).alias("flag"), quoted(text_col).alias("text"))
+    if target is not None:
+        rows = rows.union(target.select(F.lit(None).cast("long"), F.lit(TARGET), quoted(text_col)))
     shard_bits = max(0, (max(1, text_bytes(docs, text_col) // SHARD_BYTES) - 1).bit_length())
     chunks = stage_table(rows.mapInArrow(chunked, CHUNKS), "chunks")
-    ask = asked(shard_bits)
-    wanted = target.select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: ask(chunked(batches)), ASKED)
-    every = chunks.mapInArrow(ask, ASKED).union(wanted.withColumn("chunk", F.lit(None).cast("long")))
+    none = docs.sparkSession.range(0).select(F.col("id").alias("wanted"))
+    ids = none if wanted is None else wanted.select(quoted(id_col).cast("long").alias("wanted")).where("wanted is not null").distinct()
+    # places of a chunk: CHUNK_DOCS and one batch at most; joined in the same way at every size
+    each = chunks.select("chunk", F.posexplode("ids").alias("place", "id")).join(ids.hint("merge"), F.col("id") == F.col("wanted"))
+    places = stage_table(each.groupBy("chunk").agg(F.collect_list("place").alias("places")), "places")
+    every = chunks.groupBy("chunk").cogroup(places.groupBy("chunk")).applyInArrow(asked(shard_bits), ASKED)
     found = stage_table(every.groupBy("shard").applyInArrow(totals, TOTALS), "totals")
     sums = found.where("chunk is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("vocabulary", "tokens", "wanted_tokens", "texts", "wanted_texts")]).first().asDict()
-    answers = found.where("chunk is not null").select("shard", "chunk", "n", "ends", "m")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored(sums, prior), SCORED).withColumnRenamed("id", id_col)
-
-
-def score_by_table(rows: DataFrame, wanted: DataFrame, size: int, prior: float) -> DataFrame:
-    """The same with a vocabulary of a fixed number of entries."""
-    texts = rows.select("text")
-    vocab = vocabulary(texts, size)
-    background, own = counted(texts, vocab, size), counted(wanted, vocab, size)
-    scale = own.sum() / max(background.sum(), 1) if own.sum() else 1.0
-    models = rows.sparkSession.sparkContext.broadcast((vocab, losses(own, 1.0, prior).astype(np.float32), losses(background, scale, prior).astype(np.float32)))  # 2 * size**2 * 4 bytes
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, of_target, of_background = models.value
-        known, t, b = pa.array(names, pa.large_string()), of_target.ravel(), of_background.ravel()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                cells, starts = pair_cells(part["text"], known, size)
-                n = np.diff(starts)
-                doc, safe = np.repeat(np.arange(len(n)), n), np.maximum(n, 1)
-                x, y = (np.bincount(doc, weights=m[cells].astype(np.float64), minlength=len(n)) / safe for m in (t, b))
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array(n), pa.array(x), pa.array(y), pa.array(x - y)], names=["id", "n_tokens", "ce_target", "ce_background", "score"])
-
-    return rows.mapInArrow(run, SCORED)
+    answers = found.where("chunk is not null").select("shard", "chunk", *COUNTS, F.lit(None).cast("array<int>").alias("places"))
+    known = places.select(F.lit(-1).alias("shard"), "chunk", *[F.lit(None).cast("binary").alias(c) for c in COUNTS], "places")
+    return chunks.groupBy("chunk").cogroup(answers.union(known).groupBy("chunk")).applyInArrow(scored(sums, prior), SCORED).withColumnRenamed("id", id_col)

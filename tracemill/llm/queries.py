@@ -56,10 +56,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
-    # the same join at every size of labels
-    return score_by_difference(docs, docs.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left_semi"))
+    """The target: documents labelled good."""
+    return score_by_difference(table(spark, sf_dir, "documents"), wanted=table(spark, sf_dir, "labels").where("quality = 1"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
