@@ -15,10 +15,10 @@ from tokenizers import Tokenizer
 from tracemill.llm import common
 from tracemill.llm.embedding_dedup import near_vectors
 from tracemill.llm.exact_dedup import PatriciaTrie, exact_dedup, keep_one
-from tracemill.llm.lm_scoring import START, score_by_difference, shape
+from tracemill.llm.lm_scoring import score_by_difference
 from tracemill.llm.mixing import mix, mix_rates
 from tracemill.llm.packing import cuts, pack
-from tracemill.llm.quality import classify, isotonic, keep_good
+from tracemill.llm.quality import FEATURES, Model, classify, isotonic, keep_good, statistics
 from tracemill.llm.substring_dedup import remove_repeats
 from tracemill.llm.token_files import Reader, build_index, shard, token_round_trip
 from tracemill.llm.tokens import Encoder
@@ -187,12 +187,45 @@ def test_exact_dedup(spark, docs, empty):
 
 def test_trie():
     rng, held = random.Random(4), Counter()
-    trie = PatriciaTrie()
+    trie, top = PatriciaTrie(), {}
     for i in range(3000):
         k = bytes(rng.choice(b"ab") for _ in range(rng.randrange(9)))
-        assert trie.insert(k, i) == (k not in held)
+        before = trie.size
+        owner = rng.randrange(50) if rng.random() < 0.9 else None
+        trie.insert(k, owner, i)
+        assert (trie.size > before) == (k not in held)
         held[k] += 1
-    assert {k: n for k, _, n in trie.items()} == dict(held)
+        top[k] = max([x for x in (top.get(k), owner) if x is not None], default=None)
+    assert {k: (v[0], v[2]) for k, v in trie.items()} == {k: (top[k], n) for k, n in held.items()}
+
+
+def test_a_trie_filled_in_order_holds_one_path():
+    for seed in range(40):
+        rng = random.Random(seed)
+        keys = sorted(bytes(rng.choice(b"ab") for _ in range(8)) for _ in range(rng.randrange(1, 60)))
+        trie, got = PatriciaTrie(), []
+        for i, k in enumerate(keys):
+            got += trie.settled(k)
+            trie.insert(k, i, i, 1, i)
+            assert len(list(trie.items())) == 1
+        got += trie.items()
+        assert [b for b, _ in got] == sorted(set(keys)) and sorted(x for _, v in got for x in v[3]) == list(range(len(keys)))
+
+
+def test_tries_that_are_spilled_lose_nothing(spark, docs, monkeypatch):
+    monkeypatch.setattr("tracemill.llm.exact_dedup.TRIE_BYTES", 2000)
+    monkeypatch.setattr("tracemill.llm.exact_dedup.BITS", 1)
+    rng = random.Random(9)
+    rows = [(k, f"{rng.choice('abc')}{rng.randrange(40):03}" * 20) for k in range(600)] + ROWS
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    got = exact_dedup(frame(spark, rows)).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = defaultdict(list)
+    for k, t in rows:
+        groups[hashlib.sha256((t or "").encode().lower()).hexdigest()].append(k)
+    assert len(got) == len(rows) and all(r["group_size"] == len(groups[r["text_sha256"]]) for r in got)
+    assert all(r["keep_id"] == max((k for k in groups[r["text_sha256"]] if k is not None), default=None) for r in got)
+    assert Counter(r["text_sha256"] for r in got if r["kept"]) == Counter(dict.fromkeys(groups, 1))
 
 
 # ---- 7
@@ -248,6 +281,28 @@ def test_quality(spark, empty):
     assert {r["score"] for r in classify(docs, lab.limit(0)).collect()} == {0.5} and classify(empty, lab).count() == 0
 
 
+def test_quality_as_brute_force(spark):
+    """The same model in one piece of numpy, from all labelled rows at once."""
+    rows, labels = quality_rows()
+    x = statistics(pa.array([t for _, t in rows]))
+    y, part = np.array([q for _, q in labels], dtype=float), np.array([zlib.crc32(str(k).encode()) % 4 for k, _ in rows])
+    learn = (part != 2) & (part != 3)
+    model = Model(x[learn].mean(axis=0), np.sqrt((x[learn] ** 2).mean(axis=0) - x[learn].mean(axis=0) ** 2) + 1e-6, FEATURES)
+    z = model.cosines(x[learn])
+    model.weights = np.linalg.solve(z.T @ z + np.diag([1.0] * FEATURES + [1e-6]), z.T @ y[learn])
+    raw = np.round(np.clip(model.raw(x), -1, 2), 3)
+    bins = np.unique(raw[part == 3])
+    model.steps = isotonic(bins, np.array([y[(part == 3) & (raw == b)].mean() for b in bins]), np.array([((part == 3) & (raw == b)).sum() for b in bins], dtype=float))
+    got = {r["doc_id"]: r["score"] for r in classify(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert np.allclose([got[k] for k, _ in rows], model.score(x), atol=1e-5)
+
+
+def test_no_task_but_those_of_the_labels_is_narrowed(spark):
+    rows, labels = quality_rows()
+    plan = classify(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int"))._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and "Exchange" not in plan
+
+
 def test_isotonic():
     x, y = isotonic(np.array([0.0, 1, 2, 3]), np.array([0.0, 0.8, 0.2, 1.0]), np.array([1.0, 1, 1, 2]))
     assert y.tolist() == [0, 0, 0.5, 0.5, 1, 1] and (np.diff(x) >= 0).all()
@@ -256,77 +311,58 @@ def test_isotonic():
 # ---- 9
 
 
-def test_lm_scores_as_brute_force(spark, empty):
-    rng = random.Random(7)
-    rows = [(k, " ".join(rng.choice(("Aa", "bb", "cc", "dd", "ee1", "ff", "gg")) for _ in range(30))) for k in range(40)] + [(90, None), (91, ""), (None, "aa bb"), (3, "zz"), (3, "zz")]
-    docs, size = frame(spark, rows), 16
-    target = docs.where("doc_id < 10")
-    counts = Counter(w for _, t in rows for w in (t or "").lower().split())
-    vocab = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: size - 9]]
-    entry = lambda w: vocab.index(w) + 9 if w in vocab else shape(w)
-
-    def model(texts):
-        c = np.zeros((size, size))
-        for t in texts:
-            before = START
-            for w in (t or "").lower().split():
-                c[before, entry(w)] += 1
-                before = entry(w)
-        return c
-
-    b, t = model([t for _, t in rows]), model([t for k, t in rows if k is not None and k < 10])
-    own = []
-    for c in (t, b * t.sum() / b.sum()):
-        one = (c.sum(axis=0) + 1) / (c.sum() + size)
-        own.append(-np.log((c + 4 * one) / (c.sum(axis=1, keepdims=True) + 4)))
-    want = []
-    for _, text in rows:
-        w = [START, *map(entry, (text or "").lower().split())]
-        want.append(np.mean([own[0][x, y] - own[1][x, y] for x, y in zip(w, w[1:], strict=False)]) if len(w) > 1 else 0.0)
-    got = score_by_difference(docs, target, size=size).collect()
-    assert np.allclose([r["score"] for r in got], want, atol=1e-5) and [r["doc_id"] for r in got] == [k for k, _ in rows]
-    assert score_by_difference(empty, empty).count() == 0 and score_by_difference(docs, empty, size=size).count() == len(rows)
-
-
-def test_lm_counts_every_word(spark, empty, monkeypatch):
-    """More words than any fixed vocabulary: documents that differ in rare words of one shape alone differ in score."""
+def test_lm_scores_as_brute_force(spark, empty, monkeypatch):
+    """Every word and pair counts, rare ones too, and a document is scored by models that do not hold it."""
     monkeypatch.setattr("tracemill.llm.lm_scoring.CHUNK_TOKENS", 400)
     monkeypatch.setattr("tracemill.llm.lm_scoring.SHARD_BYTES", 4000)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
     rng = random.Random(7)
     rows = [(k, " ".join(f"Word{'abcdefghij'[rng.randrange(10)] * 3}{rng.choice('klmnopqrst')}{rng.choice('uvwxyz')}{rng.choice('abcdefgh')}" for _ in range(60))) for k in range(120)]
-    rows += [(90, None), (91, " "), (None, "aa bb"), (3, "zz"), (3, "zz"), (200, "common goodword"), (201, "common badword"), (1, "common goodword")]
-    docs = frame(spark, rows)
-    own = lambda k: k is not None and k < 40
+    rows += [(90, None), (91, " "), (None, "aa bb"), (3, "zz"), (3, "zz"), (200, "common goodword"), (201, "common badword"), (1, "common goodword"), (202, "a a b a a"), (203, "only Only here")]
+    other = [(1, "aa bb common"), (2, None)]
+    docs, ids = frame(spark, rows), [*range(40), 203]
     tokens = [(t or "").encode().lower().split() for _, t in rows]
-    models = []
-    for texts in ([w for w, (k, _) in zip(tokens, rows, strict=True) if own(k)], tokens):
+    extra = [(t or "").encode().lower().split() for _, t in other]
+
+    def counts(texts):
         pairs = Counter(x for w in texts for x in zip([None, *w], w, strict=False))
         after, one = Counter(), Counter()
         for (h, w), n in pairs.items():
             after[h] += n
             one[w] += n
-        models.append((pairs, after, one, sum(one.values())))
-    vocabulary = len(models[1][2])
-    assert vocabulary > 2048
+        return pairs, after, one, sum(one.values())
 
-    def loss(model, scale, h, w):
-        pairs, after, one, n = model
-        return -np.log((pairs[h, w] * scale + 4 * (one[w] * scale + 1) / (n * scale + vocabulary)) / (after[h] * scale + 4))
+    vocabulary = len({w for t in [*tokens, *extra] for w in t})
+    assert vocabulary > 2048
+    models = counts([*[w for w, (k, _) in zip(tokens, rows, strict=True) if k in ids], *extra]), counts(tokens)
+
+    def loss(w, own, total):
+        (p, a, u, n), (q, b, v, m) = own, total
+        scale = 1.0
+        if total is models[1]:
+            left = models[0][3] - (n if taken else 0)
+            scale = left / (m - n) if left > 0 and m > n else 1.0
+        minus = 1 if total is models[1] or taken else 0
+        out = [-np.log(((q[h, x] - minus * p[h, x]) * scale + 4 * ((v[x] - minus * u[x]) * scale + 1) / ((m - minus * n) * scale + vocabulary)) / ((b[h] - minus * a[h]) * scale + 4)) for h, x in zip([None, *w], w, strict=False)]
+        return np.mean(out) if out else 0.0
 
     want = []
     for (k, _), w in zip(rows, tokens, strict=True):
-        t, b = (np.mean([loss(m, s, *x) for x in zip([None, *w], w, strict=False)]) if w else 0.0 for m, s in zip(models, (1.0, models[0][3] / models[1][3]), strict=True))
-        want.append((str(k), len(w), round(t, 6), round(b, 6), round(t - b, 6)))
-    got = score_by_difference(docs, docs.where("doc_id < 40")).collect()
-    key = lambda r: (r[0], *r[1:])
-    have = sorted(((str(r["doc_id"]), r["n_tokens"], r["ce_target"], r["ce_background"], r["score"]) for r in got), key=key)
-    for x, y in zip(have, sorted(want, key=key), strict=True):
-        assert x[:2] == y[:2] and np.allclose(x[2:], y[2:], atol=1e-5)
+        taken = k in ids
+        t, b = (loss(w, counts([w]), m) for m in models)
+        want.append((str(k), len(w), t, b, t - b))
+    wanted = spark.createDataFrame([(k,) for k in [*ids, *ids, 999, None]], "doc_id long")
+    got = score_by_difference(docs, frame(spark, other), wanted=wanted).collect()
+    have = sorted((str(r["doc_id"]), r["n_tokens"], r["ce_target"], r["ce_background"], r["score"]) for r in got)
+    assert len(have) == len(want)
+    for x, y in zip(have, sorted(want), strict=True):
+        assert x[:2] == y[:2] and np.allclose(x[2:], y[2:], atol=1e-9)
     by_id = {r["doc_id"]: r["score"] for r in got}
     assert by_id[200] < by_id[201]
-    assert np.allclose([r["ce_target"] for r in score_by_difference(docs, empty).where("n_tokens > 0").collect()], np.log(vocabulary))
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    uniform = score_by_difference(docs).where("n_tokens > 0").collect()
+    assert np.allclose([r["ce_target"] for r in uniform], np.log(vocabulary)) or np.allclose([r["ce_target"] for r in uniform], np.log(len({w for t in tokens for w in t})))
+    assert score_by_difference(empty, empty).count() == 0
 
 
 # ---- 10
