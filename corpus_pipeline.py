@@ -10,7 +10,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import stage_table, table
+from tracemill.llm.common import fresh, stage_table, table
 from tracemill.llm.exact_dedup import keep_one
 from tracemill.llm.mixing import mix
 from tracemill.llm.ngram_join import jaccard_components
@@ -24,27 +24,38 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal after lower-casing A-Z, the row with the largest doc_id stays; of repeated rows, one."""
+    """Of texts that are equal after lower-casing A-Z, the row with the largest doc_id stays; of repeated rows, one. Null texts
+    are empty; null identifiers stay only without others. An empty table gives no rows. Columns may have any names."""
     return keep_one(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts linked by a Jaccard similarity of 0.8 or more on shingles of five words, the smallest doc_id stays.
 
-    Texts without words link with nothing and stay. Rows that share an identifier stay or go together.
+    Texts without words, null ones among them, link with nothing and stay. Rows that share an identifier stay or go
+    together. An empty table gives no rows. Columns may have any names.
     """
+    (own,) = fresh(docs.columns, "stay_id")
     parts = jaccard_components(docs, width=5, similarity=0.8)
-    stay = parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi")
+    stay = parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed to their target weights: a document's row occurs as often as the mix takes it, or not at all."""
+    """Sources are mixed to their target weights: a document's row occurs as often as the mix takes it, or not at all.
+
+    Null texts have no words, null sources are a source of their own, and a source without words keeps each document
+    once. Repeated rows toss the same coin. An empty table gives no rows. Columns may have any names.
+    """
     return mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of tokenized documents in sequences of 1024 tokens, repeated documents as often as they occur."""
+    """Pieces of tokenized documents in sequences of 1024 tokens, repeated documents as often as they occur.
+
+    A null or empty text has the end token alone, long texts are cut, null identifiers pass through. An empty table gives
+    no rows. Other columns are not read.
+    """
     return pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
