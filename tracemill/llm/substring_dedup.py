@@ -3,14 +3,16 @@
 A window is `width` consecutive words of one document. A word is removed if it lies in a window whose word sequence
 also starts in a document with a smaller identifier. Windows are judged on the input.
 
-First pass: each task counts its windows in a sketch with one row of 2**40 cells, of which it keeps the full cells
-alone; the parts of all tasks' sketches are merged by range of cells. A cell's merged count is at least that of any
-window in it, so a window that occurs twice is always estimated repeated. Each block of documents gets back which of
-its cells are repeated. Second pass: windows in those cells alone are grouped exactly, by 96-bit fingerprints, which
-gives the smallest document of each, and every block gets back the windows that start in a smaller document elsewhere.
-
-Blocks hold a few MB of text each, so their number grows with the input; sketches hold a cell of a task's share twice
-at most, so a passage in a third of all documents adds two entries a task to its range.
+First pass: each task counts its windows in a partial sketch, shipped by range of cells as the cells that it fills. A
+range adds the parts of all tasks into a count-min sketch: ROWS arrays, each of a fixed number of cells that follows from
+the windows counted in the range, each with a hash of its own. The smallest of a window's counts is never below its
+true count, so a window that occurs twice is always estimated repeated. Each block of documents gets back which of its
+windows are. Second pass: those windows alone are grouped exactly, by 96-bit fingerprints, which gives the smallest
+document of each, and every block gets back the windows that start in a smaller document elsewhere.
+
+Blocks hold a few MB of text each, so their number grows with the input; a task's partial sketch holds a window of its
+share twice at most, so a passage in a third of all documents adds two entries a task to its range. Rows that repeat with
+identifier and text until they would fill a block alone are worked on once.
 """
 
 from __future__ import annotations
@@ -22,17 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BIG, planes, rolled, slices, spans, text_bytes, unplanes, word_hashes
+from .common import BIG, mix, planes, quoted, rolled, slices, spans, stage_table, unplanes, word_hashes
 
 #: Bytes of text in a block, on average, and windows that a task counts before it hands its sketch on.
 BLOCK_BYTES, FLUSH = 6 << 20, 1_500_000
-CELL_BITS, BLOCK_BITS = 40, 24
+#: Arrays of a range's sketch, cells of each for a window, bits that tell windows of a range apart, bits of a block's number.
+ROWS, CELLS, FINGER_BITS, BLOCK_BITS = 3, 4, 32, 32
+NONE = np.uint32((1 << BLOCK_BITS) - 1)
 BASE2 = 0xC2B2AE3D27D4EB4F
 
-SKETCH = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("cells", pa.binary()), ("blocks", pa.binary())])
-FLAGS = pa.schema([("block", pa.int32()), ("cells", pa.binary())])
-OWNERS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("h1", pa.binary()), ("h2", pa.binary()), ("owner", pa.binary())])
-OUT = pa.schema([("id", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
+SKETCH = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("cells", pa.binary()), ("blocks", pa.binary())])
+FLAGS = pa.schema([("block", pa.int64()), ("cells", pa.binary())])
+OWNERS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("h1", pa.binary()), ("h2", pa.binary()), ("owner", pa.binary())])
+OUT = pa.schema([("id", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("copies", pa.int64())])
 
 
 def windows(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,69 +62,83 @@ def runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, dtype=np.int64)
 
 
+def fingers(h: np.ndarray, shard_bits: int) -> np.ndarray:
+    """What the sketch knows of a window: its range and FINGER_BITS more bits."""
+    return h >> np.uint64(64 - FINGER_BITS - shard_bits)
+
+
+def by_block(block: np.ndarray, finger: np.ndarray, rows: list[tuple], of) -> None:
+    """Adds a row for each block with its distinct fingers."""
+    order = np.lexsort((finger, block))
+    block, finger = block[order], finger[order]
+    new = np.concatenate([[True], (block[1:] != block[:-1]) | (finger[1:] != finger[:-1])]) if len(block) else np.zeros(0, dtype=bool)
+    block, finger = block[new], finger[new]
+    for s, e in spans(runs(block), len(block)):
+        rows.append(of(int(block[s]), planes(np.diff(finger[s:e], prepend=np.uint64(0)), 8)))
+
+
 def sketch(width: int, shard_bits: int):
-    none = (1 << BLOCK_BITS) - 1
-
-    def flushed(keys: np.ndarray) -> pa.RecordBatch:
-        keys = np.sort(keys)
-        cells = keys >> np.uint64(BLOCK_BITS)
-        first = runs(cells)
-        count = np.diff(np.append(first, len(cells)))
-        rows = []
-        # a cell that this share alone fills twice is known to be repeated: its blocks are told at once
-        known = keys[np.repeat(count > 1, count)]
-        told = np.unique((known & np.uint64(none)) << np.uint64(CELL_BITS) | known >> np.uint64(BLOCK_BITS))
-        block = (told >> np.uint64(CELL_BITS)).astype(np.int64)
-        start = runs(block)
-        for s, e in spans(start, len(block)):
-            rows.append((int(block[s]) % (1 << shard_bits), int(block[s]), planes(np.diff(told[s:e] & np.uint64((1 << CELL_BITS) - 1), prepend=np.uint64(0)), 5), b""))
-        # the rest of the sketch: each cell once with its block, or twice without
-        single = keys[first[count == 1]]
-        twice = np.repeat(cells[first[count > 1]] << np.uint64(BLOCK_BITS) | np.uint64(none), 2)
-        part = np.sort(np.concatenate([single, twice]))
-        shard = (part >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(part), dtype=np.int64)
-        start = runs(shard)
-        for s, e in spans(start, len(shard)):
-            own = part[s:e]
-            rows.append((int(shard[s]), -1, planes(np.diff(own >> np.uint64(BLOCK_BITS), prepend=np.uint64(0)), 5), planes(own & np.uint64(none), 3)))
+    def flushed(finger: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(finger, kind="stable")
+        finger, block = finger[order], block[order]
+        first = runs(finger)
+        count = np.diff(np.append(first, len(finger)))
+        rows: list[tuple] = []
+        # a window that this share alone holds twice is known to be repeated: its blocks are told at once
+        known = np.repeat(count > 1, count)
+        by_block(block[known], finger[known], rows, lambda b, f: (b % (1 << shard_bits), b, f, b""))
+        # the partial sketch: a count of one with its block, or of two without
+        keep = ~known
+        keep[first[count > 1]] = keep[first[count > 1] + 1] = True
+        block = np.where(known, NONE, block)[keep]
+        finger = finger[keep]
+        shard, own = (finger >> np.uint64(FINGER_BITS)).astype(np.int64), finger & np.uint64((1 << FINGER_BITS) - 1)
+        for s, e in spans(runs(shard), len(shard)):
+            rows.append((int(shard[s]), -1, planes(np.diff(own[s:e], prepend=np.uint64(0)), 4), planes(block[s:e].astype(np.uint64), 4)))
         return record(SKETCH, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, blocks, size = [], [], 0
         for batch in batches:
             for part in slices(batch, "text"):
                 h1, _, doc, _ = windows(part["text"], width)
-                block = np.asarray(part["block"]).astype(np.uint64)
-                held.append((h1 >> np.uint64(64 - CELL_BITS)) << np.uint64(BLOCK_BITS) | block[doc])
+                held.append(fingers(h1, shard_bits))
+                blocks.append(np.asarray(part["block"]).astype(np.uint32)[doc])
                 size += len(h1)
                 if size >= FLUSH:
-                    yield flushed(np.concatenate(held))
-                    held, size = [], 0
+                    yield flushed(np.concatenate(held), np.concatenate(blocks))
+                    held, blocks, size = [], [], 0
         if size:
-            yield flushed(np.concatenate(held))
+            yield flushed(np.concatenate(held), np.concatenate(blocks))
 
     return run
 
 
+def repeated(finger: np.ndarray) -> np.ndarray:
+    """Which entries a count-min sketch of all of them estimates to occur twice or more: the smallest count of ROWS arrays."""
+    cells = 1 << max(10, (CELLS * len(finger) - 1).bit_length())
+    least = np.ones(len(finger), dtype=bool)
+    for row in range(ROWS):
+        at = (mix(finger + np.uint64((row + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) & np.uint64(cells - 1)).astype(np.int64)
+        counts = np.bincount(at, minlength=cells)
+        least &= counts[at] >= 2
+    return least
+
+
 def merged(part: pa.Table) -> pa.Table:
-    """Of one range of cells: the repeated cells of each block."""
-    rows, keys = [], []
-    for block, cells, blocks in zip(part["block"].to_pylist(), part["cells"].to_pylist(), part["blocks"].to_pylist(), strict=True):
+    """Of one range of cells: the repeated windows of each block."""
+    rows, keys, blocks = [], [], []
+    shard = np.uint64(part["shard"][0].as_py())
+    for block, finger, own in zip(part["block"].to_pylist(), part["cells"].to_pylist(), part["blocks"].to_pylist(), strict=True):
         if block >= 0:
-            rows.append((block, cells))
+            rows.append((block, finger))
         else:
-            keys.append(np.cumsum(unplanes(cells, 5), dtype=np.uint64) << np.uint64(BLOCK_BITS) | unplanes(blocks, 3))
+            keys.append(np.cumsum(unplanes(finger, 4), dtype=np.uint64))
+            blocks.append(unplanes(own, 4).astype(np.uint32))
     if keys:
-        none = np.uint64((1 << BLOCK_BITS) - 1)
-        key = np.sort(np.concatenate(keys))
-        cells = key >> np.uint64(BLOCK_BITS)
-        count = np.diff(np.append(runs(cells), len(cells)))
-        key = key[np.repeat(count > 1, count)]
-        key = np.unique(key[key & none != none])
-        order = np.sort((key & none) << np.uint64(CELL_BITS) | key >> np.uint64(BLOCK_BITS))
-        block = (order >> np.uint64(CELL_BITS)).astype(np.int64)
-        start = runs(block)
-        rows += [(int(block[s]), planes(np.diff(order[s:e] & np.uint64((1 << CELL_BITS) - 1), prepend=np.uint64(0)), 5)) for s, e in spans(start, len(block))]
+        finger, block = np.concatenate(keys), np.concatenate(blocks)
+        pick = repeated(finger) & (block != NONE)
+        by_block(block[pick], finger[pick] | shard << np.uint64(FINGER_BITS), rows, lambda b, f: (b, f))
     return table_of(FLAGS, rows)
 
 
@@ -134,8 +152,8 @@ def candidates(width: int, shard_bits: int):
             return table_of(OWNERS, [])
         block = docs["block"][0].as_py()
         h1, h2, doc, _ = windows(docs["text"].combine_chunks(), width)
-        cells = np.unique(np.concatenate([np.cumsum(unplanes(c, 5), dtype=np.uint64) for c in flags["cells"].to_pylist()]))
-        cell = h1 >> np.uint64(64 - CELL_BITS)
+        cells = np.unique(np.concatenate([np.cumsum(unplanes(c, 8), dtype=np.uint64) for c in flags["cells"].to_pylist()]))
+        cell = fingers(h1, shard_bits)
         at = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
         hit = cells[at] == cell
         h1, h2, owner = h1[hit], h2[hit], ids_of(docs)[doc[hit]]
@@ -191,16 +209,31 @@ def removed(width: int):
         np.add.at(cover, at[later] + width, -1)
         gone = np.cumsum(cover)[:-1] > 0
         rows, begin = [], 0
-        for key, w, n in zip(docs["id"].to_pylist(), flat, sizes.tolist(), strict=True):
+        for key, w, n, copies in zip(docs["id"].to_pylist(), flat, sizes.tolist(), docs["copies"].to_pylist(), strict=True):
             mask = gone[begin : begin + n]
             k = int(mask.sum())
-            rows.append((key, b" ".join(w if not k else [x for x, m in zip(w, mask.tolist(), strict=True) if not m]).decode("utf-8", "surrogatepass"), n, k))
+            rows.append((key, b" ".join(w if not k else [x for x, m in zip(w, mask.tolist(), strict=True) if not m]).decode("utf-8", "surrogatepass"), n, k, copies))
             begin += n
         return table_of(OUT, rows)
 
     return run
 
 
+def collapsed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(id, text, copies) and the bytes of all texts. Rows that repeat with both, by more bytes than a block, are one row."""
+    rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
+    keyed = rows.withColumn("key", F.xxhash64("id", "text"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
+    heavy = (F.col("n") > 1) & (F.col("size") > BLOCK_BYTES)
+    size, some = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max(heavy), F.lit(False))).first()
+    if not some:
+        return rows.withColumn("copies", F.lit(1).cast("long")), size
+    hot = stage_table(sizes.where(heavy).select("key"), "hot")
+    once = keyed.join(hot, "key", "left_semi").groupBy("id", "text").agg(F.count("*").alias("copies"))
+    rest = keyed.join(hot, "key", "left_anti").select("id", "text", F.lit(1).cast("long").alias("copies"))
+    return rest.union(stage_table(once, "once")), size
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13) -> DataFrame:
     """One row per row of docs: id_col, kept (the words that stay, joined by one space), n_words, n_removed.
 
@@ -208,10 +241,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     remove each other's words; null identifiers count as larger than all others. An empty table gives no rows. Other
     columns are not read.
     """
-    n_blocks = max(1, -(-text_bytes(docs, text_col) // BLOCK_BYTES))
+    rows, size = collapsed(docs, id_col, text_col)
+    n_blocks = max(1, -(-size // BLOCK_BYTES))
+    if n_blocks >= NONE:
+        raise ValueError(f"{n_blocks} blocks: their numbers have {BLOCK_BITS} bits")
     shard_bits = max(0, (n_blocks - 1).bit_length())
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int"))
-    flags = rows.mapInArrow(sketch(width, shard_bits), "shard int, block int, cells binary, blocks binary").groupBy("shard").applyInArrow(merged, "block int, cells binary")
-    owner_ddl = "shard int, block int, h1 binary, h2 binary, owner binary"
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)))
+    flags = rows.select("text", "block").mapInArrow(sketch(width, shard_bits), "shard int, block long, cells binary, blocks binary").groupBy("shard").applyInArrow(merged, "block long, cells binary")
+    # both passes over the blocks read one exchange of the texts
+    owner_ddl = "shard int, block long, h1 binary, h2 binary, owner binary"
     told = rows.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(candidates(width, shard_bits), owner_ddl).groupBy("shard").applyInArrow(grouped, owner_ddl)
-    return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(removed(width), "id long, kept string, n_words long, n_removed long").withColumnRenamed("id", id_col)
+    done = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(removed(width), "id long, kept string, n_words long, n_removed long, copies long")
+    each = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
+    return done.withColumn("copy", each).select(F.col("id").alias(id_col), "kept", "n_words", "n_removed")
