@@ -19,7 +19,7 @@ from tracemill.llm.lm_scoring import score_by_difference
 from tracemill.llm.mixing import mix, mix_rates
 from tracemill.llm.packing import cuts, pack
 from tracemill.llm.quality import FEATURES, Model, classify, isotonic, keep_good, statistics
-from tracemill.llm.substring_dedup import remove_repeats
+from tracemill.llm.substring_dedup import remove_repeats, repeated
 from tracemill.llm.token_files import Reader, build_index, shard, token_round_trip
 from tracemill.llm.tokens import Encoder
 from tracemill.llm.url_filter import judge
@@ -376,7 +376,7 @@ def test_substring_dedup_as_brute_force(spark, docs, empty, monkeypatch):
     for k in range(120):
         parts = [" ".join(word() for _ in range(rng.randrange(30))) if rng.random() < 0.6 else rng.choice(passages) for _ in range(rng.randrange(5))]
         rows.append((k if k % 17 else None, " \n".join(parts)))
-    rows += [(5, rows[6][1]), (5, rows[6][1]), (200, None), (201, rows[9][1]), *ROWS]
+    rows += [(5, rows[6][1]), (5, rows[6][1]), (200, None), (201, rows[9][1]), *ROWS, *[(300, LONG)] * 3, *[(None, LONG)] * 2]
     monkeypatch.setattr("tracemill.llm.substring_dedup.BLOCK_BYTES", 200_000)
     monkeypatch.setattr("tracemill.llm.substring_dedup.FLUSH", 400)
     got = remove_repeats(frame(spark, rows)).collect()
@@ -393,3 +393,18 @@ def test_substring_dedup_as_brute_force(spark, docs, empty, monkeypatch):
         want.append((str(k), b" ".join(x for i, x in enumerate(w) if i not in gone).decode(), len(w), len(gone)))
     assert sorted((str(r["doc_id"]), r["kept"], r["n_words"], r["n_removed"]) for r in got) == sorted(want)
     assert sum(x[3] for x in want) > 0 and remove_repeats(empty).count() == 0
+
+
+def test_the_sketch_never_estimates_too_little():
+    rng = np.random.default_rng(3)
+    once, twice = rng.integers(0, 1 << 32, 40_000, dtype=np.uint64), rng.integers(0, 1 << 32, 500, dtype=np.uint64)
+    found = repeated(np.concatenate([once, twice, twice]))
+    assert found[len(once) :].all() and found[: len(once)].mean() < 0.05
+    assert repeated(np.zeros(0, dtype=np.uint64)).tolist() == [] and repeated(np.array([7, 7, 9], dtype=np.uint64)).tolist()[:2] == [True, True]
+
+
+def test_block_numbers_do_not_overflow(spark, monkeypatch):
+    monkeypatch.setattr("tracemill.llm.substring_dedup.BLOCK_BYTES", 1)
+    monkeypatch.setattr("tracemill.llm.substring_dedup.NONE", np.uint32(50))
+    with pytest.raises(ValueError, match="blocks"):
+        remove_repeats(frame(spark, [(1, "a" * 60)]))
