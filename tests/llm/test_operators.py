@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tracemill.llm import common
-from tracemill.llm.embedding_dedup import near_vectors
+from tracemill.llm.embedding_dedup import Rotations, near_vectors
 from tracemill.llm.exact_dedup import PatriciaTrie, exact_dedup, keep_one
 from tracemill.llm.lm_scoring import score_by_difference
 from tracemill.llm.mixing import mix, mix_rates
@@ -231,25 +231,50 @@ def test_tries_that_are_spilled_lose_nothing(spark, docs, monkeypatch):
 # ---- 7
 
 
-def test_near_vectors(spark):
+def test_near_vectors(spark, monkeypatch):
+    monkeypatch.setattr("tracemill.llm.embedding_dedup.CHUNK", 20)  # so that buckets are dealt out as pairs of chunks
     rng = np.random.default_rng(5)
-    base = rng.normal(size=(12, 24))
+    base, short = rng.normal(size=(12, 24)), rng.normal(size=(3, 7))
     rows = [(base[k % 12] + rng.normal(size=24) * 0.02).tolist() for k in range(300)] + rng.normal(size=(600, 24)).tolist() + [base[0].tolist()] * 4
-    odd = [None, [0.0] * 24, [float("nan")] * 24, [float("inf")] + [1.0] * 23, [1.0, None] + [0.0] * 22, [1.0] * 3]
-    table = [(k, v, k, "x") for k, v in enumerate([*rows, *odd])] + [(None, rows[0], 0, "x")]
+    fewer = [(short[k % 3] + rng.normal(size=7) * 0.01).tolist() for k in range(30)] + [[1.0], [2.5], [-1.0]]
+    odd = [None, [], [0.0] * 24, [float("nan")] * 24, [float("inf")] + [1.0] * 23, [1.0, None] + [0.0] * 22, [1.0] * 3]
+    every = [*rows, *fewer, *odd]
+    table = [(k, v, k, "x") for k, v in enumerate(every)] + [(None, rows[0], 0, "x")]
     got = {r["vec_id"]: r for r in near_vectors(spark.createDataFrame(table, "vec_id long, embedding array<float>, label int, node string")).collect()}
-    x = np.array([*rows, rows[0]], dtype=np.float32).astype(float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    link = x @ x.T >= 0.95
-    np.fill_diagonal(link, False)
-    want = link.sum(axis=1)
-    found = np.array([got[k]["n_links"] for k in [*range(len(rows)), None]])
-    assert found.sum() >= 0.99 * want.sum() and (found <= want).all()
-    assert all((got[k]["n_links"], got[k]["component_id"], got[k]["kept"]) == (0, k, True) for k in range(len(rows), len(rows) + len(odd)))
+    assert len(got) == len(table)
+    have, want = 0, 0
+    for keys in ([*range(len(rows)), None], range(len(rows), len(rows) + 30), range(len(rows) + 30, len(rows) + 33)):
+        x = np.array([every[k] if k is not None else rows[0] for k in keys], dtype=np.float32).astype(float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        link = x @ x.T >= 0.95
+        np.fill_diagonal(link, False)
+        found = np.array([got[k]["n_links"] for k in keys])
+        have, want = have + found.sum(), want + link.sum()
+        assert (found <= link.sum(axis=1)).all()
+    assert have >= 0.99 * want
+    lone = range(len(rows) + len(fewer), len(every))
+    assert all((got[k]["n_links"], got[k]["component_id"], got[k]["kept"]) == (0, k, True) for k in lone)
     assert len({got[k]["component_id"] for k in range(300)}) == 12 and not got[None]["kept"]
+    assert len({got[k]["component_id"] for k in range(len(rows), len(rows) + 30)}) == 3
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_estimates_are_unbiased_and_within_their_bounds():
+    rng = np.random.default_rng(8)
+    for d in (5, 64, 300):
+        r = Rotations(d, 16, 4)
+        x = rng.normal(size=(400, d))
+        y = x + rng.normal(size=(400, d)) * rng.uniform(0.05, 1.5, size=(400, 1))
+        x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+        code, factor, _, _ = r.encoded(x)
+        _, _, coarse, scale = r.encoded(y)
+        factor, scale = np.array(factor), np.array(scale)
+        estimate = (r.coordinates(coarse, scale) * (r.signs(code).astype(float) * 2 - 1)).sum(axis=1) / factor
+        own, rounding = r.errors(factor)
+        z = (estimate - (x * y).sum(axis=1)) / np.sqrt(own**2 + (rounding * 2 * scale / 15) ** 2)
+        assert abs(z.mean()) < 0.25 and (np.abs(z) < 4).mean() > 0.995
+
+
 # ---- 8
 
 
