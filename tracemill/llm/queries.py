@@ -66,6 +66,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_ngram_join, op3_mixing, op4_packing, op5_exact_dedup, op6_token_files, op7_embedding_dedup, op8_quality, op9_lm_scoring, op10_substring_dedup)}
 
+#: One level of op1's tree.
+_LEVEL = r""",
+each{k} AS MATERIALIZED (SELECT *, shapes[{k}] AS seg, len(shapes) - {k} AS below FROM level{before}),
+kids{k} AS (SELECT host, node, seg, sum(n) AS n, sum(bad) AS bad, sum(good) AS good, min(below) AS low, max(below) AS high FROM each{k} WHERE seg IS NOT NULL GROUP BY ALL),
+all{k} AS (SELECT node, seg, sum(bad) AS ab, sum(good) AS ag FROM kids{k} GROUP BY ALL),
+ev{k} AS (
+  SELECT host, node, seg, n, low, high, CASE WHEN bad + good >= 5 THEN bad WHEN ab + ag >= 5 THEN ab END::DOUBLE AS b, CASE WHEN bad + good >= 5 THEN good WHEN ab + ag >= 5 THEN ag END::DOUBLE AS g
+  FROM kids{k} JOIN all{k} USING (node, seg)
+), lag{k} AS (
+  SELECT *, lag(b) OVER w AS b1, lag(g) OVER w AS g1 FROM ev{k} WHERE b IS NOT NULL WINDOW w AS (PARTITION BY host, node ORDER BY b / (b + g), seg)
+), cut{k} AS (
+  SELECT *, NOT coalesce((b1 / (b1 + g1) - b / (b + g)) * (b1 / (b1 + g1) - b / (b + g)) <= 3.8416::DOUBLE * ((b1 + b) / (b1 + g1 + b + g)) * (1 - (b1 + b) / (b1 + g1 + b + g)) * (1 / (b1 + g1) + 1 / (b + g)), false) AS apart FROM lag{k}
+), branch{k} AS (SELECT *, sum(apart::INTEGER) OVER (PARTITION BY host, node ORDER BY b / (b + g), seg) AS branch FROM cut{k}),
+rest{k} AS (SELECT host, node, low, high, count(*) AS members, sum(n) AS pages FROM ev{k} WHERE b IS NULL GROUP BY ALL),
+kinds{k} AS (SELECT host, node, low, high, members > 1 OR (sum(members) OVER p >= 8 AND sum(members) OVER p * sum(members) OVER p >= sum(pages) OVER p) AS merged FROM rest{k} WINDOW p AS (PARTITION BY host, node)),
+names{k} AS (
+  SELECT host, node, seg, CASE WHEN count(*) OVER q > 1 THEN min(seg) OVER q || '+' ELSE seg END AS name FROM branch{k} WINDOW q AS (PARTITION BY host, node, branch)
+  UNION ALL SELECT e.host, e.node, e.seg, CASE WHEN merged THEN '*' ELSE e.seg END FROM ev{k} e JOIN kinds{k} USING (host, node, low, high) WHERE e.b IS NULL
+), level{k} AS MATERIALIZED (
+  SELECT e.host, e.path, e.n, e.rule, e.kind, e.bad, e.good, e.shapes, CASE WHEN name IS NULL THEN e.node ELSE e.node || '/' || name END AS node FROM each{k} e LEFT JOIN names{k} m ON m.host = e.host AND m.node = e.node AND m.seg = e.seg
+)"""
+
 SQL: dict[str, str] = {
     "op3_mixing": r"""
 WITH sized AS (
@@ -139,28 +161,20 @@ hits AS (
   SELECT host, path, kind, rule, row_number() OVER (PARTITION BY host, path ORDER BY length(rule) DESC, rule DESC) AS r FROM urls JOIN rules
   ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substring(rule, instr(rule, '/')))
 ), raw AS (SELECT host, path, n, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: regexp_replace(s, '[0-9]+', '#', 'g')) AS all_shapes FROM urls),
-shaped AS (SELECT host, path, n, CASE WHEN len(all_shapes) > 12 THEN list_append(all_shapes[1:12], '**') ELSE all_shapes END AS shapes FROM raw),
-each AS (SELECT host, path, n, unnest(shapes) AS shape, generate_subscripts(shapes, 1) AS pos, shapes FROM shaped),
-placed AS (SELECT host, path, n, shape, pos, pos || ':' || array_to_string(shapes[1:pos-1], '/') AS prefix FROM each),
-children AS (SELECT host, prefix, shape, sum(n) AS n FROM placed GROUP BY ALL),
-wild AS (SELECT host, prefix FROM children GROUP BY ALL HAVING count(*) >= 8 AND sum(n) <= 2.0 * count(*)),
-named AS (SELECT p.host, p.path, pos, CASE WHEN w.host IS NULL THEN shape ELSE '*' END AS shape FROM placed p LEFT JOIN wild w ON p.host = w.host AND p.prefix = w.prefix),
-texts AS (SELECT host, path, list(shape ORDER BY pos) AS names FROM named GROUP BY ALL),
-known AS (
-  SELECT u.host, u.path, u.n, '/' || array_to_string(names, '/') || CASE WHEN names IS NOT NULL AND ends_with(u.path, '/') THEN '/' ELSE '' END AS template,
-         '/' || array_to_string(names[2:13], '/') AS parent, h.rule, h.kind
-  FROM urls u LEFT JOIN texts t ON t.host = u.host AND t.path = u.path LEFT JOIN hits h ON h.host = u.host AND h.path = u.path AND h.r = 1
-), full_names AS (SELECT host, path, n, coalesce(template, '/') AS template, coalesce(parent, '/') AS parent, rule, kind FROM known),
-counted AS (SELECT host, template, parent, coalesce(sum(n) FILTER (kind = 'block'), 0) AS bad, coalesce(sum(n) FILTER (kind = 'allow'), 0) AS good FROM full_names GROUP BY ALL),
-marked AS (SELECT *, CASE WHEN bad + good > 0 THEN round(4.0 * bad / (bad + good)) ELSE -1 END AS alike FROM counted),
-branch AS (SELECT host, parent, alike, sum(bad) AS bb, sum(good) AS bg FROM marked GROUP BY ALL),
-pooled AS (SELECT template, sum(bad) AS ab, sum(good) AS ag FROM marked GROUP BY ALL),
+level0 AS MATERIALIZED (
+  SELECT u.host, u.path, u.n, h.rule, h.kind, CASE WHEN kind = 'block' THEN u.n ELSE 0 END AS bad, CASE WHEN kind = 'allow' THEN u.n ELSE 0 END AS good,
+         CASE WHEN len(all_shapes) > 12 THEN list_append(all_shapes[1:12], '**') ELSE all_shapes END AS shapes, '' AS node
+  FROM raw u LEFT JOIN hits h ON h.host = u.host AND h.path = u.path AND h.r = 1
+)""" + "".join(_LEVEL.format(k=k, before=k - 1) for k in range(1, 14)) + r""",
+known AS (SELECT *, node || CASE WHEN node <> '' AND NOT ends_with(path, '/') THEN '' ELSE '/' END AS template FROM level13),
+counted AS (SELECT host, template, sum(bad) AS bad, sum(good) AS good FROM known GROUP BY ALL),
+pooled AS (SELECT template, sum(bad) AS ab, sum(good) AS ag FROM counted GROUP BY ALL),
 overall AS (SELECT coalesce(sum(ab)::DOUBLE / nullif(sum(ab + ag), 0), 0.5) AS o FROM pooled),
 scored AS (
-  SELECT m.host, m.template, m.parent, (bb + 4.0::DOUBLE * ((ab + 4.0::DOUBLE * o) / (ab + ag + 4.0::DOUBLE))) / (bb + bg + 4.0::DOUBLE) AS purity, greatest(bb + bg, ab + ag) >= 5 AS enough
-  FROM marked m JOIN branch b ON b.host = m.host AND b.parent = m.parent AND b.alike = m.alike JOIN pooled p ON p.template = m.template, overall
+  SELECT host, template, (bad + 4.0::DOUBLE * ((ab + 4.0::DOUBLE * o) / (ab + ag + 4.0::DOUBLE))) / (bad + good + 4.0::DOUBLE) AS purity, greatest(bad + good, ab + ag) >= 5 AS enough
+  FROM counted JOIN pooled USING (template), overall
 )
 SELECT page_id, parts.host, parts.path, rule, coalesce(kind, CASE WHEN enough AND purity >= 0.6 THEN 'block' ELSE 'allow' END) AS verdict
-FROM parts JOIN full_names f ON f.host = parts.host AND f.path = parts.path JOIN scored s ON s.host = f.host AND s.template = f.template AND s.parent = f.parent
+FROM parts JOIN known k ON k.host = parts.host AND k.path = parts.path JOIN scored s ON s.host = k.host AND s.template = k.template
 """,
 }

@@ -1,23 +1,29 @@
 """URL filters: rules first, then a path-template tree, with DataFrame functions alone.
 
-The tree: a path is split at "/"; digits in a segment become "#". Per host and prefix, a position whose segments
-hardly repeat is a wildcard "*". The generalised segments make a template. Templates of a host whose labelled shares
-are alike and that hang from the same parent are merged, and a template is rejected by its smoothed labelled purity:
-(bad + m * prior) / (n + m) with its merged branch's counts, where the prior is the same path template's share over all
-hosts, itself smoothed by the overall share. Labels are the rules' own verdicts and any labels given.
+The tree: a path is split at "/"; digits in a segment become "#". From the root down, level by level, the children of a
+host's generalised prefix are named. A child has evidence if enough labelled pages lie below it, on its host or, under the
+same generalised prefix, on all hosts together. Children with evidence are sorted by their share of bad pages, and
+neighbours whose shares do not differ by a two-proportion test are one branch. Among children without evidence, a
+position is variable, and a wildcard "*", if its segments are many and hardly repeat; else those of one structure (the
+same least and largest depth below) are one branch "*". A template is the path of branches, so its counts are those of
+all that was merged into it, and it is rejected by its smoothed labelled purity: (bad + m * prior) / (n + m), where the
+prior is the same template's share over all hosts, itself smoothed by the overall share. Labels are the rules' own
+verdicts and any labels given.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, quoted, stage_table
 
 #: Fixed rules of the digest query, as (verdict, host/path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Segments beyond this depth are one wildcard "**".
 DEPTH = 12
+#: Square of the test's critical value (5 % of branches that do not differ stay apart), and the fewest kinds of a variable position.
+CRITICAL, LEAST = 3.8416, 8
 
 
 def host_of(url: Column) -> Column:
@@ -38,25 +44,62 @@ def matched(rules: tuple[tuple[str, str], ...], host: Column, path: Column) -> t
     return rule, verdict
 
 
-def templates(urls: DataFrame, least: int = 8, repeats: float = 2.0) -> DataFrame:
-    """urls: distinct (host, path) with n pages. Adds template and parent.
+def similar(b1: Column, g1: Column, b2: Column, g2: Column) -> Column:
+    """Whether two shares of bad pages do not differ."""
+    n1, n2 = b1 + g1, b2 + g2
+    p, d = (b1 + b2) / (n1 + n2), b1 / n1 - b2 / n2
+    return d * d <= CRITICAL * p * (1 - p) * (1 / n1 + 1 / n2)
 
-    least, repeats: a position is a wildcard if at least so many different segments stand there, each on so many pages
-    at most on average.
+
+def named_children(kids: DataFrame, fewest: int, least: int) -> DataFrame:
+    """kids: (host, node, seg, n, bad, good, low, high). Adds the name of each child's branch.
+
+    Only children with evidence, each with `fewest` labelled pages at least, meet in a window of their parent; the others
+    meet in sums by parent and structure.
+    """
+    pooled = kids.groupBy("node", "seg").agg(F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"))
+    own, some = F.col("bad") + F.col("good") >= fewest, F.col("all_bad") + F.col("all_good") >= fewest
+    pick = lambda x, y: F.when(own, F.col(x)).when(some, F.col(y)).cast("double")
+    known = kids.join(pooled, ["node", "seg"]).select("host", "node", "seg", "n", "low", "high", pick("bad", "all_bad").alias("b"), pick("good", "all_good").alias("g"))
+    known = known.withColumn("share", F.col("b") / (F.col("b") + F.col("g")))
+
+    order = Window.partitionBy("host", "node").orderBy("share", "seg")
+    before = F.lag("b").over(order), F.lag("g").over(order)
+    apart = F.coalesce(~similar(*before, F.col("b"), F.col("g")), F.lit(True)).cast("int")
+    marked = known.where("share is not null").withColumn("apart", apart).withColumn("branch", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    branch = Window.partitionBy("host", "node", "branch")
+    labelled = marked.withColumn("members", F.count("*").over(branch)).withColumn("first", F.min("seg").over(branch))
+    labelled = labelled.select("host", "node", "seg", F.when(F.col("members") > 1, F.concat("first", F.lit("+"))).otherwise(F.col("seg")).alias("name"))
+
+    rest = known.where("share is null")
+    kinds = rest.groupBy("host", "node", "low", "high").agg(F.count("*").alias("members"), F.sum("n").alias("pages"))
+    parent = Window.partitionBy("host", "node")  # a row per structure
+    k, pages = F.sum("members").over(parent), F.sum("pages").over(parent)
+    kinds = kinds.withColumn("merged", (F.col("members") > 1) | ((k >= least) & (k.cast("double") * k >= pages))).select("host", "node", "low", "high", "merged")
+    other = rest.join(kinds, ["host", "node", "low", "high"]).select("host", "node", "seg", F.when(F.col("merged"), F.lit("*")).otherwise(F.col("seg")).alias("name"))
+    return labelled.union(other)
+
+
+def templates(urls: DataFrame, fewest: int = 5, least: int = LEAST) -> DataFrame:
+    """urls: distinct (host, path) with n pages, bad and good ones. Adds template.
+
+    least: a position is variable if at least so many different segments without evidence stand there, and the square of
+    their number is at least their pages.
     """
     raw = F.filter(F.split("path", "/"), lambda s: s != "")
     shapes = F.transform(raw, lambda s: F.regexp_replace(s, "[0-9]+", "#"))
     shapes = F.when(F.size(shapes) > DEPTH, F.concat(F.slice(shapes, 1, DEPTH), F.array(F.lit("**")))).otherwise(shapes)
-    tail = F.when(F.col("path").endswith("/"), F.lit("/")).otherwise(F.lit(""))
-    each = urls.select("host", "path", "n", tail.alias("tail"), shapes.alias("shapes")).select("host", "path", "n", "tail", "shapes", F.posexplode_outer("shapes").alias("pos", "shape"))
-    each = each.select("host", "path", "n", "tail", "shape", F.coalesce("pos", F.lit(0)).alias("pos"), F.xxhash64(F.col("pos"), F.concat_ws("/", F.slice("shapes", 1, F.coalesce("pos", F.lit(0))))).alias("prefix"))
-    children = each.where("shape is not null").groupBy("host", "prefix", "shape").agg(F.sum("n").alias("n"))
-    wild = children.groupBy("host", "prefix").agg(F.count("*").alias("kinds"), F.sum("n").alias("pages")).where((F.col("kinds") >= least) & (F.col("pages") <= repeats * F.col("kinds"))).select("host", "prefix", F.lit(True).alias("wild"))
-    marked = each.join(wild, ["host", "prefix"], "left").withColumn("shape", F.when(F.col("wild"), F.lit("*")).otherwise(F.col("shape")))
-    whole = marked.groupBy("host", "path").agg(F.max("n").alias("n"), F.max("tail").alias("tail"), F.sort_array(F.collect_list(F.struct("pos", "shape"))).alias("steps"))
-    names = F.filter(F.transform("steps", lambda s: s["shape"]), lambda s: s.isNotNull())
-    text = lambda parts: F.concat(F.lit("/"), F.concat_ws("/", parts))
-    return whole.select("host", "path", "n", F.concat(text(names), F.when(F.size(names) > 0, F.col("tail")).otherwise(F.lit(""))).alias("template"), text(F.slice(names, 2, DEPTH)).alias("parent"))
+    now = stage_table(urls.withColumn("shapes", shapes).withColumn("node", F.lit("")), "urls")
+    deepest = now.agg(F.coalesce(F.max(F.size("shapes")), F.lit(0))).first()[0]  # DEPTH + 1 at most
+    for level in range(deepest):
+        each = now.withColumn("seg", F.get("shapes", F.lit(level)))
+        below = F.size("shapes") - (level + 1)
+        kids = each.where("seg is not null").groupBy("host", "node", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")], F.min(below).alias("low"), F.max(below).alias("high"))
+        named = named_children(kids, fewest, least)
+        node = F.when(F.col("name").isNotNull(), F.concat("node", F.lit("/"), "name")).otherwise(F.col("node"))
+        now = stage_table(each.join(named, ["host", "node", "seg"], "left").select(*urls.columns, "shapes", node.alias("node")), f"level{level}")
+    tail = F.when((F.col("node") != "") & ~F.col("path").endswith("/"), F.lit("")).otherwise(F.lit("/"))
+    return now.select(*urls.columns, F.concat("node", tail).alias("template"))
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url", labels: DataFrame | None = None, smooth: float = 4.0, reject: float = 0.6, fewest: int = 5) -> DataFrame:
@@ -67,27 +110,23 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col:
     Null urls and urls without "://" have an empty host and path and are judged like any other. Repeated rows and
     identifiers get the same verdict each; an empty table gives no rows. Other columns are not read.
     """
-    parts = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    urls = templates(parts.groupBy("host", "path").agg(F.count("*").alias("n")))
+    parts = pages.select(quoted(id_col).alias("id"), host_of(quoted(url_col)).alias("host"), path_of(quoted(url_col)).alias("path"))
     rule, verdict = matched(rules, F.col("host"), F.col("path"))
-    known = urls.withColumn("rule", rule).withColumn("by_rule", verdict)
-    bad, good = F.when(F.col("by_rule") == "block", F.col("n")).otherwise(0), F.when(F.col("by_rule") == "allow", F.col("n")).otherwise(0)
+    urls = parts.groupBy("host", "path").agg(F.count("*").alias("n")).withColumn("rule", rule).withColumn("by_rule", verdict)
+    bad, good = (F.when(F.col("by_rule") == v, F.col("n")).otherwise(0) for v in ("block", "allow"))
     if labels is not None:
         given = labels.groupBy("host", "path").agg(F.sum(F.col("bad").cast("int")).alias("lb"), F.sum((~F.col("bad")).cast("int")).alias("lg"))
-        known = known.join(given, ["host", "path"], "left")
+        urls = urls.join(given, ["host", "path"], "left")
         bad, good = bad + F.coalesce("lb", F.lit(0)), good + F.coalesce("lg", F.lit(0))
-    counted = known.groupBy("host", "template", "parent").agg(F.sum(bad).alias("bad"), F.sum(good).alias("good"))
-    # branches of one parent whose labelled shares are alike (to a quarter, unlabelled ones apart) are one branch
-    alike = F.when(F.col("bad") + F.col("good") > 0, F.round(4 * F.col("bad") / (F.col("bad") + F.col("good")))).otherwise(F.lit(-1.0))
-    counted = counted.withColumn("alike", alike)
-    branch = counted.groupBy("host", "parent", "alike").agg(F.sum("bad").alias("branch_bad"), F.sum("good").alias("branch_good"))
+    known = templates(urls.withColumn("bad", bad).withColumn("good", good).drop("lb", "lg"), fewest)
+    counted = known.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     pooled = counted.groupBy("template").agg(F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"))
     all_bad, seen = pooled.agg(F.coalesce(F.sum("all_bad"), F.lit(0)), F.coalesce(F.sum(F.col("all_bad") + F.col("all_good")), F.lit(0))).first()
     overall = all_bad / seen if seen else 0.5
     prior = (F.col("all_bad") + smooth * overall) / (F.col("all_bad") + F.col("all_good") + smooth)
-    purity = (F.col("branch_bad") + smooth * prior) / (F.col("branch_bad") + F.col("branch_good") + smooth)
-    scored = counted.join(branch, ["host", "parent", "alike"]).join(pooled, "template")
-    scored = scored.select("host", "template", "parent", purity.alias("purity"), (F.greatest(F.col("branch_bad") + F.col("branch_good"), F.col("all_bad") + F.col("all_good")) >= fewest).alias("enough"))
-    verdicts = known.select("host", "path", "template", "parent", "rule", "by_rule").join(scored, ["host", "template", "parent"])
+    purity = (F.col("bad") + smooth * prior) / (F.col("bad") + F.col("good") + smooth)
+    enough = F.greatest(F.col("bad") + F.col("good"), F.col("all_bad") + F.col("all_good")) >= fewest
+    scored = counted.join(pooled, "template").select("host", "template", purity.alias("purity"), enough.alias("enough"))
+    verdicts = known.select("host", "path", "template", "rule", "by_rule").join(scored, ["host", "template"])
     verdicts = verdicts.select("host", "path", "template", "rule", "purity", F.coalesce("by_rule", F.when(F.col("enough") & (F.col("purity") >= reject), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
     return parts.join(verdicts, ["host", "path"]).select(F.col("id").alias(id_col), "host", "path", "rule", "verdict", "template", "purity")
