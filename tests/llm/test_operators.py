@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -22,7 +23,7 @@ from tracemill.llm.quality import FEATURES, Model, classify, isotonic, keep_good
 from tracemill.llm.substring_dedup import remove_repeats, repeated
 from tracemill.llm.token_files import Reader, build_index, shard, token_round_trip
 from tracemill.llm.tokens import Encoder
-from tracemill.llm.url_filter import judge
+from tracemill.llm.url_filter import judge, templates
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, length int, block int"
 LONG = "lorem ipsum dolor, " * 30_000
@@ -94,6 +95,73 @@ def test_url_rules_and_templates(spark, empty):
     assert judge(empty.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"))).count() == 0
 
 
+def tree_by_hand(urls):
+    """Templates of {(host, path): (n, bad, good)}, one node at a time."""
+    shapes = {u: [re.sub("[0-9]+", "#", s) for s in u[1].split("/") if s] for u in urls}
+    shapes = {u: s[:12] + ["**"] * (len(s) > 12) for u, s in shapes.items()}
+    node = dict.fromkeys(urls, "")
+    for level in range(max(map(len, shapes.values()), default=0)):
+        kids, pooled = defaultdict(list), defaultdict(lambda: [0, 0])
+        for u, s in shapes.items():
+            if len(s) > level:
+                kids[u[0], node[u], s[level]].append(u)
+                pooled[node[u], s[level]][0] += urls[u][1]
+                pooled[node[u], s[level]][1] += urls[u][2]
+        parents, names = defaultdict(list), {}
+        for (host, at, seg), own in kids.items():
+            parents[host, at].append((seg, own))
+        for (host, at), children in parents.items():
+            sure, rest = [], defaultdict(list)
+            for seg, own in children:
+                counts = [sum(urls[u][i] for u in own) for i in (1, 2)]
+                counts = counts if sum(counts) >= 5 else pooled[at, seg] if sum(pooled[at, seg]) >= 5 else None
+                if counts:
+                    sure.append((counts[0] / sum(counts), seg, *counts))
+                else:
+                    below = [len(shapes[u]) - level - 1 for u in own]
+                    rest[min(below), max(below)].append((seg, sum(urls[u][0] for u in own)))
+            branches = []
+            for _, seg, b, g in sorted(sure):
+                if branches:
+                    _, b1, g1 = branches[-1][-1]
+                    p = (b + b1) / (b + b1 + g + g1)
+                    if (b1 / (b1 + g1) - b / (b + g)) ** 2 <= 3.8416 * p * (1 - p) * (1 / (b1 + g1) + 1 / (b + g)):
+                        branches[-1].append((seg, b, g))
+                        continue
+                branches.append([(seg, b, g)])
+            for own in branches:
+                for seg, *_ in own:
+                    names[host, at, seg] = seg if len(own) == 1 else min(x[0] for x in own) + "+"
+            k, pages = sum(map(len, rest.values())), sum(n for own in rest.values() for _, n in own)
+            for own in rest.values():
+                for seg, _ in own:
+                    names[host, at, seg] = "*" if len(own) > 1 or (k >= 8 and k * k >= pages) else seg
+        node = {u: f"{node[u]}/{names[u[0], node[u], s[level]]}" if len(s) > level else node[u] for u, s in shapes.items()}
+    return {u: t + ("" if t and not u[1].endswith("/") else "/") for u, t in node.items()}
+
+
+def test_url_tree_as_by_hand(spark):
+    rng = random.Random(10)
+    urls = {}
+    for _ in range(700):
+        host = rng.choice(["a.com", "b.com", "c.net", ""])
+        parts = [rng.choice(["user", "shop", "es", "fr", "about"]), rng.choice([f"n{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}", "item", "list"]), rng.choice(["a", "b", "7", "12"])]
+        path = "/" + "/".join(parts[: rng.randrange(4)]) + rng.choice(["", "/"])
+        n = rng.randrange(1, 4)
+        bad = rng.randrange(n + 1) if rng.random() < {"es": 0.9, "shop": 0.4}.get(parts[0], 0.1) else 0
+        urls[host, path] = (n, bad, rng.randrange(n - bad + 1) if rng.random() < 0.5 else 0)
+    rows = spark.createDataFrame([(*u, *v) for u, v in urls.items()], "host string, path string, n long, bad long, good long")
+    got = {(r["host"], r["path"]): r["template"] for r in templates(rows).collect()}
+    assert got == tree_by_hand(urls) and len(set(got.values())) < len(got) / 3
+
+
+def test_variable_segments_below_variable_segments(spark):
+    letters = "abcdefghijklmnopqrst"
+    urls = [(f"http://h.net/user/{x * 3}/item/{y}",) for x in letters for y in ("red", "blue", "tall", "wide")] + [("http://h.net/about",), ("http://h.net/help/",)]
+    got = judge(spark.createDataFrame([(k, *u) for k, u in enumerate(urls)], "page_id long, url string")).collect()
+    assert {r["template"] for r in got} == {"/user/*/item/*", "/*", "/*/"}
+
+
 # ---- 3
 
 
