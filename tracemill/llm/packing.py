@@ -17,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
-from .tokens import encoder
+from .common import quoted, slices
+from .tokens import ENCODED_BYTES, encoder
 
 PIECES = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 DDL = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -88,7 +88,7 @@ def packed(path: str, capacity: int, end_id: int, smallest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(capacity, smallest, TaskContext.get().partitionId() << 36)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", ENCODED_BYTES):
                 flat, starts = encoder(path, True).encode(part["text"])
                 for i, key in enumerate(part["id"].to_pylist()):
                     packer.add(key, np.append(flat[starts[i] : starts[i + 1]], np.uint32(end_id)))
@@ -109,5 +109,5 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     of rows that one task has read; sequence_id is the task's partition and a counter, so a retried task gives the
     same numbers. An empty table gives no rows. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
     return rows.mapInArrow(packed(tokenizer, capacity, end_id, smallest), DDL).withColumnRenamed("id", id_col)

@@ -4,7 +4,9 @@ A file is a folder of shards in Parquet, a row a shard: the raw payload (unsigne
 its documents, end to end), the index, and the shard's place in the whole. The index is a minimal perfect hash from
 document keys to slots: displacements for each bucket, then per slot a fingerprint, the offset in the payload and the
 length. A lookup hashes the key twice, reads one displacement and one slot, and compares the fingerprint. Documents
-lie in ascending key order over all shards; keys are stored too, so that a reader can list them.
+lie in ascending key order over all shards; keys are stored too, so that a reader can list them. A shard closes when it
+is full, wherever it is in a key's documents: a key with very many of them (or none, the null key) runs on over several
+shards, each with its own part in its index, and a lookup reads every shard whose range of keys holds the key.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, mix, slices
-from .tokens import encoder
+from .common import checkpoint_dir, mix, quoted, slices
+from .tokens import ENCODED_BYTES, encoder
 
 SHARD_IDS = 4 << 20
-SHARD = pa.schema([("part", pa.int32()), ("piece", pa.int32()), ("n_ids", pa.int64()), ("width", pa.int32()), ("payload", pa.binary()), ("keys", pa.binary()), ("nulls", pa.int64()), ("displacements", pa.binary()), ("slots", pa.binary())])
-SHARD_DDL = "part int, piece int, n_ids long, width int, payload binary, keys binary, nulls long, displacements binary, slots binary"
+SHARD = pa.schema([("part", pa.int32()), ("piece", pa.int32()), ("n_ids", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("width", pa.int32()), ("payload", pa.binary()), ("keys", pa.binary()), ("nulls", pa.int64()), ("displacements", pa.binary()), ("slots", pa.binary())])
+SHARD_DDL = "part int, piece int, n_ids long, low long, high long, width int, payload binary, keys binary, nulls long, displacements binary, slots binary"
 #: A slot: fingerprint, first document's ordinal among equal keys' run, offset in ids, length in ids of the run's documents.
 SLOT = np.dtype([("print", "<u4"), ("run", "<u4"), ("first", "<u8")])
 
@@ -88,7 +90,8 @@ def shard(part: int, piece: int, ids: list[np.ndarray], keys: list[int | None])
     slots = np.zeros(len(own), dtype=SLOT)
     slots["print"][slot], slots["run"][slot], slots["first"][slot] = hashes(own)[2], run, start + nulls
     bounds = np.append(first, len(flat)).astype("<u8")
-    return part, piece, len(flat), width, flat.astype(f"<u{width}").tobytes(), known.astype("<i8").tobytes(), nulls, displacement.astype("<u4").tobytes(), slots.tobytes() + bounds.tobytes()
+    low, high = (int(known[0]), int(known[-1])) if len(known) else (None, None)
+    return part, piece, len(flat), low, high, width, flat.astype(f"<u{width}").tobytes(), known.astype("<i8").tobytes(), nulls, displacement.astype("<u4").tobytes(), slots.tobytes() + bounds.tobytes()
 
 
 class Reader:
@@ -123,10 +126,10 @@ def shards(path: str, end_id: int, most: int):
         part, piece, held, ids, keys = TaskContext.get().partitionId(), 0, 0, [], []
         batch_of = lambda row: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, SHARD.types, strict=True)], schema=SHARD)
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", ENCODED_BYTES):
                 flat, starts = encoder(path, False).encode(rows["text"])
                 for i, key in enumerate(rows["id"].to_pylist()):
-                    if held >= most and key != keys[-1]:  # a key's documents stay in one shard
+                    if held >= most:
                         yield batch_of(shard(part, piece, ids, keys))
                         piece, held, ids, keys = piece + 1, 0, [], []
                     ids.append(np.append(flat[starts[i] : starts[i + 1]], np.uint32(end_id)))
@@ -144,8 +147,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_
     tokenizer: path of a word-level tokenizers file. Null texts are empty. Repeated identifiers are kept, side by side.
     An empty table writes a file without shards.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id")
+    rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
+    # a hot key's texts are dealt over several ranges
+    ordered = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id")
     ordered.mapInArrow(shards(tokenizer, end_id, most), SHARD_DDL).write.parquet(path)
 
 
@@ -176,6 +180,23 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     return rows.join(places, ["part", "piece"]).select(F.col("id").alias(id_col), (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def documents_of(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
+    """key and ids (unsigned 32-bit little-endian) of each document of a few keys, from the shards that may hold them."""
+    wanted = sorted(set(keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                reader = Reader(row)
+                own = np.array([k for k in wanted if row["low"] <= k <= row["high"]], dtype=np.int64)
+                found = [(k, reader.document(f + j).astype("<u4").tobytes()) for k, f, r in zip(own.tolist(), *(x.tolist() for x in reader.find(own)), strict=True) for j in range(r)]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["key", "ids"])
+
+    near = F.exists(F.array(*[F.lit(k).cast("long") for k in wanted]), lambda k: (F.col("low") <= k) & (F.col("high") >= k))
+    inside = (F.col("high") >= wanted[0]) & (F.col("low") <= wanted[-1]) & near if wanted else F.lit(False)
+    return spark.read.schema(SHARD_DDL).parquet(path).where(inside).mapInArrow(run, "key long, ids binary")
+
+
 def token_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> DataFrame:
     """Writes docs to a new file in the shared folder and lists what it reads from there."""
     path = f"{checkpoint_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"

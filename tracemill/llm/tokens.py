@@ -10,16 +10,16 @@ from __future__ import annotations
 
 import gc
 import os
-import re
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO = 300_000
+#: Chunks in a generation of the memo, bytes of text that are encoded at a time (equal chunks of these once).
+MEMO, ENCODED_BYTES = 150_000, 8 << 20
 #: Chunks that are one word of Latin letters and one run of punctuation at most, which a tokenizer never merges.
-SIMPLE = re.compile(r" ?([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
+SIMPLE, MARKS = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+[.,;:!?]*$", ".,;:!?"
 #: Texts that are encoded whole: a space at an end or beside other white space, or what may be a special token.
 WHOLE_BYTES = r"^ | $|[\s\x0b\x1c-\x1f\x{85}\p{Z}] | [\s\x0b\x1c-\x1f\x{85}\p{Z}]|<\|"
 WHOLE_WORDS = r"<\|"
@@ -33,45 +33,50 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.byte_level = Tokenizer.from_file(path), byte_level
+        # chunks met lately, and those met before them
         self.memo: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         self.tails: dict[str, list[int]] = {"": []}
         # the byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = iter(range(256, 512))
         self.alphabet = {b: chr(b) if b in own else chr(next(other)) for b in range(256)}
-        if byte_level:  # for one word, the same merges in a leaner library, over the ranks of this tokenizer's vocabulary
-            import tiktoken
-
-            back = {c: b for b, c in self.alphabet.items()}
-            special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-            ranks = {bytes(back[c] for c in piece): i for piece, i in self.tokenizer.get_vocab().items() if piece not in special}
-            self.merge = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def encode_all(self, strings: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def of_chunks(self, chunks: list[str]) -> list[list[int]]:
-        memo = self.memo
-        new = [c for c in chunks if c not in memo]
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = chunks
-        rest, tails, alphabet, model = [], self.tails, self.alphabet, self.tokenizer.model.tokenize
-        for c in new:
-            if found := SIMPLE(c):
-                word, tail = found.groups()
-                if tail not in tails:
-                    tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
-                if self.byte_level:
-                    ids = self.merge(c[: len(c) - len(tail)].encode())
-                else:
-                    ids = [t.id for t in model(word.lower().encode().decode("latin-1").translate(alphabet))]
-                memo[c] = ids + tails[tail] if tail else ids
-            else:
-                rest.append(c)
+    def of_words(self, words: list[str], spaced: list[bool]) -> list[list[int]]:
+        """Ids of words of SIMPLE form, by the tokenizer's own merges: its other steps leave such words whole."""
+        merges, alphabet, tails, space, out = self.tokenizer.model.tokenize, self.alphabet, self.tails, self.alphabet[32], []
+        for word, after in zip(words, spaced, strict=True):
+            core = word.rstrip(MARKS)
+            tail = word[len(core) :]
+            if tail not in tails:
+                tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
+            if not self.byte_level:
+                core = core.lower()
+            if not core.isascii():
+                core = core.encode().decode("latin-1").translate(alphabet)
+            ids = [t.id for t in merges(space + core if after else core)]
+            out.append(ids + tails[tail] if tail else ids)
+        return out
+
+    def of_chunks(self, names: list[str], spaced: list[bool], simple: list[bool]) -> list[list[int]]:
+        """Ids of different chunks; a spaced one begins with a space."""
+        memo, older = self.memo, self.older
+        chunks = [" " + c if after else c for c, after in zip(names, spaced, strict=True)] if self.byte_level else names
+        out = [memo.get(c) or older.get(c) for c in chunks]
+        new = [i for i, ids in enumerate(out) if ids is None]
+        words, rest = [i for i in new if simple[i]], [i for i in new if not simple[i]]
+        for i, ids in zip(words, self.of_words([names[i] for i in words], [spaced[i] for i in words]), strict=True):
+            out[i] = ids
         if rest:
-            memo.update(zip(rest, self.encode_all(rest), strict=True))
-        return [memo[c] for c in chunks]
+            for i, ids in zip(rest, self.encode_all([chunks[i] for i in rest]), strict=True):
+                out[i] = ids
+        if len(memo) > MEMO:
+            self.older, self.memo = memo, {}
+        self.memo.update(zip(chunks, out, strict=True))
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the first id's index of each text (one more at the end). Null is empty."""
@@ -97,7 +102,8 @@ class Encoder:
         if whole.any():
             key = key[~np.repeat(whole, np.diff(starts))]
         used = np.flatnonzero(np.bincount(key, minlength=2 * len(names)))
-        ids = self.of_chunks([(" " if k & 1 else "") + names[k >> 1] for k in used.tolist()])
+        simple = np.asarray(pc.match_substring_regex(coded.dictionary, SIMPLE))[used >> 1] if len(used) else used
+        ids = self.of_chunks([names[k] for k in (used >> 1).tolist()], ((used & 1) > 0).tolist(), simple.tolist())
         sizes = np.zeros(2 * len(names), dtype=np.int64)
         sizes[used] = [len(x) for x in ids]
         flat_ids = np.fromiter(chain.from_iterable(ids), dtype=np.uint32)
