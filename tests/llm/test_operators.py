@@ -21,7 +21,7 @@ from tracemill.llm.mixing import mix, mix_rates
 from tracemill.llm.packing import cuts, pack
 from tracemill.llm.quality import FEATURES, Model, classify, isotonic, keep_good, statistics
 from tracemill.llm.substring_dedup import remove_repeats, repeated
-from tracemill.llm.token_files import Reader, build_index, shard, token_round_trip
+from tracemill.llm.token_files import Reader, build_index, documents_of, read_tokens, shard, token_round_trip, write_tokens
 from tracemill.llm.tokens import Encoder
 from tracemill.llm.url_filter import judge, templates
 
@@ -224,11 +224,24 @@ def test_token_files(spark, docs, empty):
     assert token_round_trip(empty, path("word_bpe_49k.json")).count() == 0
 
 
+def test_a_hot_key_runs_over_shards(spark, tmp_path):
+    tok = Tokenizer.from_file(path("word_bpe_49k.json"))
+    rows = [(5 if k % 3 else k, f"word{k} " * (k % 9)) for k in range(300)] + [(None, "x y")] * 40
+    write_tokens(frame(spark, rows), path("word_bpe_49k.json"), str(tmp_path / "f"), most=50)
+    stored = spark.read.parquet(str(tmp_path / "f"))
+    assert stored.agg(F.max("n_ids")).first()[0] < 100 and stored.where("low = 5 and high = 5").count() > 3
+    ids = lambda t: np.array([*tok.encode(t, add_special_tokens=False).ids, 1], dtype="<u4").tobytes()
+    got = Counter((r["key"], bytes(r["ids"])) for r in documents_of(spark, str(tmp_path / "f"), [5, 30, 7, 10**9]).collect())
+    assert got == Counter((k, ids(t)) for k, t in rows if k in (5, 30))
+    whole = sorted((r["start"], r["n_tokens"]) for r in read_tokens(spark, str(tmp_path / "f")).collect())
+    assert len(whole) == len(rows) and all(a + n == b for (a, n), (b, _) in zip(whole, whole[1:], strict=False))
+
+
 def test_minimal_perfect_hash():
     for n in (1, 2, 5, 1000, 5000):
         keys = np.unique(np.random.default_rng(n).integers(-(1 << 62), 1 << 62, size=n))
         assert sorted(build_index(keys)[1].tolist()) == list(range(len(keys)))
-    names = ("part", "piece", "n_ids", "width", "payload", "keys", "nulls", "displacements", "slots")
+    names = ("part", "piece", "n_ids", "low", "high", "width", "payload", "keys", "nulls", "displacements", "slots")
     row = dict(zip(names, shard(0, 0, [np.arange(k, dtype=np.uint32) + 60_000 for k in range(1, 6)], [None, 3, 3, 8, 10]), strict=True))
     r = Reader(row)
     first, run = r.find(np.array([3, 8, 10, 99]))
