@@ -4,13 +4,14 @@ A document's set holds its distinct shingles. Shingles are hashed into groups, a
 counts. The overlap of two sets is at most the sum of the smaller of each pair of coordinates; pairs whose bound falls
 short are dropped, the others are verified on the sets.
 
-One R-tree over all coordinates does not prune: the box around a page of unrelated points has large maxima in every
-coordinate, and its bound reaches every size. So the index is a forest. Sets are cut into bands by size, so that a link
+One R-tree over all coordinates does not prune: the box around a leaf of unrelated points has large maxima in every
+coordinate, and its bound reaches every size (README gives figures). So the index is a forest. Sets are cut into bands by size, so that a link
 joins neighbouring bands at most. The sets of a link differ in D shingles at most; the groups of a band are dealt into
 D + 1 blocks, one tree each over its own coordinates, and at least one block of a link's two points agrees in all its
 coordinates. So a leaf is the points with equal coordinates in a block, and a probe reads one leaf a tree. Blocks with
 under three shingles say little and are not indexed; where the agreeing blocks of a link could all be such (short
-texts), more forests with other hashes are kept, until the chance of that is under MISS for each link.
+texts), more forests with other hashes are kept, until the chance of that is under MISS for each link. Beyond 300 blocks
+a third of them, 100 and more, agree at a link's worst, so one forest is enough.
 
 A leaf's points are compared with its smallest alone (all pairs in a leaf of four or fewer). Leaves with points that do
 not link with their smallest are opened: the points below one smallest are dealt into pages by size and hash, and pairs
@@ -38,8 +39,8 @@ GROUPS = 64
 #: compared all with all, points of a leaf that a task ships before it keeps its smallest alone, entries held by a task.
 LEAST, MISS, SMALL_LEAF, LOCAL_LEAF, FLUSH = 3, 1e-6, 4, 64, 1_500_000
 SHARD_BYTES = 6 << 20
-#: Points of a page.
-PAGE = 1024
+#: Shingles and points of a page at most, on average, and points of a box.
+PAGE_SHINGLES, PAGE, BOX = 1 << 20, 4096, 32
 ENTRY, PAIR, MEMBER, HOT = 0, 1, 2, 3
 
 SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("counts", pa.binary())])
@@ -334,6 +335,21 @@ def set_table(need: DataFrame, points: DataFrame, docs: DataFrame, width: int) -
     return stage_table(texts.mapInArrow(named_sets(width), "sid long, shingles binary").dropDuplicates(["sid"]), "sets")
 
 
+def boxes(counts: np.ndarray, n: np.ndarray, points: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Leaves of an R-tree over some points, in the order of their counts, with each leaf's largest counts and smallest size."""
+    points = points[np.lexsort((n[points], *counts[points, :8].T))]
+    leaves = [points[k : k + BOX] for k in range(0, len(points), BOX)]
+    return leaves, np.stack([counts[own].max(axis=0) for own in leaves]), np.array([n[own].min() for own in leaves])
+
+
+def summed_minima(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The bound of every pair of rows."""
+    out = np.zeros((len(x), len(y)), dtype=np.int64)
+    for g in range(x.shape[1]):
+        out += np.minimum(x[:, g][:, None], y[:, g][None, :])
+    return out
+
+
 def compared(num: int, den: int):
     """Of one pair of pages: a spanning forest of the links between points of different components."""
 
@@ -346,26 +362,30 @@ def compared(num: int, den: int):
         part = np.unique(np.asarray(page["component"]), return_inverse=True)[1]
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
         edges: list[tuple[int, int]] = []
-        for at in range(0, len(left), 128):
-            x = left[at : at + 128]
-            both = n[x][:, None] + n[right][None, :]
-            ok = (part[x][:, None] != part[right][None, :]) & (np.minimum(band[x][:, None], band[right][None, :]) == low)
+        if not len(left) or not len(right):
+            return pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
+        (xs, x_box, x_least), (ys, y_box, y_least) = boxes(counts, n, left), boxes(counts, n, right)
+        near = summed_minima(x_box, y_box) * (den + num) >= num * (x_least[:, None] + y_least[None, :])
+        for k, x in enumerate(xs):
+            mates = [ys[m] for m in np.flatnonzero(near[k]).tolist()]
+            if not mates:
+                continue
+            y = np.concatenate(mates)
+            both = n[x][:, None] + n[y][None, :]
+            ok = (part[x][:, None] != part[y][None, :]) & (np.minimum(band[x][:, None], band[y][None, :]) == low)
             if i == j:
-                ok &= x[:, None] < right[None, :]
-            ok &= np.minimum(n[x][:, None], n[right][None, :]) * den >= np.maximum(n[x][:, None], n[right][None, :]) * num
+                ok &= x[:, None] < y[None, :]
+            ok &= np.minimum(n[x][:, None], n[y][None, :]) * den >= np.maximum(n[x][:, None], n[y][None, :]) * num
             if not ok.any():
                 continue
-            bound = np.zeros(ok.shape, dtype=np.int32)
-            for g in range(GROUPS):
-                bound += np.minimum(counts[x, g][:, None], counts[right, g][None, :])
-            ok &= bound.astype(np.int64) * (den + num) >= num * both
+            ok &= summed_minima(counts[x], counts[y]) * (den + num) >= num * both
             rows, cols = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
             if not len(rows):
                 continue
-            common = overlaps([sets[k] for k in x[rows]], [sets[k] for k in right[cols]])
+            common = overlaps([sets[r] for r in x[rows]], [sets[c] for c in y[cols]])
             linked = ok[np.ix_(rows, cols)] & (common * (den + num) >= num * both[np.ix_(rows, cols)])
             for r, c in zip(*np.nonzero(linked), strict=True):
-                u, v = x[rows[r]], right[cols[c]]
+                u, v = x[rows[r]], y[cols[c]]
                 if part[u] != part[v]:
                     edges.append((int(names[u]), int(names[v])))
                     part[part == part[v]] = part[u]
@@ -398,10 +418,12 @@ def opened(members: DataFrame, sure: DataFrame, points: DataFrame, sets: DataFra
     below = members.join(first, "leaf").select("sid", "first").distinct()
     linked = sure.select(F.col("a").alias("sid"), F.col("b").alias("first"), F.lit(False).alias("apart")).distinct()
     below = below.join(linked, ["sid", "first"], "left").withColumn("apart", F.coalesce("apart", F.col("sid") != F.col("first")))
-    open_ = below.groupBy("first").agg(F.max("apart").alias("apart"), F.ceil(F.count("*") / PAGE).cast("int").alias("chunks")).where("apart").drop("apart")
+    below = below.join(points.select("sid", "n"), "sid")
+    pages = F.greatest(F.ceil(F.count("*") / PAGE), F.ceil(F.sum("n") / PAGE_SHINGLES))
+    open_ = below.groupBy("first").agg(F.max("apart").alias("apart"), pages.cast("int").alias("chunks")).where("apart").drop("apart")
     # points with one part are linked through it already
     part = sure.groupBy(F.col("a").alias("sid")).agg(F.min("b").alias("least"))
-    rows = below.select("sid", "first").join(open_, "first").join(part, "sid", "left").join(points.select("sid", "n"), "sid")
+    rows = below.select("sid", "first", "n").join(open_, "first").join(part, "sid", "left")
     width = math.log(den / num) * 1.0001  # so that sizes of a link lie in one band or in two neighbours
     dealt = rows.select("first", "sid", F.least("least", "sid").alias("component"), F.floor(F.log(F.col("n").cast("double")) / width).cast("int").alias("band"), "chunks", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int").alias("chunk"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("low", F.explode(F.array(F.col("band") - 1, F.col("band"))))
