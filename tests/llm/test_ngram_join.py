@@ -5,7 +5,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
-from tracemill.llm.ngram_join import LOCAL_LEAF, MEMBER, SMALL_LEAF, bands, entries, jaccard_components, layout, leaves, set_ids, shingle_sets, ship
+from tracemill.llm.ngram_join import LOCAL_LEAF, MEMBER, SMALL_LEAF, bands, boxes, entries, jaccard_components, layout, leaves, set_ids, shingle_sets, ship, summed_minima
 
 SCHEMA = "doc_id long, text string, lang string, id long, n int"
 
@@ -40,9 +40,10 @@ def run(spark, rows, width, similarity):
     return sorted([tuple(r) for r in jaccard_components(docs, width=width, similarity=similarity).collect()], key=str)
 
 
-@pytest.mark.parametrize(("width", "similarity", "num", "den"), [(3, 0.9, 9, 10), (5, 0.8, 4, 5)])
-def test_as_brute_force_on_many_near_copies(spark, width, similarity, num, den):
-    """A group of near copies at all distances, so that leaves hold several components and are opened."""
+@pytest.mark.parametrize(("width", "similarity", "num", "den", "page"), [(3, 0.9, 9, 10, 4096), (5, 0.8, 4, 5, 4096), (5, 0.8, 4, 5, 40)])
+def test_as_brute_force_on_many_near_copies(spark, monkeypatch, width, similarity, num, den, page):
+    """A group of near copies at all distances, so that leaves hold several components and are opened, in one page and in many."""
+    monkeypatch.setattr("tracemill.llm.ngram_join.PAGE", page)
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     base = [word() for _ in range(120)]
@@ -62,6 +63,36 @@ def test_as_brute_force_on_many_near_copies(spark, width, similarity, num, den):
     assert run(spark, rows, width, similarity) == brute(rows, width, num, den)
 
 
+@pytest.mark.parametrize(("width", "similarity", "swaps"), [(3, 0.9, 70), (5, 0.8, 88)])
+def test_long_texts_at_the_threshold(spark, width, similarity, swaps):
+    """Texts with one forest of over 300 blocks: every pair just at the threshold is found, and none just below it."""
+    rng = random.Random(11)
+    n = 3990 if width == 3 else 3960
+    assert layout(9 if width == 3 else 4, 10 if width == 3 else 5, n) [1] == 1 < 300 < layout(9 if width == 3 else 4, 10 if width == 3 else 5, n)[0]
+    rows = []
+    for k in range(30):
+        base = [f"{k}w{i}" for i in range(n + width - 1)]
+        for extra in (0, 1):
+            w = list(base)
+            for i in rng.sample(range(1, (n - width) // 8), swaps + extra):
+                w[i * 8] = f"{k}x{i}"
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(w))] if not extra else [(len(rows), " ".join(f"{k}y{x}" for x in base)), (len(rows) + 1, " ".join(f"{k}y{x}" for x in w))]
+    got = run(spark, rows, width, similarity)
+    assert [c for _, _, c in sorted(got)] == [i // 2 * 2 if i % 4 < 2 else i for i in range(120)]
+
+
+def test_boxes_never_skip_a_pair_within_the_bound():
+    rng = np.random.default_rng(12)
+    counts = rng.poisson(3, size=(300, 64)).astype(np.int32)
+    n = counts.sum(axis=1)
+    leaves_, largest, least = boxes(counts, n, np.arange(300))
+    assert sorted(np.concatenate(leaves_).tolist()) == list(range(300))
+    bound, upper = summed_minima(counts, counts), summed_minima(largest, largest)
+    for a, x in enumerate(leaves_):
+        for b, y in enumerate(leaves_):
+            assert (bound[np.ix_(x, y)] <= upper[a, b]).all() and least[a] == n[x].min()
+
+
 @pytest.mark.parametrize("elsewhere", [1, 3])
 def test_leaf_hot_in_one_task_with_few_points_elsewhere(elsewhere):
     """All points of a leaf with more than SMALL_LEAF are its members, whichever task ships them."""
