@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tracemill.plans.queries import QUERIES, SQL, whole_evidence
+from tracemill.plans.queries import QUERIES, SQL, evidence
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -47,7 +47,7 @@ def test_entry(spark):
 
 def test_whole_cascade_counts_all_refusals(spark):
     """Metrics, one cell of the grid and the best rule against counts of the rows' own evidence."""
-    rows = whole_evidence(spark, SF).select("y", "stripped", "refusal", "overlap", "length", F.contains(F.lower("trace"), F.lit("cannot help")).alias("plain")).collect()
+    rows = evidence(spark, SF).select("y", "stripped", "refusal", "overlap", "length", F.contains(F.lower("trace"), F.lit("cannot help")).alias("plain")).collect()
     assert any(r["refusal"] and not r["plain"] for r in rows)
     said = [(r["y"], not (r["stripped"] < 5 or r["refusal"]) and (r["overlap"] > 0.08 or r["length"] > 3500)) for r in rows]
     want = [said.count(x) for x in ((True, True), (False, True), (True, False), (False, False))]

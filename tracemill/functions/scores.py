@@ -5,13 +5,15 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import fixed
-from .text import AFTER, BEFORE, DIGIT, PUNCTUATION, TALLY, WS, any_of, clean, count_of, deviation, java_pattern, matches, mean, number_of, ratio, strip, tally, tokens, whole_words
+from .patterns import any_pattern
+from .text import AFTER, BEFORE, DIGIT, PUNCTUATION, TALLY, WS, WS_IN, clean, count_of, deviation, matches, mean, number_of, ratio, strip, tally, tokens, whole_words
 
 # ---- of all texts
 
@@ -32,15 +34,19 @@ def latex_density(t: Column) -> Column:
     return ratio(matches(t, r"[\\${}^_]"), F.length(t))
 
 
-def characters(t: Column) -> Column:
-    """Tally of a text's characters."""
-    return tally(F.filter(F.split(t, "", -1), lambda c: c != ""))
-
-
-def entropy(tallied: Column) -> Column:
-    """Bits a character, from characters()."""
-    n = F.get(tallied, TALLY["n"])
-    return F.when(n > 0, F.log2(n) - F.get(tallied, TALLY["clog"]) / n).otherwise(0.0)
+@F.pandas_udf(T.DoubleType())
+def entropy(t: pd.Series) -> pd.Series:
+    """Bits a character. All texts of a batch are counted at once; a fold over an array of characters in Spark is many times
+    slower."""
+    out = np.zeros(len(t))
+    for start in range(0, len(t), 256):
+        own = t.iloc[start : start + 256].to_numpy()
+        size = np.array([len(x) for x in own], dtype=np.int64)
+        code = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        _, counts = np.unique(np.repeat(np.arange(len(own)), size) << 21 | code, return_counts=True)
+        of = np.repeat(np.arange(len(own)), [len(set(x)) for x in own])
+        out[start : start + 256] = np.where(size > 0, np.log2(np.maximum(size, 1)) - np.bincount(of, weights=counts * np.log2(counts), minlength=len(own)) / np.maximum(size, 1), 0.0)
+    return pd.Series(np.maximum(out, 0.0))
 
 
 def repetition_ratio(ltoks: Column, width: int = 4) -> Column:
@@ -64,8 +70,9 @@ def _spread(parts: pd.Series) -> pd.Series:
     def one(texts) -> float:
         if len(texts) < 3:
             return 0.0
-        r = pd.Series([zlib_ratio(s.encode("utf-8", "surrogatepass")) for s in texts])
-        return float(r.std(ddof=0) / r.mean()) if r.mean() >= 0.01 else 0.0
+        r = [zlib_ratio(s.encode("utf-8", "surrogatepass")) for s in texts]
+        mean = sum(r) / len(r)
+        return (max(sum(x * x for x in r) / len(r) - mean * mean, 0.0)) ** 0.5 / mean if mean >= 0.01 else 0.0
 
     return parts.map(one)
 
@@ -184,23 +191,23 @@ def query_danger(q: Column) -> Column:
     return number_of(F.lower(q), [k.lower() for k in fixed.QUERY_DANGER])
 
 
-def has_refusal(trace: Column | str) -> Column:
-    s = strip(clean(trace))
-    return any_of(F.lower(s), [k.lower() for k in fixed.REFUSAL_KEYWORDS]) | F.rlike(s, F.lit(java_pattern(fixed.REFUSAL_PATTERNS)))
+def has_refusal(trace: Column | str, patterns: Iterable[str] = fixed.REFUSAL_PATTERNS, keywords: Iterable[str] = fixed.REFUSAL_KEYWORDS) -> Column:
+    """Whether a text refuses: one of the plain keywords, or one of the patterns. Lists of one's own may be given."""
+    return any_pattern(strip(clean(trace)), patterns, [k.lower() for k in keywords])
 
 
-def has_safety_meta(t: Column) -> Column:
-    return F.rlike(t, F.lit(java_pattern(fixed.SAFETY_PATTERNS)))
+def has_safety_meta(t: Column, patterns: Iterable[str] = fixed.SAFETY_PATTERNS) -> Column:
+    return any_pattern(t, patterns)
 
 
-def has_instruction(t: Column) -> Column:
-    return F.rlike(t, F.lit(java_pattern(fixed.INSTRUCTION_PATTERNS)))
+def has_instruction(t: Column, patterns: Iterable[str] = fixed.INSTRUCTION_PATTERNS) -> Column:
+    return any_pattern(t, patterns)
 
 
-def sentence_score(sentence: Column) -> Column:
+def sentence_score(sentence: Column, refusal=has_refusal) -> Column:
     """The step's score as text: 1.0 for a refusal, 0.8 for reasoning about safety, 0.2 for instructions, else 0.5."""
     s = strip(sentence)
-    return F.when(s == "", "0.5").when(has_refusal(s), "1.0").when(has_safety_meta(s), "0.8").when(has_instruction(s), "0.2").otherwise("0.5")
+    return F.when(s == "", "0.5").when(refusal(s), "1.0").when(has_safety_meta(s), "0.8").when(has_instruction(s), "0.2").otherwise("0.5")
 
 
 # ---- content words
@@ -217,8 +224,7 @@ def content_tokens(text: Column | str, normalise: bool = True) -> Column:
     t = clean(text)
     low = F.lower(nfkc(t) if normalise else t)
     spread = F.regexp_replace(low, f"([{fixed.CJK}])", " $1 ")
-    own = F.transform(tokens(spread), lambda w: F.when(F.rlike(w, F.lit(f"^[{fixed.CJK}]$")), w).otherwise(F.regexp_replace(w, r"[^\p{L}\p{N}_]", "")))
-    return F.filter(own, lambda w: w != "")
+    return tokens(F.regexp_replace(spread, rf"[^\p{{L}}\p{{N}}_{fixed.CJK}{WS_IN}]+", ""))
 
 
 def content_words(text: Column | str, stop_words: Iterable[str] = tuple(fixed.STOP_WORDS), normalise: bool = True) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 #: Python's 29 white-space characters, inside and as a class.
 WS_IN = r"\t-\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WS = f"[{WS_IN}]"
+SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x20), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: A word's character, and the two sides of a boundary (only where a pattern's edge is a word's character).
 WORD = r"[\p{L}\p{N}_]"
 BEFORE, AFTER = f"(?<!{WORD})", f"(?!{WORD})"
@@ -28,7 +29,7 @@ def clean(c: Column | str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def tokens(c: Column) -> Column:
@@ -63,36 +64,32 @@ def java_pattern(patterns: Iterable[str]) -> str:
     return "(?iuUd)(?:" + "|".join(patterns) + ")"
 
 
-def any_of(c: Column, pieces: Iterable[str]) -> Column:
-    """Whether the text holds one of the plain substrings: one scan, of one alternation."""
-    return F.rlike(c, F.lit("|".join(rf"\Q{p}\E" for p in dict.fromkeys(pieces))))
-
-
 def number_of(c: Column, pieces: Iterable[str]) -> Column:
     """How many of the plain substrings the text holds; one that is listed twice counts twice."""
     return F.size(F.filter(F.array(*[F.lit(p) for p in pieces]), lambda p: F.contains(c, p)))
 
 
 #: Places of a tally's numbers.
-TALLY = {"n": 0, "types": 1, "once": 2, "squares": 3, "clog": 4}
+TALLY = {"n": 0, "types": 1, "once": 2, "squares": 3}
 
 
 def tally(items: Column) -> Column:
-    """Of an array, as an array: its TALLY, that is n, types (different items), once (items that occur once), squares (of
-    counts) and clog (sum of count * log2(count)). One pass over the sorted array: no shuffle, no search within, and stateless, so it runs on streams."""
-    zero = F.struct(F.lit(None).cast("string").alias("x"), *[F.lit(0).cast("long").alias(k) for k in ("run", "n", "types", "once", "squares")], F.lit(0.0).alias("clog"))
-
-    def closed(acc: Column, x: Column, run: Column) -> Column:
-        r = acc["run"]
-        some = (r > 0).cast("long")
-        log = F.when(r > 1, r * F.log2(r.cast("double"))).otherwise(0.0)
-        return F.struct(x.alias("x"), run.alias("run"), (acc["n"] + r).alias("n"), (acc["types"] + some).alias("types"), (acc["once"] + (r == 1).cast("long")).alias("once"), (acc["squares"] + r * r).alias("squares"), (acc["clog"] + log).alias("clog"))
-
-    def step(acc: Column, x: Column) -> Column:
-        longer = F.struct(acc["x"].alias("x"), (acc["run"] + 1).alias("run"), *[acc[k].alias(k) for k in ("n", "types", "once", "squares", "clog")])
-        return F.when(acc["x"] == x, longer).otherwise(closed(acc, x, F.lit(1).cast("long")))
-
-    return F.aggregate(F.array_sort(items), zero, step, lambda acc: F.array(*[closed(acc, F.lit(None).cast("string"), F.lit(0).cast("long"))[k].cast("double") for k in TALLY]))
+    """Of an array, as an array of numbers: its TALLY, that is n, types (different items), once (items that occur once) and
+    squares (of counts). Runs of the sorted array are cut where an item differs from the one before it: no shuffle, no
+    search within, and stateless, so it runs on streams."""
+
+    def of(own: Column) -> Column:
+        n = F.size(own)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(own, i) != F.get(own, i - 1)))
+        return F.transform(F.array(F.when(n > 0, starts).otherwise(F.array().cast("array<int>"))), lambda s: F.struct(n.alias("n"), s.alias("starts")))
+
+    def numbers(x: Column) -> Column:
+        starts, n, k = x["starts"], x["n"], F.size(x["starts"])
+        counts = F.transform(starts, lambda s, i: F.coalesce(F.get(starts, i + 1), n) - s)
+        return F.transform(F.array(counts), lambda c: F.array(*[v.cast("double") for v in (n, k, F.size(F.filter(c, lambda v: v == 1)), total(F.transform(c, lambda v: v.cast("long") * v), "long"))]))
+
+    # arrays of one entry bind what their lambdas share
+    return F.flatten(F.flatten(F.flatten(F.transform(F.array(F.sort_array(items)), lambda own: F.transform(of(own), numbers)))))
 
 
 def total(values: Column, kind: str = "double") -> Column:

@@ -9,18 +9,20 @@ from ..functions import scores as S
 from ..functions.text import clean, count_of, deviation, mean, sentences, stage, strip, tally, tokens
 from .steps import by_number
 
+#: Features of tokens as they are written.
+CASED = ("word_count_log", "avg_word_length", "avg_sentence_length", "unique_word_count_log", "max_word_length", "we_pronoun_freq")
 COMPRESSED = ("compression_ratio", "sentence_compression_cv")
 
 
-def with_words(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
-    """Shared columns of a text: itself without nulls, its tokens, and its lower-case tokens."""
+def with_words(df: DataFrame, text: str, prefix: str = "", cased: bool = True) -> DataFrame:
+    """Shared columns of a text: itself without nulls, its tokens (if the case of letters is needed), and its lower-case tokens."""
     df = stage(df, **{f"{prefix}t": clean(text)})
-    df = stage(df, **{f"{prefix}toks": tokens(F.col(f"{prefix}t"))})
-    return stage(df, **{f"{prefix}ltoks": F.transform(f"{prefix}toks", F.lower)})
+    t = F.col(f"{prefix}t")
+    return stage(df, **({f"{prefix}toks": tokens(t)} if cased else {}), **{f"{prefix}ltoks": tokens(F.lower(t))})
 
 
 def solution_columns(compressed: bool = True) -> dict[str, Column]:
-    """Over the columns of with_words(), and `counts` and `letters` (tallies of tokens and characters), `parts` and `lengths` (of sentences)."""
+    """Over the columns of with_words(), and `counts` (a tally of tokens), `parts` and `lengths` (of sentences)."""
     t, toks, ltoks, counts, parts = (F.col(c) for c in ("t", "toks", "ltoks", "counts", "parts"))
     n, chars = F.size(toks), F.length(t)
     out = {
@@ -33,7 +35,7 @@ def solution_columns(compressed: bool = True) -> dict[str, Column]:
         "punct_ratio": S.punct_ratio(t),
         "latex_density": S.latex_density(t),
         "compression_ratio": S.compression_ratio(t) if compressed else None,
-        "entropy": S.entropy(F.col("letters")),
+        "entropy": S.entropy(t),
         "repetition_ratio": S.repetition_ratio(ltoks),
         "has_boxed_answer": F.contains(t, F.lit("\\boxed")).cast("double"),
         "avg_sentence_length": n / F.greatest(F.size(parts), F.lit(1)),
@@ -63,13 +65,13 @@ SOLUTION_FEATURES = ("word_count_log", "char_count_log", "sentence_count_log", "
 
 def solution_features(df: DataFrame, text: str = "solution", keys: tuple[str, ...] = (), only: tuple[str, ...] | None = None) -> DataFrame:
     """keys and the chosen features (all 30 by default) of each row, without a shuffle."""
-    staged = with_words(df.select(*keys, F.col(text).alias("__text")), "__text")
     chosen = only or SOLUTION_FEATURES
-    shared = {"counts": (tally(F.col("ltoks")), ("hapax_ratio", "yules_k", "heaps_exponent")), "letters": (S.characters(F.col("t")), ("entropy",)), "parts": (sentences(F.col("t")), ("sentence_count_log", "avg_sentence_length", "sentence_length_cv", "sentence_compression_cv")), "lengths": (S.sentence_lengths(F.col("parts")), ("sentence_length_cv",))}
+    staged = with_words(df.select(*keys, F.col(text).alias("__text")), "__text", cased=bool(set(CASED) & set(chosen)))
+    shared = {"counts": (tally(F.col("ltoks")), ("hapax_ratio", "yules_k", "heaps_exponent")), "parts": (sentences(F.col("t")), ("sentence_count_log", "avg_sentence_length", "sentence_length_cv", "sentence_compression_cv")), "lengths": (S.sentence_lengths(F.col("parts")), ("sentence_length_cv",))}
     for name, (column, users) in shared.items():
         if set(users) & set(chosen):
             staged = stage(staged, **{name: column})
-    own = solution_columns(any(c in COMPRESSED for c in chosen))
+    own = solution_columns(any(c in COMPRESSED for c in chosen))  # columns that are not chosen are never resolved
     return staged.select(*keys, *[own[c].alias(c) for c in chosen])
 
 
@@ -90,7 +92,7 @@ def trace_features(df: DataFrame, query: str = "query", trace: str = "trace", ke
         "query_word_count_log": F.log1p(qn.cast("double")),
         "vocab_richness": S.type_token_ratio(ltoks),
         "compression_ratio": S.compression_ratio(t) if compressed else None,
-        "entropy": S.entropy(S.characters(t)),
+        "entropy": S.entropy(t),
         "repetition_ratio": S.repetition_ratio(ltoks),
         "query_unsafe_kw_density": S.unsafe_density(F.col("qltoks")),
         "trace_unsafe_kw_density": S.unsafe_density(ltoks),
@@ -156,7 +158,7 @@ def step_features(rows: DataFrame, keys: tuple[str, ...] = (), compressed: bool
         "query_warning_words": S.warning_words(F.col("qt")).cast("double"),
         "query_has_code": S.has_code(F.col("qt")).cast("double"),
         "total_steps": total.cast("double"),
-        "step_entropy": F.when(n > 5, S.entropy(S.characters(t))).otherwise(0.0),
+        "step_entropy": F.when(n > 5, S.entropy(t)).otherwise(0.0),
     }
     return staged.select(*keys, *[c.alias(k) for k, c in own.items() if c is not None])
 

@@ -54,7 +54,7 @@ def by_label(trace: Column | str) -> Column:
 
 def joined_scores(trace: Column | str) -> Column:
     """Scores of the steps, joined by "|"."""
-    return F.array_join(F.transform(by_marker(trace), sentence_score), "|")
+    return F.array_join(F.transform(by_marker(trace), lambda s: sentence_score(s)), "|")
 
 
 def uniform_scores(trace: Column | str, label: Column) -> Column:

@@ -16,11 +16,12 @@ SEEDS = (42, 123, 456, 789, 1024)
 
 
 def folds(df: DataFrame, k: int, key: str = "id", label: str = "label", seed: int = 0) -> DataFrame:
-    """Adds fold 0 to k - 1, each with its share of every label. Rows are dealt by salted hash first, so that a label's
-    window holds one part of its rows."""
-    salted = df.withColumn("__part", F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(64)))
-    place = F.row_number().over(Window.partitionBy(label, "__part").orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    return salted.withColumn("fold", F.pmod(place + F.col("__part"), F.lit(k)).cast("int")).drop("__part")
+    """Adds fold 0 to k - 1, each with its share of every label. Rows are dealt by a hash first, so that a label's window
+    holds one part of its rows; MD5, so that other engines can deal the same folds."""
+    digest = lambda n: F.md5(F.concat(F.lit(f"{n}:"), F.col(key).cast("string")).cast("binary"))
+    dealt = df.withColumn("__part", F.pmod(F.conv(F.substring(digest(seed + 1), 1, 2), 16, 10).cast("int"), F.lit(64))).withColumn("__order", digest(seed))
+    place = F.row_number().over(Window.partitionBy(label, "__part").orderBy("__order", key))
+    return dealt.withColumn("fold", F.pmod(place + F.col("__part"), F.lit(k)).cast("int")).drop("__part", "__order")
 
 
 def fit(df: DataFrame, features: Sequence[str], label: str = "label", seed: int = 42, rounds: int = 20, depth: int = 5, held: str | None = None) -> PipelineModel:
