@@ -1,6 +1,7 @@
 """Rules, steps, votes, metrics, tuning, readers, writers, streams and models on small cases."""
 
 import json
+import os
 import zipfile
 
 import pytest
@@ -122,6 +123,47 @@ def test_readers_and_writers(spark, tmp_path):
     assert readers.first_existing(spark, [str(tmp_path / "no"), str(tmp_path / "conf")]) == str(tmp_path / "conf") and readers.first_existing(spark, []) is None
 
 
+def test_a_caches_last_line_stands_whatever_the_files_sizes(spark, tmp_path):
+    for k, (label, pad) in enumerate([("old", 9000), ("new", 10)]):
+        path = str(tmp_path / f"c{k}")
+        writers.append_cache(spark.createDataFrame([("1", {"a": "old", "pad": "x" * pad}), ("2", {"a": "only"})], "id string, model_labels map<string,string>"), path)
+        writers.append_cache(spark.createDataFrame([("1", {"a": "new", "pad": "x" * (9010 - pad)})], "id string, model_labels map<string,string>"), path)
+        assert {r["id"]: r["votes"]["a"] for r in readers.vote_cache(spark, path).collect()} == {"1": "new", "2": "only"}
+    folder = tmp_path / "plain"
+    folder.mkdir()
+    lines(folder / "b.jsonl", [{"id": "1", "model_labels": {"a": "x" * 5000}}, {"id": "1", "model_labels": {"a": "first file's last"}}])
+    lines(folder / "a.jsonl", [{"id": "1", "model_labels": {"a": "written later"}}])
+    os.utime(folder / "b.jsonl", (1_000_000_000, 1_000_000_000))
+    assert readers.vote_cache(spark, str(folder)).first()["votes"] == {"a": "written later"}
+
+
+def test_ranked_summary_and_cached_features(spark, tmp_path):
+    writers.ranked_summary(spark.createDataFrame([("a", 0.1), ("b", 0.7), ("c", 0.4)], "name string, f1_macro double"), str(tmp_path / "r"))
+    assert [r["name"] for r in spark.read.json(str(tmp_path / "r")).collect()] == ["b", "c", "a"]
+    made = []
+    build = lambda: made.append(1) or spark.range(3)
+    assert [writers.cached_features(build, spark, str(tmp_path / "f")).count() for _ in range(2)] == [3, 3] and len(made) == 1
+
+
+def test_pairs_of_models(spark):
+    rows = [(1, {"a": "ai", "b": "ai"}, "human", 1, "ai"), (2, {"a": "ai", "b": "human"}, "human", 0, "ai"), (3, {"b": "human"}, "ai", 1, None), (4, {}, "ai", 1, "ai")]
+    df = spark.createDataFrame(rows, "id int, votes map<string,string>, tie string, y int, ref string")
+    got = votes.evaluate_pairs(df, {"p": ("a", "b")}, "y", "ref").first().asDict()
+    assert [got[k] for k in ("n", "agreed", "known", "like_reference")] == [4, 1, 2, 2] and got["accuracy"] == 0.75
+    assert votes.usable(["x", "y"], {"y": 1}) == (["y"], ["x"])
+    sub = votes.submission_agreement(spark.createDataFrame([(1, "a"), (2, "b")], "id int, label string"), spark.createDataFrame([(1, "a")], "id int, label string")).first()
+    assert tuple(sub) == (2, 1, 0.5)
+
+
+def test_saved_models_predict_the_same(spark, tmp_path):
+    df = spark.range(120).select("id", (F.col("id") % 3 == 0).cast("int").alias("label"), (F.col("id") % 3).cast("double").alias("x"))
+    own = [models.fit(df, ["x"], rounds=2, seed=s) for s in (1, 2)]
+    models.save(own, str(tmp_path / "m"), ["x"], 0.5, val_f1=0.9)
+    got = {r["id"]: (round(r["prob"], 9), r["label"]) for r in models.predict(str(tmp_path / "m"), df).collect()}
+    want = {r["id"]: (round(r["prob"], 9), "ai" if r["prob"] >= 0.5 else "human") for r in models.ensemble(own, df).collect()}
+    assert got == want and models.load(str(tmp_path / "m"))[1]["val_f1"] == 0.9
+
+
 def test_stream_gives_the_batch_result(spark, tmp_path):
     rows = [{"id": str(i), "query": "how to hack it", "reasoning_trace": t} for i, t in enumerate(["I cannot help with that", "hack it like this, hack", "", "Step 1: a\nStep 2: this is illegal", "x" * 4000])]
     (tmp_path / "in").mkdir()

@@ -34,6 +34,15 @@ def summary(df: DataFrame, truth: str = "y", predicted: str = "p") -> DataFrame:
     return sums.select("n", (F.col("hits") / n).alias("accuracy"), "f1_macro", (F.col("weighted") / n).alias("f1_weighted"), F.when(pe < 1, (F.col("hits") / n - pe) / (1 - pe)).otherwise(F.lit(float("nan"))).alias("kappa"))
 
 
+def safety_report(traces: DataFrame, steps: DataFrame, truth: str = "y", predicted: str = "p") -> DataFrame:
+    """Both levels of safety in one table (level, label, tp, fp, fn, support, precision, recall, f1): traces with three
+    classes and steps with two (0 safe, 1 unsafe), and a row `all` with the mean F1 of each level's classes."""
+    levels = [by_class(df.select(F.col(truth).cast("string").alias("y"), F.col(predicted).cast("string").alias("p"))).select(F.lit(name).alias("level"), "label", "tp", "fp", "fn", "support", "precision", "recall", "f1") for name, df in (("trace", traces), ("step", steps))]
+    rows = levels[0].union(levels[1])
+    sums = rows.groupBy("level").agg(F.lit("all").alias("label"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "support")], *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
+    return rows.union(sums)
+
+
 def binary_f1(df: DataFrame, y: Column, p: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """One row (per group): counts and F1 of both classes, their mean, accuracy. y and p are booleans."""
     of = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))

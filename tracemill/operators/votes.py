@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -115,6 +116,77 @@ def uncached(records: DataFrame, cache: DataFrame, key: str = "id") -> DataFrame
     return records.join(cache.select(key).distinct(), key, "left_anti")
 
 
+def with_cached(records: DataFrame, cache: DataFrame, key: str = "id", position: str = "position") -> DataFrame:
+    """Records with what the cache holds of them, in the records' order (position); those that it lacks are left out."""
+    return records.withColumn(position, F.monotonically_increasing_id()).join(cache, key).orderBy(position)
+
+
+def lookup(records: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
+    """The records of the keys, each as often as it occurs; keys that no record has are left out."""
+    return records.join(keys.select(key).distinct(), key, "left_semi")
+
+
+def usable(models: list[str], callers: Iterable[str]) -> tuple[list[str], list[str]]:
+    """The models that can be called, in their order, and those that cannot."""
+    known = set(callers)
+    return [m for m in models if m in known], [m for m in models if m not in known]
+
+
+def needed_models(pairs: dict[str, tuple[str, str]], records: DataFrame, caches: dict[str, DataFrame], key: str = "id") -> list[str]:
+    """Models of the pairs whose cache does not hold a line of each record; a model of several pairs is named once."""
+    n = records.count()
+    return sorted(m for m in {m for pair in pairs.values() for m in pair} if m not in caches or caches[m].select(key).distinct().count() < n)
+
+
+def calls(records: DataFrame, cache: DataFrame, models: list[str], callers: Iterable[str], key: str = "id", votes: str = "votes") -> DataFrame:
+    """A row (key, model) for each call that is still to be made: of every usable model, for every record without its label."""
+    can, _ = usable(models, callers)
+    known = records.select(key).join(cache.select(key, F.col(votes).alias("__v")), key, "left")
+    due = F.filter(F.array(*[F.lit(m) for m in can]).cast("array<string>"), lambda m: F.col("__v").isNull() | ~F.map_contains_key("__v", m))
+    return known.select(key, F.explode(due).alias("model"))
+
+
+def answered(records: DataFrame, cache: DataFrame, answers: DataFrame, key: str = "id", votes: str = "votes") -> DataFrame:
+    """Records with the votes of the cache and of new answers (key, model, label), and the label of their majority."""
+    once = answers.groupBy(key, "model").agg(F.max("label").alias("label"))
+    new = once.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("model", "label"))).alias(votes))  # an entry a model
+    merged = merge_votes(cache.select(key, votes), new, key, votes)
+    return records.join(merged, key, "left").withColumn("label", safety_vote(F.coalesce(votes, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))))
+
+
+def pair_predictions(df: DataFrame, pairs: dict[str, tuple[str, str]], votes: str = "votes", tie: str = "tie") -> DataFrame:
+    """Each row once for every pair of models: pair, a and b (labels, unknown if missing) and p, their agreement or the tie-break."""
+    vote = lambda m: F.coalesce(F.col(votes)[m], F.lit(UNKNOWN))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("pair"), vote(a).alias("a"), vote(b).alias("b")) for name, (a, b) in pairs.items()]))
+    return df.withColumn("__p", each).select(*df.columns, "__p.*").withColumn("p", agreement(F.col("a"), F.col("b"), F.col(tie)))
+
+
+def evaluate_pairs(df: DataFrame, pairs: dict[str, tuple[str, str]], truth: str | None = None, reference: str | None = None, votes: str = "votes", tie: str = "tie") -> DataFrame:
+    """A row for each pair. With truth (1 for ai): F1 of both classes, their mean and accuracy. With reference (labels of a
+    submission, null where it has none): rows that agree with it. Always: rows, those that the two models agree on, and
+    those that both know. Rows meet sums, never a table of predictions."""
+    rows = pair_predictions(df, pairs, votes, tie)
+    both = (F.col("a") != UNKNOWN) & (F.col("b") != UNKNOWN)
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    sums = [F.count("*").alias("n"), count((F.col("a") == F.col("b")) & (F.col("a") != UNKNOWN)).alias("agreed"), count(both).alias("known")]
+    if reference:
+        sums.append(count(F.col("p").eqNullSafe(F.col(reference))).alias("like_reference"))
+    out = rows.groupBy("pair").agg(*sums)
+    if truth:
+        from .metrics import binary_f1
+
+        scores = binary_f1(rows, F.col(truth) == 1, F.col("p") == "ai", ("pair",))
+        out = out.join(scores.select("pair", "f1_true", "f1_false", "f1_macro", "accuracy"), "pair")
+    return out
+
+
+def submission_agreement(predictions: DataFrame, submission: DataFrame, key: str = "id", label: str = "label") -> DataFrame:
+    """Rows of predictions, those whose label a reference submission has too, and their share."""
+    both = predictions.select(key, F.col(label).alias("p")).join(submission.select(key, F.col(label).alias("r")), key, "left")
+    sums = both.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("p") == F.col("r")).cast("long")), F.lit(0)).alias("agreed"))
+    return sums.withColumn("rate", F.when(F.col("n") > 0, F.col("agreed") / F.col("n")).otherwise(0.0))
+
+
 def model_histogram(df: DataFrame, models: list[str], votes: str = "votes") -> DataFrame:
     """How often each model gave each label; a missing vote is unknown."""
     rows = df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.coalesce(F.col(votes)[m], F.lit(UNKNOWN)).alias("label")) for m in models])).alias("r"))

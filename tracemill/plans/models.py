@@ -8,9 +8,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_folder
+
 #: Seeds of the ensemble.
 SEEDS = (42, 123, 456, 789, 1024)
 
@@ -38,17 +40,40 @@ def score(model: PipelineModel, df: DataFrame, name: str = "prob") -> DataFrame:
 
 
 def out_of_fold(df: DataFrame, features: Sequence[str], k: int = 5, seeds: Sequence[int] = SEEDS, key: str = "id", label: str = "label", rounds: int = 20) -> DataFrame:
-    """key, label and the mean probability of the models that did not see the row."""
-    parts = []
+    """key, label and the mean probability of the models that did not see the row. The features are kept for k * seeds fits
+    and given back after the last score is written."""
+    held, parts, folder = df.persist(), [], new_folder(df.sparkSession, "folds")
     for seed in seeds:
-        dealt = folds(df, k, key, label, seed).persist()
+        dealt = folds(held, k, key, label, seed)
         for f in range(k):
             model = fit(dealt.where(F.col("fold") != f), features, label, seed, rounds)
-            parts.append(score(model, dealt.where(F.col("fold") == f)).select(key, label, "prob"))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.union(p)
-    return mean_probability(whole, key, label)
+            parts.append(f"{folder}/{seed}-{f}")
+            score(model, dealt.where(F.col("fold") == f)).select(key, label, "prob").write.parquet(parts[-1])
+    held.unpersist()
+    return mean_probability(df.sparkSession.read.parquet(*parts), key, label)
+
+
+def save(models: Sequence[PipelineModel], path: str, features: Sequence[str], threshold: float, **more) -> None:
+    """Models of several seeds, and beside them their features, threshold and other settings."""
+    from ..sources.writers import settings
+
+    spark = SparkSession.active()
+    for i, model in enumerate(models):
+        model.write().overwrite().save(f"{path}/model{i}")
+    settings(spark, f"{path}/settings", features=list(features), threshold=threshold, models=len(models), **more)
+
+
+def load(path: str) -> tuple[list[PipelineModel], dict]:
+    from ..sources.writers import read_settings
+
+    own = read_settings(SparkSession.active(), f"{path}/settings")
+    return [PipelineModel.load(f"{path}/model{i}") for i in range(own["models"])], own
+
+
+def predict(path: str, df: DataFrame, key: str = "id") -> DataFrame:
+    """key, prob and label (ai from the threshold on, else human) by saved models."""
+    models, own = load(path)
+    return ensemble(models, df, key).select(key, "prob", F.when(F.col("prob") >= own["threshold"], "ai").otherwise("human").alias("label"))
 
 
 def mean_probability(rows: DataFrame, *keys: str) -> DataFrame:

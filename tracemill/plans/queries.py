@@ -668,3 +668,6 @@ def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .models import folds
 
     return folds(inputs.solutions(spark, sf_dir).select("doc_id", "label"), 5, "doc_id").select("doc_id", "label", "fold")
+
+
+from . import round_trips  # noqa: E402, F401  registers its own

@@ -18,15 +18,22 @@ def _schema(**kinds: T.DataType) -> T.StructType:
 S = T.StringType()
 SOLUTIONS = _schema(id=S, problem_id=S, solution_id=S, problem=S, solution=S, generator=S, detailed_generator=S)
 TRACES = _schema(id=S, query=S, generator=S, reasoning_trace=S, label=S, detailed_label=T.ArrayType(T.IntegerType()))
-VOTES = _schema(id=S, model_labels=T.MapType(S, S))
-LABELS = _schema(id=S, label=S, model_labels=T.MapType(S, S))
-REPLIES = _schema(idx=T.IntegerType(), trace_pred=T.IntegerType(), trace_label_str=S, response=S, step_labels=T.ArrayType(T.IntegerType()))
+#: Time of the append that wrote a line, in caches that writers.append_cache() writes.
+BATCH = "batch"
+VOTES = _schema(id=S, model_labels=T.MapType(S, S), batch=T.LongType())
+LABELS = _schema(id=S, label=S, model_labels=T.MapType(S, S), batch=T.LongType())
+REPLIES = _schema(idx=T.IntegerType(), trace_pred=T.IntegerType(), trace_label_str=S, response=S, step_labels=T.ArrayType(T.IntegerType()), batch=T.LongType())
 
 
 def jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
-    """JSON lines; blank ones are no records. Adds where a record stands: its file and place in it."""
+    """JSON lines; blank ones are no records. Adds where a record stands: its file, and seq, the order in which lines were
+    appended: by batch, or for files without any by the time of the file; then by file and place in it. The order in which
+    Spark happens to read files (by their size) has no part in it."""
     rows = spark.read.schema(schema).json(paths)
-    return rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
+    batch = F.col(BATCH) if BATCH in schema.names else F.lit(None).cast("long")
+    written = F.when(batch.isNull(), F.col("_metadata.file_modification_time"))
+    order = F.struct(batch.alias("batch"), written.alias("written"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return rows.select("*", F.col("_metadata.file_path").alias("file"), order.alias("seq")).drop(BATCH)
 
 
 def solutions(spark: SparkSession, paths: str | list[str], labelled: bool = True) -> DataFrame:
@@ -46,10 +53,12 @@ def binary_traces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def traces_by_file(spark: SparkSession, folder: str, names: tuple[str, ...] = ("safe", "potentially", "unsafe")) -> DataFrame:
-    """Traces whose label is the first of the names that their file's name holds as a word; only safe is safe."""
+    """Traces whose label is the first of the names that their file's name holds as a word, or else its folder's (as Spark
+    writes files into folders); only safe is safe."""
     rows = jsonl(spark, folder, TRACES)
-    found = F.regexp_extract(F.lower("file"), rf"(?:^|[/_.\-])({'|'.join(names)})(?:[_.\-]|$)[^/]*$", 1)
-    return rows.withColumn("label", F.when(found == "safe", "safe").otherwise("unsafe"))
+    held = lambda place: F.regexp_extract(F.lower(F.regexp_extract("file", place, 1)), rf"(?:^|[_.\-])({'|'.join(names)})(?:[_.\-]|$)", 1)
+    own, above = held("([^/]*)$"), held("([^/]*)/[^/]*$")
+    return rows.withColumn("label", F.when(F.when(own != "", own).otherwise(above) == "safe", "safe").otherwise("unsafe"))
 
 
 def vote_cache(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -69,8 +78,13 @@ def labels_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("ID").alias("id"), strip(F.col("label")).alias("label"))
 
 
+def api_results(spark: SparkSession, path: str) -> DataFrame:
+    """Results of model calls that were kept as a table."""
+    return spark.read.parquet(path)
+
+
 def replies(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return latest(jsonl(spark, paths, REPLIES).drop("file", "block"), "idx")
+    return latest(jsonl(spark, paths, REPLIES).drop("file"), "idx")
 
 
 def first_existing(spark: SparkSession, paths: list[str]) -> str | None:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import json
+import time
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,22 @@ def zipped(spark: SparkSession, folder: str, target: str, name: str = "submissio
 
 
 def append_cache(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+    """Adds lines to a cache. All of one append carry its time, which orders them behind those of earlier appends."""
+    df.withColumn("batch", F.lit(time.time_ns())).write.mode("append").json(path)
+
+
+def by_group(df: DataFrame, path: str, *by: str) -> None:
+    """Records of each group (such as a generator) in a folder of its own; no group is held in one place."""
+    df.write.mode("overwrite").partitionBy(*by).json(path)
+
+
+def cached_features(build: Callable[[], DataFrame], spark: SparkSession, path: str) -> DataFrame:
+    """A feature table, computed if the path does not hold it yet."""
+    from .readers import first_existing
+
+    if first_existing(spark, [f"{path.rstrip('/')}/_SUCCESS"]) is None:
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def settings(spark: SparkSession, path: str, **values) -> None:
