@@ -220,10 +220,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """The rows of docs that stay, with all their columns, whatever their names; of repeated rows with one identifier and
     text, one. Nulls and empty tables as in exact_dedup()."""
-    own_id, own_sha, sha, n = fresh(docs.columns, "own_id", "own_sha", "sha", "n")
-    stay = labelled(docs, id_col, text_col, keep).where("kept").select(F.col("id").alias(own_id), F.col("sha").alias(own_sha))
-    marked = docs.withColumn(sha, F.unhex(F.sha2(ascii_lower(F.coalesce(quoted(text_col), F.lit(""))), 256)))
-    kept = marked.join(stay, quoted(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.col(sha) == F.col(own_sha)), "left_semi")
+    own, nil, own_sha, n, key, null, sha = fresh(docs.columns, "own", "nil", "own_sha", "n", "key", "null", "sha")
+    stay = labelled(docs, id_col, text_col, keep).where("kept").select(F.coalesce("id", F.lit(0)).alias(own), F.col("id").isNull().alias(nil), F.col("sha").alias(own_sha))
+    id_ = quoted(id_col).cast("long")
+    marked = docs.select("*", F.coalesce(id_, F.lit(0)).alias(key), id_.isNull().alias(null), F.unhex(F.sha2(ascii_lower(F.coalesce(quoted(text_col), F.lit(""))), 256)).alias(sha))
+    # the join and the window deal rows by the same columns, so that texts are shuffled once
+    kept = marked.join(stay, (F.col(key) == F.col(own)) & (F.col(null) == F.col(nil)) & (F.col(sha) == F.col(own_sha)), "left_semi")
     others = [quoted(c) for c, t in docs.dtypes if t in ("string", "bigint", "int", "double") and c not in (id_col, text_col)][:8]
-    first = F.row_number().over(Window.partitionBy(quoted(id_col), F.col(sha)).orderBy(*others or [F.lit(1)]))
-    return kept.withColumn(n, first).where(F.col(n) == 1).drop(n, sha)
+    first = F.row_number().over(Window.partitionBy(key, null, sha).orderBy(*others or [F.lit(1)]))
+    return kept.withColumn(n, first).where(F.col(n) == 1).drop(n, key, null, sha)

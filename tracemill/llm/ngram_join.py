@@ -40,7 +40,7 @@ GROUPS = 64
 LEAST, MISS, SMALL_LEAF, LOCAL_LEAF, FLUSH = 3, 1e-6, 4, 64, 1_500_000
 SHARD_BYTES = 6 << 20
 #: Shingles and points of a page at most, on average, and points of a box.
-PAGE_SHINGLES, PAGE, BOX = 1 << 20, 4096, 32
+PAGE_SHINGLES, PAGE, BOX = 1 << 19, 2048, 32
 ENTRY, PAIR, MEMBER, HOT = 0, 1, 2, 3
 
 SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("counts", pa.binary())])
@@ -394,7 +394,7 @@ def compared(num: int, den: int):
     return run
 
 
-def overlaps(xs: list[np.ndarray], ys: list[np.ndarray], step: int = 4096) -> np.ndarray:
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray], step: int = 2048) -> np.ndarray:
     """Sizes of all intersections of two lists of ascending arrays, by products of their incidence matrices."""
     shared = np.intersect1d(np.concatenate(xs), np.concatenate(ys))
     out = np.zeros((len(xs), len(ys)), dtype=np.float64)

@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import gc
 import os
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks in a generation of the memo, bytes of text that are encoded at a time (equal chunks of these once).
-MEMO, ENCODED_BYTES = 150_000, 8 << 20
+MEMO, ENCODED_BYTES = 100_000, 6 << 20
 #: Chunks that are one word of Latin letters and one run of punctuation at most, which a tokenizer never merges.
 SIMPLE, MARKS = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+[.,;:!?]*$", ".,;:!?"
 #: Texts that are encoded whole: a space at an end or beside other white space, or what may be a special token.
@@ -33,9 +33,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.byte_level = Tokenizer.from_file(path), byte_level
-        # chunks met lately, and those met before them
-        self.memo: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        # ids (as unsigned 32-bit integers) of chunks met lately, and of those met before them
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.tails: dict[str, list[int]] = {"": []}
         # the byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -45,23 +45,26 @@ class Encoder:
     def encode_all(self, strings: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def of_words(self, words: list[str], spaced: list[bool]) -> list[list[int]]:
+    def of_words(self, words: list[str], spaced: list[bool]) -> list[bytes]:
         """Ids of words of SIMPLE form, by the tokenizer's own merges: its other steps leave such words whole."""
         merges, alphabet, tails, space, out = self.tokenizer.model.tokenize, self.alphabet, self.tails, self.alphabet[32], []
         for word, after in zip(words, spaced, strict=True):
             core = word.rstrip(MARKS)
-            tail = word[len(core) :]
-            if tail not in tails:
-                tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
+            if core is not word:
+                tail = word[len(core) :]
+                if tail not in tails:
+                    tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
+            else:
+                tail = ""
             if not self.byte_level:
                 core = core.lower()
             if not core.isascii():
                 core = core.encode().decode("latin-1").translate(alphabet)
             ids = [t.id for t in merges(space + core if after else core)]
-            out.append(ids + tails[tail] if tail else ids)
+            out.append(array("I", ids + tails[tail] if tail else ids).tobytes())
         return out
 
-    def of_chunks(self, names: list[str], spaced: list[bool], simple: list[bool]) -> list[list[int]]:
+    def of_chunks(self, names: list[str], spaced: list[bool], simple: list[bool]) -> list[bytes]:
         """Ids of different chunks; a spaced one begins with a space."""
         memo, older = self.memo, self.older
         chunks = [" " + c if after else c for c, after in zip(names, spaced, strict=True)] if self.byte_level else names
@@ -72,7 +75,7 @@ class Encoder:
             out[i] = ids
         if rest:
             for i, ids in zip(rest, self.encode_all([chunks[i] for i in rest]), strict=True):
-                out[i] = ids
+                out[i] = array("I", ids).tobytes()
         if len(memo) > MEMO:
             self.older, self.memo = memo, {}
         self.memo.update(zip(chunks, out, strict=True))
@@ -105,8 +108,8 @@ class Encoder:
         simple = np.asarray(pc.match_substring_regex(coded.dictionary, SIMPLE))[used >> 1] if len(used) else used
         ids = self.of_chunks([names[k] for k in (used >> 1).tolist()], ((used & 1) > 0).tolist(), simple.tolist())
         sizes = np.zeros(2 * len(names), dtype=np.int64)
-        sizes[used] = [len(x) for x in ids]
-        flat_ids = np.fromiter(chain.from_iterable(ids), dtype=np.uint32)
+        sizes[used] = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat_ids = np.frombuffer(b"".join(ids), dtype=np.uint32)
         first = np.cumsum(sizes) - sizes
         n = sizes[key]
         begin = np.cumsum(n) - n
