@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, planes, quoted, slices, spans, stage_table, text_bytes, unplanes, words
+from .common import mix, packed, quoted, slices, spans, stage_table, text_bytes, unpacked, words
 
 #: Tokens and documents of a chunk, bytes of text for each range of hashes, bits of a hash within its range, weight of unigrams.
 CHUNK_TOKENS, CHUNK_DOCS, SHARD_BYTES, KEY_BITS, PRIOR = 1_000_000, 100_000, 8 << 20, 40, 4.0
@@ -38,16 +38,6 @@ TOTALS = "shard int, chunk long, n binary, ends binary, m binary, vocabulary lon
 SCORED = "id long, n_tokens long, ce_target double, ce_background double, score double"
 
 
-def packed(values: np.ndarray, width: int) -> bytes:
-    """Planes, compressed as counts and ranks need it (by the entropy of their bytes), after their length."""
-    data = planes(values, width)
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
-
-
-def unpacked(data: bytes, width: int) -> np.ndarray:
-    return unplanes(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True) if data[:8].strip(b"\0") else b"", width)
-
-
 def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of documents (id, flag, text): hashes of the distinct words (A-Z lower-cased, as bytes), frequent ones first, and an index a token."""
     names, at, ids, flags, lengths, held, docs, chunk = [], [], [], [], [], 0, 0, TaskContext.get().partitionId() << 32

@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import quoted, slices
-from .tokens import ENCODED_BYTES, encoder
+from .tokens import encoder
 
 PIECES = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+#: Bytes of text that are encoded at a time.
+ENCODED_BYTES = 2 << 20
 DDL = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 

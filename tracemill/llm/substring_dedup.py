@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BIG, mix, planes, quoted, rolled, slices, spans, stage_table, unplanes, word_hashes
+from .common import BIG, mix, packed, quoted, rolled, slices, spans, stage_table, unpacked, word_hashes
 
 #: Bytes of text in a block, on average, and windows that a task counts before it hands its sketch on.
 BLOCK_BYTES, FLUSH = 6 << 20, 1_500_000
@@ -74,7 +74,7 @@ def by_block(block: np.ndarray, finger: np.ndarray, rows: list[tuple], of) -> No
     new = np.concatenate([[True], (block[1:] != block[:-1]) | (finger[1:] != finger[:-1])]) if len(block) else np.zeros(0, dtype=bool)
     block, finger = block[new], finger[new]
     for s, e in spans(runs(block), len(block)):
-        rows.append(of(int(block[s]), planes(np.diff(finger[s:e], prepend=np.uint64(0)), 8)))
+        rows.append(of(int(block[s]), packed(np.diff(finger[s:e], prepend=np.uint64(0)), 8)))
 
 
 def sketch(width: int, shard_bits: int):
@@ -94,7 +94,7 @@ def sketch(width: int, shard_bits: int):
         finger = finger[keep]
         shard, own = (finger >> np.uint64(FINGER_BITS)).astype(np.int64), finger & np.uint64((1 << FINGER_BITS) - 1)
         for s, e in spans(runs(shard), len(shard)):
-            rows.append((int(shard[s]), -1, planes(np.diff(own[s:e], prepend=np.uint64(0)), 4), planes(block[s:e].astype(np.uint64), 4)))
+            rows.append((int(shard[s]), -1, packed(np.diff(own[s:e], prepend=np.uint64(0)), 4), packed(block[s:e].astype(np.uint64), 4)))
         return record(SKETCH, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +133,8 @@ def merged(part: pa.Table) -> pa.Table:
         if block >= 0:
             rows.append((block, finger))
         else:
-            keys.append(np.cumsum(unplanes(finger, 4), dtype=np.uint64))
-            blocks.append(unplanes(own, 4).astype(np.uint32))
+            keys.append(np.cumsum(unpacked(finger, 4), dtype=np.uint64))
+            blocks.append(unpacked(own, 4).astype(np.uint32))
     if keys:
         finger, block = np.concatenate(keys), np.concatenate(blocks)
         pick = repeated(finger) & (block != NONE)
@@ -152,7 +152,7 @@ def candidates(width: int, shard_bits: int):
             return table_of(OWNERS, [])
         block = docs["block"][0].as_py()
         h1, h2, doc, _ = windows(docs["text"].combine_chunks(), width)
-        cells = np.unique(np.concatenate([np.cumsum(unplanes(c, 8), dtype=np.uint64) for c in flags["cells"].to_pylist()]))
+        cells = np.unique(np.concatenate([np.cumsum(unpacked(c, 8), dtype=np.uint64) for c in flags["cells"].to_pylist()]))
         cell = fingers(h1, shard_bits)
         at = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
         hit = cells[at] == cell
@@ -163,16 +163,16 @@ def candidates(width: int, shard_bits: int):
         h1, h2, owner = h1[new], h2[new], owner[new]
         shard = (h1 >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(h1), dtype=np.int64)
         start = runs(shard)
-        return table_of(OWNERS, [(int(shard[s]), block, planes(np.diff(h1[s:e], prepend=np.uint64(0)), 8), planes(h2[s:e], 4), planes(owner[s:e].astype(np.uint64), 8)) for s, e in spans(start, len(shard))])
+        return table_of(OWNERS, [(int(shard[s]), block, packed(np.diff(h1[s:e], prepend=np.uint64(0)), 8), packed(h2[s:e], 4), packed(owner[s:e].astype(np.uint64), 8)) for s, e in spans(start, len(shard))])
 
     return run
 
 
 def read_owners(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    h1 = [np.cumsum(unplanes(x, 8), dtype=np.uint64) for x in part["h1"].to_pylist()]
+    h1 = [np.cumsum(unpacked(x, 8), dtype=np.uint64) for x in part["h1"].to_pylist()]
     n = [len(x) for x in h1]
     join = lambda xs: np.concatenate(xs) if xs else np.zeros(0, dtype=np.uint64)
-    return np.repeat(np.array(part["block"].to_pylist(), dtype=np.int64), n), join(h1), join([unplanes(x, 4) for x in part["h2"].to_pylist()]), join([unplanes(x, 8) for x in part["owner"].to_pylist()]).astype(np.int64)
+    return np.repeat(np.array(part["block"].to_pylist(), dtype=np.int64), n), join(h1), join([unpacked(x, 4) for x in part["h2"].to_pylist()]), join([unpacked(x, 8) for x in part["owner"].to_pylist()]).astype(np.int64)
 
 
 def grouped(part: pa.Table) -> pa.Table:
@@ -186,7 +186,7 @@ def grouped(part: pa.Table) -> pa.Table:
     order = np.lexsort((h1[told], block[told]))
     block, h1, h2, least = block[told][order], h1[told][order], h2[told][order], least[told][order]
     start = runs(block)
-    return table_of(OWNERS, [(0, int(block[s]), planes(np.diff(h1[s:e], prepend=np.uint64(0)), 8), planes(h2[s:e], 4), planes(least[s:e].astype(np.uint64), 8)) for s, e in spans(start, len(block))])
+    return table_of(OWNERS, [(0, int(block[s]), packed(np.diff(h1[s:e], prepend=np.uint64(0)), 8), packed(h2[s:e], 4), packed(least[s:e].astype(np.uint64), 8)) for s, e in spans(start, len(block))])
 
 
 def removed(width: int):

@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint_dir, mix, quoted, slices
-from .tokens import ENCODED_BYTES, encoder
+from .tokens import encoder
 
-SHARD_IDS = 4 << 20
+#: Ids of a shard, bytes of text that are encoded at a time.
+SHARD_IDS, ENCODED_BYTES = 4 << 20, 6 << 20
 SHARD = pa.schema([("part", pa.int32()), ("piece", pa.int32()), ("n_ids", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("width", pa.int32()), ("payload", pa.binary()), ("keys", pa.binary()), ("nulls", pa.int64()), ("displacements", pa.binary()), ("slots", pa.binary())])
 SHARD_DDL = "part int, piece int, n_ids long, low long, high long, width int, payload binary, keys binary, nulls long, displacements binary, slots binary"
 #: A slot: fingerprint, first document's ordinal among equal keys' run, offset in ids, length in ids of the run's documents.

@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks in a generation of the memo, bytes of text that are encoded at a time (equal chunks of these once).
-MEMO, ENCODED_BYTES = 100_000, 6 << 20
+#: Chunks in a generation of the memo.
+MEMO = 100_000
 #: Chunks that are one word of Latin letters and one run of punctuation at most, which a tokenizer never merges.
 SIMPLE, MARKS = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+[.,;:!?]*$", ".,;:!?"
 #: Texts that are encoded whole: a space at an end or beside other white space, or what may be a special token.
