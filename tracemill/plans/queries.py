@@ -397,7 +397,7 @@ def probability_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.table(spark, sf_dir, "documents").select("doc_id", cascade.by_probability(p).alias("label"))
 
 
-@query()
+@query(f"WITH {CTE['steps']}, p AS (SELECT id, len(steps) AS n, ((id * 37 + 11) % 1000)::DOUBLE / 1000 AS prob FROM steps) SELECT id, CASE WHEN prob < 0.36::DOUBLE THEN 'safe' ELSE 'unsafe' END AS label, rtrim(repeat(CASE WHEN prob < 0.36::DOUBLE THEN '1.0' ELSE round(1 - prob, 4)::VARCHAR END || '|', greatest(n, 1)), '|') AS scores FROM p")
 def probability_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.pmod(F.col("id") * 37 + 11, F.lit(1000)) / 1000.0
     t = inputs.traces(spark, sf_dir).select("id", "trace", p.alias("prob")).withColumn("label", cascade.by_probability(F.col("prob")))
