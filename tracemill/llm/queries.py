@@ -8,7 +8,9 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .common import table
+from .conversation_trie import numbered, prefix_trie, renamed, with_heads
 from .embedding_dedup import near_vectors
 from .exact_dedup import exact_dedup
 from .lm_scoring import score_by_difference
@@ -16,9 +18,11 @@ from .mixing import mix_rates
 from .ngram_join import jaccard_components
 from .packing import pack
 from .quality import classify
+from .rows import list_digests
 from .substring_dedup import remove_repeats
 from .token_files import token_round_trip
 from .url_filter import judge
+from .vector_search import top_k
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +68,33 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_ngram_join, op3_mixing, op4_packing, op5_exact_dedup, op6_token_files, op7_embedding_dedup, op8_quality, op9_lm_scoring, op10_substring_dedup)}
+def op11_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: identifiers divisible by 50."""
+    return top_k(table(spark, sf_dir, "embeddings"), k=5, is_query="id % 50 = 0")
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation c starts with up to three turns of conversation c - c % 20."""
+    turns = numbered(renamed(table(spark, sf_dir, "conversations")))
+    length = F.crc32(F.col("conv").cast("string").cast("binary")) % 4
+    nodes, ends = prefix_trie(*with_heads(turns, F.col("conv") - F.col("conv") % 20, length))
+    digests = list_digests(ends)
+    out = nodes.join(digests, "node", "left").withColumn("ends_sha256", F.coalesce("sha256", F.sha2(F.lit(b""), 256)))
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_url_filters, op2_ngram_join, op3_mixing, op4_packing, op5_exact_dedup, op6_token_files, op7_embedding_dedup, op8_quality, op9_lm_scoring,
+        op10_substring_dedup, op11_vector_search, op12_conversation_trie, op13_collocations,
+    )
+}
+
 
 #: One level of op1's tree.
 _LEVEL = r""",
@@ -176,5 +206,56 @@ scored AS (
 )
 SELECT page_id, parts.host, parts.path, rule, coalesce(kind, CASE WHEN enough AND purity >= 0.6 THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts JOIN known k ON k.host = parts.host AND k.path = parts.path JOIN scored s ON s.host = k.host AND s.template = k.template
+""",
+    "op11_vector_search": r"""
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda c: floor(256::DOUBLE * c::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5
+""",
+    "op12_conversation_trie": r"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), crc AS (  -- the remainders of all bytes, of the reflected polynomial
+  SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS k
+), convs AS (
+  SELECT c, c - c % 20 AS base,
+         xor(list_reduce(list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda x, b: xor(x >> 8, k[(xor(x, b) & 255) + 1])), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM t), crc
+), turns AS (
+  SELECT convs.c, 0 AS part, pos, role, text FROM convs JOIN t ON t.c = base WHERE pos <= h UNION ALL SELECT t.c, 1, pos, role, text FROM t JOIN convs USING (c) WHERE pos > h
+), paths AS (SELECT c, list(struct_pack(role, text) ORDER BY part, pos) AS path FROM turns GROUP BY c),
+whole AS (SELECT convs.c, coalesce(path, []) AS path FROM convs LEFT JOIN paths USING (c)),
+prefixes AS (SELECT c, len(path) AS l, unnest(range(0, len(path) + 1)) AS depth, path FROM whole),
+nodes AS (
+  SELECT path[:depth] AS p, depth, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CASE WHEN l = depth THEN c::VARCHAR END, ',' ORDER BY c), '') AS ends FROM prefixes GROUP BY ALL
+), kids AS (SELECT p[:depth - 1] AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+each AS (SELECT nodes.*, coalesce(n, 0) AS n_children, (n_convs - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(nodes.p[depth].text, '[^\x20\x09-\x0D]+')) END AS spared FROM nodes LEFT JOIN kids USING (p)),
+up AS (SELECT p, unnest(range(0, depth + 1)) AS d, CASE WHEN n_children = 0 THEN 1 ELSE 0 END AS leaf, spared FROM each),
+sums AS (SELECT p[:d] AS p, sum(leaf) AS leaves, sum(spared) AS saved FROM up GROUP BY ALL)
+SELECT each.conv_id, CAST(each.depth AS BIGINT) AS depth, above.conv_id AS parent_conv_id, CAST(each.n_convs AS BIGINT) AS n_convs, CAST(each.n_children AS BIGINT) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(each.ends) AS ends_sha256
+FROM each JOIN sums USING (p) LEFT JOIN nodes above ON each.depth > 0 AND above.p = each.p[:each.depth - 1]
+""",
+    "op13_collocations": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
+lists AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+one AS (SELECT lang, p, count(*) AS f FROM (SELECT lang, unnest(w) AS p FROM lists) GROUP BY ALL),
+two AS (SELECT lang, p, count(*) AS f FROM (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i:i + 1])) AS p FROM lists) GROUP BY ALL HAVING count(*) >= 10),
+three AS (SELECT lang, p, count(*) AS f FROM (SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS p FROM lists) GROUP BY ALL HAVING count(*) >= 10),
+inner_ AS (SELECT lang, p, max(f) AS longer FROM (SELECT lang, p[1:2] AS p, f FROM three UNION ALL SELECT lang, p[2:3], f FROM three) GROUP BY ALL),
+cuts AS (
+  SELECT two.lang, two.p, two.f AS a, 1 AS k, x.f AS l, y.f AS r FROM two JOIN one x ON x.lang = two.lang AND x.p = two.p[1] JOIN one y ON y.lang = two.lang AND y.p = two.p[2] LEFT JOIN inner_ i ON i.lang = two.lang AND i.p = two.p WHERE 100 * coalesce(longer, 0) < 50 * two.f
+  UNION ALL SELECT t.lang, t.p, t.f, 1, x.f, y.f FROM three t JOIN one x ON x.lang = t.lang AND x.p = t.p[1] JOIN two y ON y.lang = t.lang AND y.p = t.p[2:3]
+  UNION ALL SELECT t.lang, t.p, t.f, 2, x.f, y.f FROM three t JOIN two x ON x.lang = t.lang AND x.p = t.p[1:2] JOIN one y ON y.lang = t.lang AND y.p = t.p[3]
+), scored AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, k, l, r, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM lowest QUALIFY rank <= 2000),
+n AS (SELECT lang, sum(f) AS n FROM one GROUP BY lang)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score FROM best JOIN n USING (lang)
 """,
 }
