@@ -96,6 +96,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+
+
+def _same(b: str, g: str) -> str:
+    """Whether the shares of (b, g) and (x.b, x.g) do not differ."""
+    p = f"(({b} + x.b) / ({b} + {g} + x.b + x.g))"
+    d = f"({b} / ({b} + {g}) - x.b / (x.b + x.g))"
+    return f"{d} * {d} <= 3.8416::DOUBLE * {p} * (1 - {p}) * (1 / ({b} + {g}) + 1 / (x.b + x.g))"
+
+
 #: One level of op1's tree.
 _LEVEL = r""",
 each{k} AS MATERIALIZED (SELECT *, shapes[{k}] AS seg, len(shapes) - {k} AS below FROM level{before}),
@@ -104,15 +113,22 @@ all{k} AS (SELECT node, seg, sum(bad) AS ab, sum(good) AS ag FROM kids{k} GROUP
 ev{k} AS (
   SELECT host, node, seg, n, low, high, CASE WHEN bad + good >= 5 THEN bad WHEN ab + ag >= 5 THEN ab END::DOUBLE AS b, CASE WHEN bad + good >= 5 THEN good WHEN ab + ag >= 5 THEN ag END::DOUBLE AS g
   FROM kids{k} JOIN all{k} USING (node, seg)
-), lag{k} AS (
-  SELECT *, lag(b) OVER w AS b1, lag(g) OVER w AS g1 FROM ev{k} WHERE b IS NOT NULL WINDOW w AS (PARTITION BY host, node ORDER BY b / (b + g), seg)
-), cut{k} AS (
-  SELECT *, NOT coalesce((b1 / (b1 + g1) - b / (b + g)) * (b1 / (b1 + g1) - b / (b + g)) <= 3.8416::DOUBLE * ((b1 + b) / (b1 + g1 + b + g)) * (1 - (b1 + b) / (b1 + g1 + b + g)) * (1 / (b1 + g1) + 1 / (b + g)), false) AS apart FROM lag{k}
-), branch{k} AS (SELECT *, sum(apart::INTEGER) OVER (PARTITION BY host, node ORDER BY b / (b + g), seg) AS branch FROM cut{k}),
+), cells{k} AS (
+  SELECT host, node, CAST(floor(b / (b + g) * 64) AS INTEGER) AS cell, sum(b) AS b, sum(g) AS g, count(*) AS members, min(seg) AS first FROM ev{k} WHERE b IS NOT NULL GROUP BY ALL
+), fold{k} AS (
+  SELECT host, node, unnest(list_reduce(list({{'cell': cell, 'b': b, 'g': g}} ORDER BY cell), lambda a, x:
+    CASE WHEN a.k > 0 AND {same_all} AND {same_first}
+    THEN {{'b': a.b + x.b, 'g': a.g + x.g, 'b1': a.b1, 'g1': a.g1, 'k': a.k, 'o': list_append(a.o, {{'cell': x.cell, 'k': a.k}})}}
+    ELSE {{'b': x.b, 'g': x.g, 'b1': x.b, 'g1': x.g, 'k': a.k + 1, 'o': list_append(a.o, {{'cell': x.cell, 'k': a.k + 1}})}} END,
+    {{'b': 0.0::DOUBLE, 'g': 0.0::DOUBLE, 'b1': 0.0::DOUBLE, 'g1': 0.0::DOUBLE, 'k': 0, 'o': [{{'cell': 0, 'k': 0}}][2:]}}).o) AS u FROM cells{k} GROUP BY host, node
+), branch{k} AS (
+  SELECT c.host, c.node, c.cell, CASE WHEN sum(members) OVER q > 1 THEN min(first) OVER q || '+' END AS name FROM cells{k} c JOIN fold{k} f ON f.host = c.host AND f.node = c.node AND f.u.cell = c.cell
+  WINDOW q AS (PARTITION BY c.host, c.node, f.u.k)
+),
 rest{k} AS (SELECT host, node, low, high, count(*) AS members, sum(n) AS pages FROM ev{k} WHERE b IS NULL GROUP BY ALL),
 kinds{k} AS (SELECT host, node, low, high, members > 1 OR (sum(members) OVER p >= 8 AND sum(members) OVER p * sum(members) OVER p >= sum(pages) OVER p) AS merged FROM rest{k} WINDOW p AS (PARTITION BY host, node)),
 names{k} AS (
-  SELECT host, node, seg, CASE WHEN count(*) OVER q > 1 THEN min(seg) OVER q || '+' ELSE seg END AS name FROM branch{k} WINDOW q AS (PARTITION BY host, node, branch)
+  SELECT e.host, e.node, e.seg, coalesce(name, e.seg) AS name FROM ev{k} e JOIN branch{k} b ON b.host = e.host AND b.node = e.node AND b.cell = CAST(floor(e.b / (e.b + e.g) * 64) AS INTEGER)
   UNION ALL SELECT e.host, e.node, e.seg, CASE WHEN merged THEN '*' ELSE e.seg END FROM ev{k} e JOIN kinds{k} USING (host, node, low, high) WHERE e.b IS NULL
 ), level{k} AS MATERIALIZED (
   SELECT e.host, e.path, e.n, e.rule, e.kind, e.bad, e.good, e.shapes, CASE WHEN name IS NULL THEN e.node ELSE e.node || '/' || name END AS node FROM each{k} e LEFT JOIN names{k} m ON m.host = e.host AND m.node = e.node AND m.seg = e.seg
@@ -195,7 +211,7 @@ level0 AS MATERIALIZED (
   SELECT u.host, u.path, u.n, h.rule, h.kind, CASE WHEN kind = 'block' THEN u.n ELSE 0 END AS bad, CASE WHEN kind = 'allow' THEN u.n ELSE 0 END AS good,
          CASE WHEN len(all_shapes) > 12 THEN list_append(all_shapes[1:12], '**') ELSE all_shapes END AS shapes, '' AS node
   FROM raw u LEFT JOIN hits h ON h.host = u.host AND h.path = u.path AND h.r = 1
-)""" + "".join(_LEVEL.format(k=k, before=k - 1) for k in range(1, 14)) + r""",
+)""" + "".join(_LEVEL.format(k=k, before=k - 1, same_all=_same("a.b", "a.g"), same_first=_same("a.b1", "a.g1")) for k in range(1, 14)) + r""",
 known AS (SELECT *, node || CASE WHEN node <> '' AND NOT ends_with(path, '/') THEN '' ELSE '/' END AS template FROM level13),
 counted AS (SELECT host, template, sum(bad) AS bad, sum(good) AS good FROM known GROUP BY ALL),
 pooled AS (SELECT template, sum(bad) AS ab, sum(good) AS ag FROM counted GROUP BY ALL),
