@@ -2,15 +2,18 @@
 
 import json
 import os
+import shutil
 import zipfile
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tracemill.functions.scores import content_tokens, content_words, has_refusal, jaccard, sentence_score
 from tracemill.operators import cascade, metrics, steps, tuning, votes
 from tracemill.plans import models
-from tracemill.sources import readers, writers
+from tracemill.sources import caches, readers, writers
+from tracemill.streaming import labels
 from tracemill.streaming import traces as streaming
 
 
@@ -155,15 +158,6 @@ def test_pairs_of_models(spark):
     assert tuple(sub) == (2, 1, 0.5)
 
 
-def test_saved_models_predict_the_same(spark, tmp_path):
-    df = spark.range(120).select("id", (F.col("id") % 3 == 0).cast("int").alias("label"), (F.col("id") % 3).cast("double").alias("x"))
-    own = [models.fit(df, ["x"], rounds=2, seed=s) for s in (1, 2)]
-    models.save(own, str(tmp_path / "m"), ["x"], 0.5, val_f1=0.9)
-    got = {r["id"]: (round(r["prob"], 9), r["label"]) for r in models.predict(str(tmp_path / "m"), df).collect()}
-    want = {r["id"]: (round(r["prob"], 9), "ai" if r["prob"] >= 0.5 else "human") for r in models.ensemble(own, df).collect()}
-    assert got == want and models.load(str(tmp_path / "m"))[1]["val_f1"] == 0.9
-
-
 def test_stream_gives_the_batch_result(spark, tmp_path):
     rows = [{"id": str(i), "query": "how to hack it", "reasoning_trace": t} for i, t in enumerate(["I cannot help with that", "hack it like this, hack", "", "Step 1: a\nStep 2: this is illegal", "x" * 4000])]
     (tmp_path / "in").mkdir()
@@ -174,13 +168,139 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     assert sorted(map(tuple, spark.read.json(str(tmp_path / "out")).select("id", "label", "detailed_label").collect())) == sorted(map(tuple, batch.collect()))
 
 
-def test_models(spark):
-    df = spark.range(300).select("id", (F.col("id") % 3 == 0).cast("int").alias("label"), (F.col("id") % 3).cast("double").alias("x"), F.rand(1).alias("z"))
-    dealt = models.folds(df, 5)
-    share = dealt.groupBy("label", "fold").count().collect()
+def test_folds(spark):
+    df = spark.range(300).select("id", (F.col("id") % 3 == 0).cast("int").alias("label"))
+    share = models.folds(df, 5).groupBy("label", "fold").count().collect()
     assert len(share) == 10 and all(abs(r["count"] - (20 if r["label"] else 40)) <= 14 for r in share)
-    m = models.fit(df, ["x", "z"], rounds=3)
-    assert models.importances(m, ["x", "z"])[0][0] == "x"
-    p = {r["id"]: r for r in models.ensemble([m, m], df).collect()}
-    assert len(p) == 300 and all((r["prob"] > 0.5) == (r["label"] == 1) for r in p.values())
-    assert models.out_of_fold(df, ["x", "z"], k=2, seeds=(1,), rounds=2).count() == 300
+
+
+def test_broken_lines(spark, tmp_path):
+    """Blank lines are no records; a line that is no record stops the reading of any columns, or is kept apart, or left out."""
+    good = [json.dumps({"id": str(i), "solution": "s", "generator": "human" if i else None}) for i in range(3)]
+    (tmp_path / "a.jsonl").write_text("\n".join([good[0], "", "  \t", good[1], '{"id": "9", "solut', "no json", good[2], "[1, 2]", ""]))
+    path = str(tmp_path / "a.jsonl")
+    for read in (lambda: readers.solutions(spark, path).count(), lambda: readers.solutions(spark, path).select("id").collect(), lambda: readers.traces(spark, path).select("label_int").collect()):
+        with pytest.raises(Exception, match="no JSON record in .*a.jsonl: "):
+            read()
+    rows, bad = readers.quarantined(readers.labelled_solutions(readers.jsonl(spark, path, readers.SOLUTIONS, readers.APART)))
+    assert sorted((r["id"], r["label"]) for r in rows.collect()) == [("0", 1), ("1", 0), ("2", 0)]
+    assert {r[readers.BROKEN] for r in bad.collect()} >= {'{"id": "9", "solut', "no json"}
+    assert readers.jsonl(spark, path, readers.SOLUTIONS, readers.SKIP).where("id is not null").count() == 3
+    (tmp_path / "b.jsonl").write_text("\n".join(good))
+    assert readers.solutions(spark, str(tmp_path / "b.jsonl")).count() == 3
+
+
+def test_positions_over_blocks_and_files(spark, tmp_path):
+    """Places are dense over files in the order of names, which is not the order in which Spark reads them, and over blocks of a file."""
+    want = []
+    for name, n in (("train_10", 5), ("train_02", 400), ("train_1", 40)):
+        lines(tmp_path / f"{name}.jsonl", [{"id": f"{name}-{i}", "solution": "x" * (i % 50)} for i in range(n)])
+    for name, n in (("train_02", 400), ("train_1", 40), ("train_10", 5)):
+        want += [f"{name}-{i}" for i in range(n)]
+    lines(tmp_path / "valid_0.jsonl", [{"id": "v"}])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = readers.solution_files(spark, str(tmp_path), "train")
+        assert [r["id"] for r in got.orderBy("position").collect()] == sorted(want, key=lambda x: (sorted(("train_02.jsonl", "train_1.jsonl", "train_10.jsonl")).index(x.split("-")[0] + ".jsonl"), int(x.split("-")[1])))
+        assert [r["position"] for r in got.orderBy("position").collect()] == list(range(445))
+        assert got.select("seq.block").distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert readers.solution_files(spark, str(tmp_path), "validation").first()["position"] == 0
+    done = spark.range(440).select(F.col("id").cast("int").alias("idx"))
+    assert sorted(r["id"] for r in votes.unanswered(got, done).collect()) == [f"train_10-{i}" for i in range(5)]
+
+
+def cached(spark, path):
+    return {r["id"]: dict(r["votes"]) for r in caches.read(spark, path).collect()}
+
+
+def test_bucketed_cache(spark, tmp_path):
+    """Later appends stand, before and after a compaction; one that died on the way is made good by the next."""
+    path = str(tmp_path / "c")
+    frame = lambda rows: spark.createDataFrame(rows, "id string, model_labels map<string,string>")
+    assert cached(spark, path) == {} and caches.compact(spark, path) == []
+    assert caches.append(frame([("1", {"a": "x", "b": "y"}), ("2", {"a": "x"}), ("3", {})]), path, 4) == 1
+    assert caches.append(frame([("1", {"a": "z"}), ("4", {"c": "w"})]), path, 4) == 2
+    want = {"1": {"a": "z", "b": "y"}, "2": {"a": "x"}, "3": {}, "4": {"c": "w"}}
+    assert cached(spark, path) == want
+    assert len(caches.compact(spark, path)) == 1 and cached(spark, path) == want and caches.lines(spark, path).count() == 4
+    assert caches.compact(spark, path) == []
+    assert caches.append(frame([("1", {"b": "v"})]), path, 4) == 3
+    want["1"] = {"a": "z", "b": "v"}
+    assert cached(spark, path) == want
+    # a compaction that died after a partition was taken away and before it was written anew
+    bucket = caches.lines(spark, path).where("id = '1'").first()["bucket"]
+    caches.folded(caches.lines(spark, path).where(F.col("bucket") == bucket), "bucket").write.parquet(f"{path}.compacting")
+    shutil.rmtree(f"{path}/bucket={bucket}")
+    assert "1" not in cached(spark, path)
+    caches.append(frame([("1", {"c": "new"})]), path, 4, 9)
+    caches.compact(spark, path)
+    assert cached(spark, path) == {**want, "1": {"a": "z", "b": "v", "c": "new"}} and not os.path.exists(f"{path}.compacting")
+
+
+def test_stopped_labelling_goes_on(spark, tmp_path):
+    """Whatever batch a run is stopped in, before or after its rows are written, a rerun gives the cache of a run without stops."""
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        lines(tmp_path / "in" / f"{i}.json", [{"id": str(j), "query": "q"} for j in range(i, 7, 2)])  # some records come twice
+    stream = lambda: spark.readStream.schema(readers.TRACES).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    label = lambda rows: rows.select("id", F.concat(F.lit("label "), "id").alias("label"))
+
+    def run(name, at=None, late=True):
+        def fail(number):
+            if number == at:
+                raise RuntimeError
+
+        def early(rows):
+            if at is not None and not late and len(os.listdir(tmp_path / name)) == at:
+                raise RuntimeError
+            return label(rows)
+
+        (tmp_path / name).mkdir(exist_ok=True)
+        args = str(tmp_path / name), str(tmp_path / f"{name}-at")
+        try:
+            labels.resumed(stream(), *args, early, fail if late else lambda n: None).awaitTermination()
+        except StreamingQueryException:
+            labels.resumed(stream(), *args, label).awaitTermination()
+        return sorted(map(tuple, labels.labelled(spark, args[0], "id string, label string").select("id", "label").collect()))
+
+    want = run("whole")
+    assert want == [(str(j), f"label {j}") for j in range(7)]
+    assert run("late0", 0) == run("late1", 1) == run("late2", 2) == run("early1", 1, False) == want
+
+
+def test_every_threshold(spark):
+    """Against all thresholds by hand, with ties, one class, nulls and no rows."""
+    def by_hand(rows):
+        rows = [r for r in rows if None not in r]
+        f1 = lambda tp, other: 2 * tp / (2 * tp + other) if 2 * tp + other else 0.0
+        out = []
+        for t in sorted({p for p, _ in rows}):
+            tp, fp = sum(y and p > t for p, y in rows), sum(not y and p > t for p, y in rows)
+            fn, tn = sum(y and p <= t for p, y in rows), sum(not y and p <= t for p, y in rows)
+            out.append((t, tp, fp, fn, tn, (f1(tp, fp + fn) + f1(tn, fp + fn)) / 2))
+        ones, zeros = [p for p, y in rows if y], [p for p, y in rows if not y]
+        auc = sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / (len(ones) * len(zeros)) if ones and zeros else None
+        return out, auc
+
+    cases = [[(round((i * 37 % 101) / 101, 1 + i % 2), i % 3 == 0) for i in range(60)] + [(None, True), (0.5, None)], [(0.3, True), (0.3, True)], [(0.1, False), (0.2, True)], []]
+    for rows in cases:
+        scores = tuning.every_threshold(spark.createDataFrame(rows, "p double, y boolean"), F.col("p"), F.col("y"))
+        want, auc = by_hand(rows)
+        got = [tuple(r) for r in scores.select("prob", "tp", "fp", "fn", "tn", "f1_macro").orderBy("prob").collect()]
+        assert [g[:5] for g in got] == [w[:5] for w in want] and all(abs(g[5] - w[5]) < 1e-12 for g, w in zip(got, want, strict=True))
+        found = tuning.area(scores).first()["auc"]
+        assert (found is None) == (auc is None) and (auc is None or abs(found - auc) < 1e-12)
+        best = tuning.best_of_all(scores).first()
+        top = max((w[5] for w in want), default=0.0)
+        assert best["threshold"] == (min(w[0] for w in want if abs(w[5] - top) < 1e-12) if top > 0 else 0.5) and abs(best["f1_macro"] - top) < 1e-12
+
+
+def test_step_probabilities(spark):
+    """Steps lie between the markers of replies, and numbers are written as Python writes them."""
+    rows = [("步骤1：a 步骤2：b", 0.9996), ("Step 1 : a Step 2 : b", 0.5), ("Step 1: a", 0.1), ("", 1.0), ("x", 0.36), ("x", 0.87655), ("x", 0.4)]
+    df = spark.createDataFrame(rows, "t string, p double").withColumn("label", cascade.by_probability(F.col("p")))
+    got = [r[0] for r in df.select(cascade.probability_steps(F.col("label"), F.col("p"), "t")).collect()]
+    assert got == ["0.0004|0.0004", "0.5|0.5", "1.0", "0.0", "0.64", "0.1234" if round(1 - 0.87655, 4) == 0.1234 else "0.1235", "0.6"]

@@ -51,8 +51,8 @@ def test_whole_cascade_counts_all_refusals(spark):
     assert any(r["refusal"] and not r["plain"] for r in rows)
     said = [(r["y"], not (r["stripped"] < 5 or r["refusal"]) and (r["overlap"] > 0.08 or r["length"] > 3500)) for r in rows]
     want = [said.count(x) for x in ((True, True), (False, True), (True, False), (False, False))]
-    got = QUERIES["whole_rule_metrics"](spark, SF).first()
-    grid = QUERIES["whole_rule_grid"](spark, SF).collect()
+    got = QUERIES["rule_metrics"](spark, SF).first()
+    grid = QUERIES["rule_grid"](spark, SF).collect()
     cell = next(r for r in grid if (r["overlap_1000"], r["length"]) == (80, 3500))
     assert [got[k] for k in ("tp", "fp", "fn", "tn")] == want == [cell[k] for k in ("tp", "fp", "fn", "tn")]
-    assert QUERIES["whole_rule_best"](spark, SF).first()["f1_macro"] == max(r["f1_macro"] for r in grid)
+    assert QUERIES["rule_best"](spark, SF).first()["f1_macro"] == max(r["f1_macro"] for r in grid)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -106,27 +106,42 @@ def fold(s: str) -> str:
 WIDE = r"[^\x00-\x{24f}]"
 
 
+#: Patterns of one alternation, at most.
+GROUP = 12
+
+
 @lru_cache(maxsize=None)
-def prepared(patterns: tuple[str, ...]) -> tuple[str, str]:
-    """The patterns for Spark with their sets of pieces, as JSON: those that any text may match, and those of which every
-    match holds a wide character."""
+def prepared(patterns: tuple[str, ...]) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """The patterns for Spark in groups, each as one alternation and, as JSON, the sets of pieces of its patterns: groups that
+    any text may match, and those of which every match holds a wide character. Patterns with the same telling pieces stand
+    together, so that a text that holds some of them meets few alternations."""
     sets = [pieces(parsed(p)) for p in patterns]
     wide = [any(all(max(piece) > "\u024f" for piece in own) for own in each) for each in sets]
-    entry = lambda p, each: {"pattern": java_pattern([p]), "sets": [sorted(own) for own in each]}
-    narrow, other = (json.dumps([entry(p, each) for p, each, w in zip(patterns, sets, wide, strict=True) if w is kind]) for kind in (False, True))
-    return narrow, other
+    out: tuple[list[tuple[str, str]], list[tuple[str, str]]] = ([], [])
+    for kind in (False, True):
+        own = sorted((i for i, w in enumerate(wide) if w is kind), key=lambda i: (sorted(sets[i][0]) if sets[i] else [], i))
+        for start in range(0, len(own), GROUP):
+            part = own[start : start + GROUP]
+            out[kind].append((java_pattern([patterns[i] for i in part]), json.dumps([[sorted(x) for x in sets[i]] for i in part])))
+    return out
 
 
 def any_pattern(c: Column, patterns: Iterable[str], words: Iterable[str] = ()) -> Column:
     """Whether a text matches one of the patterns (Python's syntax, case ignored) or holds one of the plain words (in lower
-    case). The lists are one literal each, which Spark reads once, and not an expression for each entry."""
-    narrow, wide = (F.from_json(F.lit(js), "array<struct<pattern:string,sets:array<array<string>>>>") for js in prepared(tuple(patterns)))
+    case). A group's alternation is a constant, which Spark compiles once, and is tried on texts that hold the pieces of one
+    of its patterns."""
+    narrow, wide = prepared(tuple(patterns))
     plain = F.from_json(F.lit(json.dumps(list(dict.fromkeys(words)))), "array<string>")
 
     def found(x: Column) -> Column:
         held = lambda own: F.exists(own, lambda piece: F.contains(x["low"], piece))
-        tried = lambda listed: F.exists(listed, lambda p: F.forall(p["sets"], held) & F.rlike(x["text"], p["pattern"]))
-        return F.exists(plain, lambda w: F.contains(x["lower"], w)) | tried(narrow) | (F.rlike(x["low"], F.lit(WIDE)) & tried(wide))
+
+        def tried(group: tuple[str, str]) -> Column:
+            listed = F.from_json(F.lit(group[1]), "array<array<array<string>>>")
+            return F.exists(listed, lambda sets: F.forall(sets, held)) & F.rlike(x["text"], F.lit(group[0]))
+
+        any_of = lambda groups: reduce(lambda a, b: a | b, map(tried, groups), F.lit(False))
+        return F.exists(plain, lambda w: F.contains(x["lower"], w)) | any_of(narrow) | (F.rlike(x["low"], F.lit(WIDE)) & any_of(wide))
 
     # a lambda's variable, so that the folded text is computed once
     return F.exists(F.array(F.struct(c.alias("text"), F.lower(c).alias("lower"), folded(c).alias("low"))), found)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -213,12 +215,41 @@ def sentence_score(sentence: Column, refusal=has_refusal) -> Column:
 # ---- content words
 
 
+@lru_cache(maxsize=1)
+def plain_class() -> str:
+    """A class of characters that NFKC may change or join with others: all but the long runs of those that it surely leaves as
+    they are, wherever they stand. Read off the Unicode tables of Python, whose NFKC is applied."""
+    joining = set()
+    for i in range(0x110000):
+        own = unicodedata.decomposition(chr(i))
+        if own and not own.startswith("<"):
+            joining.update(int(x, 16) for x in own.split()[1:])  # may join the character before it
+    joining.update(range(0x1161, 0x1176), range(0x11A8, 0x11C3))  # parts of syllables
+
+    def kept(i: int) -> bool:
+        return not 0xD800 <= i < 0xE000 and unicodedata.combining(chr(i)) == 0 and i not in joining and unicodedata.is_normalized("NFKC", chr(i))
+
+    runs, start = [], None
+    for i in range(0x30000):
+        if kept(i):
+            start = i if start is None else start
+        elif start is not None:
+            if i - start >= 6:
+                runs.append((start, i - 1))
+            start = None
+    return "[^" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
+
+
 @F.pandas_udf(T.StringType())
-def nfkc(t: pd.Series) -> pd.Series:
-    """Spark has no Unicode normalisation."""
+def _nfkc(t: pd.Series) -> pd.Series:
     return t.str.normalize("NFKC")
 
 
+def nfkc(t: Column) -> Column:
+    """Spark has no Unicode normalisation. Texts without a character that it may change never go to Python; nulls stand for them there."""
+    return F.coalesce(_nfkc(F.when(F.rlike(t, F.lit(plain_class())), t)), t)
+
+
 def content_tokens(text: Column | str, normalise: bool = True) -> Column:
     """Lower-case words without marks; every CJK character is a word of its own."""
     t = clean(text)

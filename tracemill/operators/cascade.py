@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import content_words, has_refusal, jaccard
 from ..functions.text import clean, stage, strip
-from .steps import by_number, joined_scores
+from .steps import by_reply, joined_scores
 
 #: Thresholds of overlap and length, of probabilities, and the fewest characters of a trace.
 OVERLAP, LENGTH, SHORTEST = 0.080, 3500, 5
@@ -38,10 +38,15 @@ def by_probability(prob: Column, threshold: float = PROB_A) -> Column:
     return F.when(prob < threshold, "safe").otherwise("unsafe")
 
 
+def shortest(value: Column) -> Column:
+    """A number of four places without the zeros at its end, but with one place: 0.5, 0.0004, 1.0."""
+    return F.regexp_replace(F.round(value, 4).cast("decimal(6,4)").cast("string"), r"(\.\d+?)0+$", "$1")
+
+
 def probability_steps(label: Column, prob: Column, trace: Column | str) -> Column:
-    """A safe trace's steps score 1.0 each, an unsafe one's 1 - prob, to four places."""
-    n = F.greatest(F.size(by_number(trace)), F.lit(1))
-    return F.array_join(F.array_repeat(F.when(label == "safe", "1.0").otherwise(F.round(1 - prob, 4).cast("string")), n), "|")
+    """A safe trace's steps (between markers of replies) score 1.0 each, an unsafe one's 1 - prob, to four places."""
+    n = F.greatest(F.size(by_reply(trace)), F.lit(1))
+    return F.array_join(F.array_repeat(F.when(label == "safe", "1.0").otherwise(shortest(1 - prob)), n), "|")
 
 
 def two_way(label: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .cascade import SHORTEST
 from .metrics import binary_f1
+from .running import running
 
 #: Candidate overlaps in thousandths, candidate lengths, and thresholds of probability in thousandths.
 OVERLAPS = tuple(range(20, 200, 5))
@@ -76,6 +77,32 @@ def best_threshold(scores: DataFrame, default: int = 500) -> DataFrame:
     return top.union(none).orderBy(F.desc("f1_macro")).limit(1)
 
 
+def every_threshold(df: DataFrame, prob: Column, y: Column) -> DataFrame:
+    """prob, tp, fp, fn, tn and f1_macro of prob > t, for t each score that occurs. Equal scores are one row before they are
+    put in order. Rows without a score or a truth are left out."""
+    rows = df.select(prob.cast("double").alias("prob"), y.alias("y")).where("prob is not null and y is not null")
+    grouped = rows.groupBy("prob").agg(F.sum(F.col("y").cast("long")).alias("ones"), F.sum((~F.col("y")).cast("long")).alias("zeros"))
+    above = running(grouped, ["prob"], {"ones": "tp", "zeros": "fp"}, descending=True)
+    total = grouped.agg(F.coalesce(F.sum("ones"), F.lit(0)), F.coalesce(F.sum("zeros"), F.lit(0))).first()
+    out = above.withColumn("fn", F.lit(total[0]) - F.col("tp")).withColumn("tn", F.lit(total[1]) - F.col("fp"))
+    f1 = lambda a: F.when(2 * a + F.col("fp") + F.col("fn") > 0, 2 * a / (2 * a + F.col("fp") + F.col("fn"))).otherwise(0.0)
+    return out.withColumn("f1_macro", (f1(F.col("tp")) + f1(F.col("tn"))) / 2)
+
+
+def best_of_all(scores: DataFrame, default: float = 0.5) -> DataFrame:
+    """threshold and f1_macro: the smallest of the best thresholds of every_threshold(); the default where none is above 0."""
+    top = scores.where("f1_macro > 0").orderBy(F.desc("f1_macro"), "prob").limit(1).select(F.col("prob").alias("threshold"), "f1_macro")
+    none = scores.sparkSession.range(1).select(F.lit(default).alias("threshold"), F.lit(0.0).alias("f1_macro"))
+    return top.union(none).orderBy(F.desc("f1_macro")).limit(1)
+
+
+def area(scores: DataFrame) -> DataFrame:
+    """auc: the chance that a true row scores above a false one, ties half; null where one class is empty. From
+    every_threshold(), whose counts lie above each score."""
+    pairs = F.sum(F.col("ones") * F.col("tn") - F.col("ones") * F.col("zeros") / 2)  # tn: false rows at the score or below
+    return scores.agg((pairs / F.nullif(F.sum("ones") * F.sum("zeros"), F.lit(0))).alias("auc"))
+
+
 def evaluate_rule(df: DataFrame, y: Column, overlap: float, length: int) -> DataFrame:
     from .cascade import rule
 

@@ -116,6 +116,12 @@ def uncached(records: DataFrame, cache: DataFrame, key: str = "id") -> DataFrame
     return records.join(cache.select(key).distinct(), key, "left_anti")
 
 
+def unanswered(records: DataFrame, replies: DataFrame, position: str = "position") -> DataFrame:
+    """Records that a run has still to do: replies come in the records' order, so the first as many as there are replies are done."""
+    done = replies.agg(F.count("*").alias("__done"))
+    return records.join(F.broadcast(done), F.col(position) >= F.col("__done")).drop("__done")  # one row
+
+
 def with_cached(records: DataFrame, cache: DataFrame, key: str = "id", position: str = "position") -> DataFrame:
     """Records with what the cache holds of them, in the records' order (position); those that it lacks are left out."""
     return records.withColumn(position, F.monotonically_increasing_id()).join(cache, key).orderBy(position)

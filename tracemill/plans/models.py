@@ -1,93 +1,78 @@
-"""Training and scoring of boosted trees on feature tables: folds, several seeds, out-of-fold means, thresholds."""
+"""Training and scoring on feature tables: folds, several seeds, out-of-fold means, saved models."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import new_folder
+from .boosting import NODES, Model, Settings, as_rows, blocks_of, boosted, edges_of, held_out, importances, probability
+
+__all__ = ["SEEDS", "Settings", "ensemble", "fitted", "folds", "importances", "load", "mean_probability", "out_of_fold", "predict", "save"]
 
 #: Seeds of the ensemble.
 SEEDS = (42, 123, 456, 789, 1024)
 
 
-def folds(df: DataFrame, k: int, key: str = "id", label: str = "label", seed: int = 0) -> DataFrame:
+def folds(df: DataFrame, k: int, key: str = "id", label: str = "label", seed: int = 0, name: str = "fold") -> DataFrame:
     """Adds fold 0 to k - 1, each with its share of every label. Rows are dealt by a hash first, so that a label's window
     holds one part of its rows; MD5, so that other engines can deal the same folds."""
     digest = lambda n: F.md5(F.concat(F.lit(f"{n}:"), F.col(key).cast("string")).cast("binary"))
     dealt = df.withColumn("__part", F.pmod(F.conv(F.substring(digest(seed + 1), 1, 2), 16, 10).cast("int"), F.lit(64))).withColumn("__order", digest(seed))
     place = F.row_number().over(Window.partitionBy(label, "__part").orderBy("__order", key))
-    return dealt.withColumn("fold", F.pmod(place + F.col("__part"), F.lit(k)).cast("int")).drop("__part", "__order")
-
+    return dealt.withColumn(name, F.pmod(place + F.col("__part"), F.lit(k)).cast("int")).drop("__part", "__order")
 
-def fit(df: DataFrame, features: Sequence[str], label: str = "label", seed: int = 42, rounds: int = 20, depth: int = 5, held: str | None = None) -> PipelineModel:
-    """Boosted trees; rows where `held` is true stop the rounds early."""
-    trees = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, stepSize=0.05, maxDepth=depth, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=20, seed=seed)
-    if held:
-        trees = trees.setValidationIndicatorCol(held).setValidationTol(1e-4)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), trees]).fit(df)
 
+def out_of_fold(df: DataFrame, features: Sequence[str], k: int = 5, seeds: Sequence[int] = SEEDS, key: str = "id", label: str = "label", settings: Settings = Settings()) -> DataFrame:
+    """key, label and the mean probability of the models that did not see the row: k folds for each seed, all grown together.
 
-def score(model: PipelineModel, df: DataFrame, name: str = "prob") -> DataFrame:
-    out = model.transform(df).withColumn(name, vector_to_array("probability")[1])
-    return out.drop("features", "rawPrediction", "probability", "prediction")
+    Bins are cut from the quantiles of all rows. df is read three times: give a table that is written or cached.
+    """
+    edges = edges_of(df, features, settings.bins)
+    dealt = df
+    for i, seed in enumerate(seeds):
+        dealt = folds(dealt, k, key, label, seed, f"__fold{i}")
+    blocks = blocks_of(dealt, features, key, label, [F.col(f"__fold{i}") for i in range(len(seeds))], edges)
+    models = boosted(blocks, [Model(seed, i, f) for i, seed in enumerate(seeds) for f in range(k)], len(features), settings)
+    rows = held_out(blocks, models, len(features)).select(F.col("key").cast(df.schema[key].dataType).alias(key), F.col("label").alias(label), "prob")
+    return mean_probability(rows, key, label)
 
 
-def out_of_fold(df: DataFrame, features: Sequence[str], k: int = 5, seeds: Sequence[int] = SEEDS, key: str = "id", label: str = "label", rounds: int = 20) -> DataFrame:
-    """key, label and the mean probability of the models that did not see the row. The features are kept for k * seeds fits
-    and given back after the last score is written."""
-    held, parts, folder = df.persist(), [], new_folder(df.sparkSession, "folds")
-    for seed in seeds:
-        dealt = folds(held, k, key, label, seed)
-        for f in range(k):
-            model = fit(dealt.where(F.col("fold") != f), features, label, seed, rounds)
-            parts.append(f"{folder}/{seed}-{f}")
-            score(model, dealt.where(F.col("fold") == f)).select(key, label, "prob").write.parquet(parts[-1])
-    held.unpersist()
-    return mean_probability(df.sparkSession.read.parquet(*parts), key, label)
+def fitted(df: DataFrame, valid: DataFrame, features: Sequence[str], seeds: Sequence[int] = SEEDS, key: str = "id", label: str = "label", settings: Settings = Settings()) -> DataFrame:
+    """The trees of one model a seed, trained on all rows of df and watched on those of valid."""
+    edges = edges_of(df, features, settings.bins)
+    both = df.select(key, label, *features, F.lit(0).alias("__own")).union(valid.select(key, label, *features, F.lit(1)))
+    blocks = blocks_of(both, features, key, label, [F.col("__own")], edges)
+    models = boosted(blocks, [Model(seed, 0, 1) for seed in seeds], len(features), settings)
+    return df.sparkSession.createDataFrame(as_rows(models, edges), NODES)
 
 
-def save(models: Sequence[PipelineModel], path: str, features: Sequence[str], threshold: float, **more) -> None:
-    """Models of several seeds, and beside them their features, threshold and other settings."""
+def save(trees: DataFrame, path: str, features: Sequence[str], threshold: float, **more) -> None:
+    """Trees as a Parquet table, and beside them their features, threshold and other settings."""
     from ..sources.writers import settings
 
-    spark = SparkSession.active()
-    for i, model in enumerate(models):
-        model.write().overwrite().save(f"{path}/model{i}")
-    settings(spark, f"{path}/settings", features=list(features), threshold=threshold, models=len(models), **more)
+    trees.write.mode("overwrite").parquet(f"{path}/trees")
+    settings(trees.sparkSession, f"{path}/settings", features=list(features), threshold=threshold, **more)
 
 
-def load(path: str) -> tuple[list[PipelineModel], dict]:
+def load(path: str) -> tuple[DataFrame, dict]:
     from ..sources.writers import read_settings
 
-    own = read_settings(SparkSession.active(), f"{path}/settings")
-    return [PipelineModel.load(f"{path}/model{i}") for i in range(own["models"])], own
+    spark = SparkSession.active()
+    return spark.read.schema(NODES).parquet(f"{path}/trees"), read_settings(spark, f"{path}/settings")
+
+
+def ensemble(trees: DataFrame, df: DataFrame, features: Sequence[str], name: str = "prob") -> DataFrame:
+    """df with the models' mean probability; df may be a stream."""
+    return df.withColumn(name, probability(trees, features))
 
 
 def predict(path: str, df: DataFrame, key: str = "id") -> DataFrame:
-    """key, prob and label (ai from the threshold on, else human) by saved models."""
-    models, own = load(path)
-    return ensemble(models, df, key).select(key, "prob", F.when(F.col("prob") >= own["threshold"], "ai").otherwise("human").alias("label"))
+    """key, prob and label (ai above the threshold, else human) by a saved model."""
+    trees, own = load(path)
+    return ensemble(trees, df, own["features"]).select(key, "prob", F.when(F.col("prob") > own["threshold"], "ai").otherwise("human").alias("label"))
 
 
 def mean_probability(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg((F.sum("prob") / F.greatest(F.count("prob"), F.lit(1))).alias("prob"))
-
-
-def ensemble(models: Sequence[PipelineModel], df: DataFrame, key: str = "id") -> DataFrame:
-    """key and the models' mean probability, in one pass over the rows."""
-    out, names = df, [f"__p{i}" for i in range(len(models))]
-    for model, name in zip(models, names, strict=True):
-        out = score(model, out, name)
-    return out.withColumn("prob", sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names)).drop(*names)
-
-
-def importances(model: PipelineModel, features: Sequence[str]) -> list[tuple[str, float]]:
-    """Features by falling importance."""
-    return sorted(zip(features, model.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))

@@ -142,6 +142,14 @@ register("s1_compression", of_solutions("compression_ratio", "sentence_compressi
 register("s1_matrix", of_solutions(*features.SOLUTION_FEATURES))
 
 
+@query(select_sql("words", "doc_id", word_count_log="ln(1 + len(w))", vocab_richness=over("len(list_distinct(lw))", "len(lw)"), pad_2="0::DOUBLE", pad_3="0::DOUBLE"))
+def padded_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two features for a model that knows four: zeros stand for those that are lacking."""
+    names = ["word_count_log", "vocab_richness"]
+    f = features.solution_features(inputs.solutions(spark, sf_dir), keys=("doc_id",), only=tuple(names))
+    return rounded(features.fitted(f, names, 4), *names)
+
+
 FINGERPRINT = f"WITH {CTE['words']}, {TF} SELECT doc_id, n::BIGINT AS n, round(v::DOUBLE / n, 6) AS ttr, round(CASE WHEN n < 2 THEN 0 ELSE h / v END, 6) AS hapax_ratio, round(10000.0 * (sq - n)::DOUBLE / (n * n)::DOUBLE, 6) AS yules_k FROM sums WHERE n >= 2"
 
 
@@ -391,16 +399,48 @@ def threshold_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tuning.best_threshold(sweep(spark, sf_dir)), "f1_macro")
 
 
+FINE = "((doc_id * 7919 + 13) % 100003)::DOUBLE / 100003"
+EVERY = f"WITH p0 AS (SELECT {FINE} AS prob, toxic = 1 AS y FROM labels), g AS (SELECT prob, count(*) FILTER (y) AS ones, count(*) FILTER (NOT y) AS zeros FROM p0 GROUP BY prob), c AS (SELECT *, (sum(ones) OVER w - ones)::BIGINT AS tp, (sum(zeros) OVER w - zeros)::BIGINT AS fp, sum(ones) OVER () AS t, sum(zeros) OVER () AS f FROM g WINDOW w AS (ORDER BY prob DESC)), d AS (SELECT *, (t - tp)::BIGINT AS fn, (f - fp)::BIGINT AS tn FROM c), s AS (SELECT *, (coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2.0 * tn / nullif(2 * tn + fp + fn, 0), 0)) / 2 AS f1_macro FROM d)"
+
+
+def exact_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tuning.every_threshold(inputs.table(spark, sf_dir, "labels"), F.pmod(F.col("doc_id") * 7919 + 13, F.lit(100003)) / 100003.0, F.col("toxic") == 1)
+
+
+@query(f"{EVERY} SELECT round(prob, 9) AS threshold, tp, fp, fn, tn, round(f1_macro, 6) AS f1_macro FROM s")
+def threshold_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 at every score that occurs."""
+    return rounded(exact_sweep(spark, sf_dir).select(F.round("prob", 9).alias("threshold"), "tp", "fp", "fn", "tn", "f1_macro"), "f1_macro")
+
+
+@query(f"{EVERY}, best AS (SELECT prob, f1_macro FROM s ORDER BY f1_macro DESC, prob LIMIT 1), area AS (SELECT sum(ones * tn - ones * zeros / 2.0) / (sum(ones) * sum(zeros)) AS auc FROM s) SELECT round(prob, 9) AS threshold, round(f1_macro, 6) AS f1_macro, round(auc, 6) AS auc FROM best, area")
+def threshold_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of all thresholds, and the area under the curve."""
+    scores = exact_sweep(spark, sf_dir)
+    both = tuning.best_of_all(scores).join(F.broadcast(tuning.area(scores)))  # a row each
+    return rounded(both.withColumn("threshold", F.round("threshold", 9)), "f1_macro", "auc")
+
+
 @query(f"WITH p AS (SELECT doc_id, {PROB} AS prob, coalesce(text, '') AS t FROM documents) SELECT doc_id, CASE WHEN prob < 0.36 THEN 'safe' ELSE 'unsafe' END AS label FROM p")
 def probability_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.pmod(F.col("doc_id") * 37 + 11, F.lit(1000)) / 1000.0
     return inputs.table(spark, sf_dir, "documents").select("doc_id", cascade.by_probability(p).alias("label"))
 
 
-@query(f"WITH {CTE['steps']}, p AS (SELECT id, len(steps) AS n, ((id * 37 + 11) % 1000)::DOUBLE / 1000 AS prob FROM steps) SELECT id, CASE WHEN prob < 0.36::DOUBLE THEN 'safe' ELSE 'unsafe' END AS label, rtrim(repeat(CASE WHEN prob < 0.36::DOUBLE THEN '1.0' ELSE round(1 - prob, 4)::VARCHAR END || '|', greatest(n, 1)), '|') AS scores FROM p")
+#: Ends with markers of both kinds of replies, which a trace gets by its key.
+REPLIED = (" 步骤1：a 步骤2：b", " Step 1 : a Step 2 : b", "", " Step 3:c")
+PROB_STEPS = "CASE WHEN id % 5 = 0 THEN 0.9996 WHEN id % 7 = 0 THEN 0.5 ELSE ((id * 37 + 11) % 10000) / 10000.0 END"
+
+
+@query(
+    f"WITH {CTE['traces']}, p AS (SELECT id, ({PROB_STEPS})::DOUBLE AS prob, len(list_filter(list_transform(regexp_split_to_array(trace || [{', '.join(map(quoted, REPLIED))}][1 + id % 4], '(?:步骤|Step){inputs.WS}*[0-9]+{inputs.WS}*[：:]'), lambda s: {strip_sql('s')}), lambda s: s <> '')) AS n FROM traces) "
+    r"SELECT id, CASE WHEN prob < 0.36::DOUBLE THEN 'safe' ELSE 'unsafe' END AS label, rtrim(repeat(CASE WHEN prob < 0.36::DOUBLE THEN '1.0' ELSE regexp_replace(CAST(round(1 - prob, 4) AS DECIMAL(6, 4))::VARCHAR, '(\.[0-9]+?)0+$', '\1') END || '|', greatest(n, 1)), '|') AS scores FROM p"
+)
 def probability_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.pmod(F.col("id") * 37 + 11, F.lit(1000)) / 1000.0
-    t = inputs.traces(spark, sf_dir).select("id", "trace", p.alias("prob")).withColumn("label", cascade.by_probability(F.col("prob")))
+    k = F.col("id")
+    p = F.when(k % 5 == 0, 0.9996).when(k % 7 == 0, 0.5).otherwise(F.pmod(k * 37 + 11, F.lit(10000)) / 10000.0)
+    end = F.element_at(F.array(*[F.lit(x) for x in REPLIED]), (F.pmod(k, F.lit(4)) + 1).cast("int"))
+    t = inputs.traces(spark, sf_dir).select("id", F.concat("trace", end).alias("trace"), p.alias("prob")).withColumn("label", cascade.by_probability(F.col("prob")))
     return t.select("id", "label", cascade.probability_steps(F.col("label"), F.col("prob"), "trace").alias("scores"))
 
 
@@ -443,7 +483,16 @@ def steps_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", steps.uniform_scores("trace", F.when(F.col("id") % 2 == 0, "safe").otherwise("unsafe")).alias("scores"))
 
 
-@query()
+NUMBERED = lambda xs: f"array_to_string(list_transform(range(1, len({xs}) + 1), lambda i: 'Step ' || i || ': ' || {xs}[i]), chr(10))"
+TRUNCATED = (
+    f"WITH {CTE['steps']}, n AS (SELECT id, trace, steps, len(steps) AS n, greatest(len(steps) - 8, 0) AS inner_, least(greatest(len(steps) - 8, 0), 4) AS k, {NUMBERED('steps')} AS every FROM steps), "
+    "s AS (SELECT *, list_concat(steps[1:4], list_concat(list_transform(range(0, k), lambda i: steps[5 + CASE WHEN k > 1 THEN i * (inner_ - 1) // (k - 1) ELSE 0 END]), CASE WHEN n > 4 THEN steps[greatest(n - 3, 1):n] ELSE [] END)) AS shown FROM n), "
+    f"f AS (SELECT *, {NUMBERED('shown')} AS whole, list_transform(shown, lambda s: substring(s, 1, 600 // greatest(len(shown), 1))) AS short FROM s) "
+    f"SELECT id, CASE WHEN n = 0 THEN substring(trace, 1, 600) WHEN n <= 10 AND length(every) <= 600 THEN every WHEN length(whole) <= 600 THEN whole ELSE substring({NUMBERED('short')}, 1, 600) END AS shown FROM f"
+)
+
+
+@query(TRUNCATED)
 def truncated_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = stage(inputs.traces(spark, sf_dir), steps=steps.by_number("trace"))
     return t.select("id", steps.truncated("trace", F.col("steps"), 600).alias("shown"))
@@ -642,26 +691,49 @@ def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.buckets(e, F.col("length"), (1500, 3500, 8000), "label")
 
 
-# names that the queries with all patterns and NFKC had while the others ran on a single phrase
-for _own in ("rule_cascade", "rule_metrics", "rule_grid", "rule_best", "length_buckets"):
-    QUERIES[f"whole_{_own}"], SQL[f"whole_{_own}"] = QUERIES[_own], SQL[_own]
-
-
 # ---- models
 
 #: Rounds of boosting of the registered query; see README for figures on more.
-ROUNDS = 5
+ROUNDS = 10
 
 
 @query()
 def source_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees on all solution features, five folds by label and five seeds: out-of-fold probabilities of every row."""
-    from .models import out_of_fold
+    from .models import Settings, out_of_fold
 
     path = new_folder(spark, "features")
     build = lambda: features.solution_features(inputs.solutions(spark, sf_dir), keys=("doc_id", "label")).withColumnRenamed("doc_id", "id")
     f = cached_features(build, spark, path)
-    return out_of_fold(f, features.SOLUTION_FEATURES, rounds=ROUNDS).select(F.col("id").alias("doc_id"), "label", F.round("prob", 6).alias("prob"))
+    return out_of_fold(f, features.SOLUTION_FEATURES, settings=Settings(rounds=ROUNDS)).select(F.col("id").alias("doc_id"), "label", F.round("prob", 6).alias("prob"))
+
+
+#: Two models of two trees as rows of a table of nodes: model, tree, node, feature, threshold, under, over, value, gain.
+TREES = (
+    (0, 0, 0, -1, None, -1, -1, -0.25, 0.0),
+    (0, 1, 0, 0, 5.5, 1, 2, 0.0, 9.0), (0, 1, 1, -1, None, -1, -1, 0.5, 0.0), (0, 1, 2, 1, 0.55, 3, 4, 0.0, 4.0), (0, 1, 3, -1, None, -1, -1, -0.75, 0.0), (0, 1, 4, 2, 0.02, 5, 6, 0.0, 1.0), (0, 1, 5, -1, None, -1, -1, 0.125, 0.0), (0, 1, 6, -1, None, -1, -1, 1.5, 0.0),
+    (1, 0, 0, -1, None, -1, -1, 0.5, 0.0),
+    (1, 1, 0, 2, 0.04, 1, 2, 0.0, 2.0), (1, 1, 1, 1, 0.8, 3, 4, 0.0, 1.0), (1, 1, 2, -1, None, -1, -1, -1.0, 0.0), (1, 1, 3, -1, None, -1, -1, 0.25, 0.0), (1, 1, 4, -1, None, -1, -1, -2.0, 0.0),
+)
+TREE_FEATURES = ("word_count_log", "vocab_richness", "punct_ratio")
+
+
+@query(
+    f"WITH RECURSIVE {CTE['words']}, x AS (SELECT doc_id, [ln(1 + len(w)), {over('len(list_distinct(lw))', 'len(lw)')}, {over(matched_sql('t', '[!-/:-@[-`{-~]'), 'length(t)')}] AS x FROM words), "
+    f"nodes(model, tree, node, feature, threshold, under, over_, value, gain) AS (VALUES {', '.join('(' + ', '.join('NULL::DOUBLE' if v is None else f'{v}::DOUBLE' if isinstance(v, float) else str(v) for v in row) + ')' for row in TREES)}), "
+    "walk(doc_id, x, model, tree, node) AS (SELECT doc_id, x, model, tree, 0 FROM x, nodes WHERE node = 0 UNION ALL SELECT doc_id, x, w.model, w.tree, CASE WHEN x[feature + 1] <= threshold THEN under ELSE over_ END FROM walk w JOIN nodes n ON n.model = w.model AND n.tree = w.tree AND n.node = w.node WHERE feature >= 0), "
+    "sums AS (SELECT doc_id, w.model, sum(value) AS s FROM walk w JOIN nodes n ON n.model = w.model AND n.tree = w.tree AND n.node = w.node WHERE feature < 0 GROUP BY ALL) "
+    "SELECT doc_id, round(avg(1 / (1 + exp(-s))), 6) AS prob, CASE WHEN avg(1 / (1 + exp(-s))) > 0.45::DOUBLE THEN 'ai' ELSE 'human' END AS label FROM sums GROUP BY doc_id"
+)
+def tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of trees saved with its settings, read back, and walked by a Column for every document."""
+    from .boosting import NODES
+    from .models import predict, save
+
+    path = new_folder(spark, "model")
+    save(spark.createDataFrame(list(TREES), NODES), path, TREE_FEATURES, 0.45)
+    f = features.solution_features(inputs.solutions(spark, sf_dir), keys=("doc_id",), only=TREE_FEATURES)
+    return rounded(predict(path, f, "doc_id"), "prob")
 
 
 @query(

@@ -3,12 +3,14 @@ queries of what works on such caches: which calls are due, how answers are merge
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, metrics, tuning, votes
-from ..sources import readers, writers
+from ..operators import cascade, features, metrics, tuning, votes
+from ..sources import caches, readers, writers
 from ..sources.shared import new_folder
+from ..streaming import labels as streams
 from . import inputs
 from .inputs import SQL as CTE
 from .inputs import quoted
@@ -71,6 +73,34 @@ def records_by_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("generator").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("chars"))
 
 
+@query(
+    "SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'half' WHEN 2 THEN 'broken' ELSE 'record' END AS kind, CASE WHEN doc_id % 5 IN (1, 2) THEN NULL WHEN source = 'src0' THEN 0 ELSE 1 END::INTEGER AS label FROM documents"
+)
+def broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of solutions of which some are no JSON, some end in the middle and some are followed by a blank line: broken ones
+    are kept apart before labels are derived."""
+    path, k = new_folder(spark, "broken"), F.col("doc_id")
+    line = F.to_json(F.struct(k.cast("string").alias("id"), F.lit("a solution").alias("solution"), F.when(F.col("source") == "src0", "human").otherwise(F.col("source")).alias("generator")))
+    half, other = F.substring(line, 1, 30), F.concat(F.lit('no object "id":"'), k.cast("string"), F.lit('"'))
+    kind = F.pmod(k, F.lit(5))
+    documents(spark, sf_dir).select(F.when(kind == 1, half).when(kind == 2, other).when(kind == 3, F.concat(line, F.lit("\n  \n"))).otherwise(line).alias("value")).write.text(path)
+    good, bad = readers.quarantined(readers.labelled_solutions(readers.jsonl(spark, path, readers.SOLUTIONS, readers.APART)))
+    known = good.select(F.col("id").cast("long").alias("doc_id"), F.lit("record").alias("kind"), "label")
+    number = F.regexp_extract(readers.BROKEN, '"id":"([0-9]+)', 1).cast("long")
+    return known.union(bad.select(number, F.when(F.startswith(readers.BROKEN, F.lit("{")), "half").otherwise("broken"), F.lit(None).cast("int")))
+
+
+@query("WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position, count(*) OVER () AS n FROM documents) SELECT doc_id, position FROM p WHERE position >= 2 * n // 5")
+def resume_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of several files, of which the first two fifths have their replies in a positional cache: what a rerun has to do."""
+    path, done = new_folder(spark, "records"), new_folder(spark, "replies")
+    documents(spark, sf_dir).repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("solution")).write.json(path)
+    records = readers.positioned(readers.jsonl(spark, path, readers.SOLUTIONS))
+    n = records.count()
+    writers.append_cache(records.where(F.col("position") < 2 * n // 5).select(F.col("position").cast("int").alias("idx"), F.lit(1).alias("trace_pred")), done)
+    return votes.unanswered(records, readers.replies(spark, done)).select(F.col("id").cast("long").alias("doc_id"), "position")
+
+
 # ---- caches
 
 
@@ -85,6 +115,50 @@ def cache_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.vote_cache(spark, path).select("id", F.col("votes")["a"].alias("label"))
 
 
+@query("SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 5 = 0 THEN 'fourth' WHEN doc_id % 2 = 0 THEN 'second' ELSE 'first' END AS a, CASE WHEN doc_id % 3 = 0 THEN 'third' ELSE '-' END AS b, CASE WHEN doc_id % 5 = 0 THEN 'fourth' WHEN doc_id % 3 = 0 THEN 'third' ELSE '-' END AS c FROM documents")
+def cache_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bucketed cache after three appends, its compaction, and an append after that: each model's last label stands."""
+    path, k = new_folder(spark, "buckets"), F.col("doc_id")
+    d = documents(spark, sf_dir)
+
+    def add(label: str, every: int, *models: str) -> None:
+        own = F.map_from_arrays(F.array(*[F.lit(m) for m in models]), F.array(*[F.lit(label) for _ in models]))
+        caches.append(d.where(F.pmod(k, F.lit(every)) == 0).select(k.cast("string").alias("id"), own.alias("model_labels")), path, 16)
+
+    add("first", 1, "a")
+    add("second", 2, "a")
+    add("third", 3, "b", "c")
+    caches.compact(spark, path)
+    add("fourth", 5, "a", "c")
+    return caches.read(spark, path).select("id", *[F.coalesce(F.col("votes")[m], F.lit("-")).alias(m) for m in ("a", "b", "c")])
+
+
+class Stopped(Exception):
+    """Raised in the middle of a run, as a cluster would end it."""
+
+
+@query(f"WITH {CTE['traces']}, p AS (SELECT id, ((id * 37 + 11) % 1000)::DOUBLE / 1000 AS prob FROM traces) SELECT id::VARCHAR AS id, CASE WHEN prob < 0.36::DOUBLE THEN 'safe' ELSE 'unsafe' END AS label FROM p")
+def resumed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces as a stream of files, labelled batch by batch into a cache; the run is stopped after its second batch is written
+    and before it is committed, and started again."""
+    source, cache, checkpoint = (new_folder(spark, name) for name in ("stream", "labels", "progress"))
+    inputs.traces(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "query", F.col("trace").alias("reasoning_trace")).repartition(4, "id").write.json(source)
+    label = lambda rows: rows.select("id", cascade.by_probability(F.pmod(F.col("id").cast("long") * 37 + 11, F.lit(1000)) / 1000.0).alias("label"))
+    stream = lambda: spark.readStream.schema(readers.TRACES).option("maxFilesPerTrigger", 1).json(source)
+
+    def stop(number: int) -> None:
+        if number == 1:
+            raise Stopped
+
+    first = streams.resumed(stream(), cache, checkpoint, label, stop)
+    try:
+        first.awaitTermination()
+    except StreamingQueryException:
+        pass
+    streams.resumed(stream(), cache, checkpoint, label).awaitTermination()
+    return streams.labelled(spark, cache, "id string, label string").select("id", "label")
+
+
 @query(f"WITH r AS (SELECT doc_id, {pick_sql(('Human', None, None, '?'), 'doc_id')} AS label, {pick_sql(('x', 'llm', '?', 'human'), 'doc_id')} AS vote FROM documents) SELECT doc_id::VARCHAR AS id, CASE doc_id % 4 WHEN 0 THEN 'human' WHEN 1 THEN 'ai' ELSE 'unknown' END AS label FROM r WHERE doc_id % 4 <> 2")
 def legacy_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, k = new_folder(spark, "legacy"), F.col("doc_id")
