@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..functions import fixed, sql
 from ..functions import scores as S
 from ..functions.text import TALLY, stage, tally, tokens
 from ..operators import cascade, features, metrics, steps, tuning, votes
@@ -335,6 +335,13 @@ def content_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("a").alias("query_words"), F.size("b").alias("trace_words"), F.round(S.jaccard(F.col("a"), F.col("b")), 6).alias("overlap"))
 
 
+@query(f"{EVIDENCE} SELECT doc_id, refusal, round(o, 6) AS overlap, {RULE.format(o=0.08, n=3500)} AS label FROM ev")
+def sql_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade through the functions that a session's SQL gets."""
+    sql.register(spark)
+    return spark.sql("SELECT doc_id, refuses(trace) AS refusal, round(overlap(query, trace), 6) AS overlap, rule_label(query, trace) AS label FROM {gold}", gold=inputs.gold(spark, sf_dir))
+
+
 @query(f"{EVIDENCE} SELECT doc_id, {RULE.format(o=0.08, n=3500)} AS label FROM ev")
 def rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence(spark, sf_dir).select("doc_id", cascade.rule().alias("label"))
@@ -477,6 +484,13 @@ def steps_by_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed(spark, sf_dir, steps.by_marker)
 
 
+@query(f"WITH {CTE['traces']}, {MARKED} SELECT id, (generate_subscripts(steps, 1) - 1)::INTEGER AS step_idx, unnest(steps) AS step FROM split")
+def sql_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps through the table function that a session's SQL gets."""
+    sql.register(spark)
+    return spark.sql("SELECT id, step_idx, step FROM {traces}, LATERAL reasoning_steps(trace)", traces=inputs.traces(spark, sf_dir))
+
+
 @query(f"WITH {CTE['traces']}, s AS (SELECT id, list_filter(list_transform(regexp_split_to_array(trace, '(?i)(?:Step|Bước|Schritt|Étape|Paso|步骤|步驟)[ \\t\\n\\x0B\\f\\r]*[0-9]+[ \\t\\n\\x0B\\f\\r]*[:：.]'), lambda s: {strip_sql('s')}), lambda s: s <> '') AS steps FROM traces WHERE trace <> '') SELECT id, array_to_string(list_transform(steps, lambda s: CASE WHEN id % 2 = 0 THEN '1.0' ELSE '0.0' END), '|') AS scores FROM s WHERE len(steps) > 0")
 def steps_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = inputs.traces(spark, sf_dir).where("trace <> ''")

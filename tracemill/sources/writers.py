@@ -26,7 +26,8 @@ def zipped(spark: SparkSession, folder: str, target: str, name: str = "submissio
 
 
 def append_cache(df: DataFrame, path: str) -> None:
-    """Adds lines to a cache. All of one append carry its time, which orders them behind those of earlier appends."""
+    """Adds lines to a cache. All of one append carry its time by the driver's clock, which orders them behind those of earlier
+    appends; drivers whose clocks differ use caches.append(), which numbers appends."""
     df.withColumn("batch", F.lit(time.time_ns())).write.mode("append").json(path)
 
 
