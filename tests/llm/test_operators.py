@@ -95,6 +95,11 @@ def test_url_rules_and_templates(spark, empty):
     assert judge(empty.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"))).count() == 0
 
 
+def alike(b1, g1, b2, g2):
+    p = (b1 + b2) / (b1 + b2 + g1 + g2)
+    return (b1 / (b1 + g1) - b2 / (b2 + g2)) ** 2 <= 3.8416 * p * (1 - p) * (1 / (b1 + g1) + 1 / (b2 + g2))
+
+
 def tree_by_hand(urls):
     """Templates of {(host, path): (n, bad, good)}, one node at a time."""
     shapes = {u: [re.sub("[0-9]+", "#", s) for s in u[1].split("/") if s] for u in urls}
@@ -120,15 +125,17 @@ def tree_by_hand(urls):
                 else:
                     below = [len(shapes[u]) - level - 1 for u in own]
                     rest[min(below), max(below)].append((seg, sum(urls[u][0] for u in own)))
-            branches = []
-            for _, seg, b, g in sorted(sure):
-                if branches:
-                    _, b1, g1 = branches[-1][-1]
-                    p = (b + b1) / (b + b1 + g + g1)
-                    if (b1 / (b1 + g1) - b / (b + g)) ** 2 <= 3.8416 * p * (1 - p) * (1 / (b1 + g1) + 1 / (b + g)):
-                        branches[-1].append((seg, b, g))
-                        continue
-                branches.append([(seg, b, g)])
+            cells, branches = defaultdict(list), []
+            for share, seg, b, g in sorted(sure):
+                cells[int(share * 64)].append((seg, b, g))
+            for _, own in sorted(cells.items()):
+                b, g = sum(x[1] for x in own), sum(x[2] for x in own)
+                if branches and all(alike(*x, b, g) for x in branches[-1][:2]):
+                    (b0, g0), low, held = branches[-1]
+                    branches[-1] = ((b0 + b, g0 + g), low, held + own)
+                else:
+                    branches.append(((b, g), (b, g), own))
+            branches = [held for _, _, held in branches]
             for own in branches:
                 for seg, *_ in own:
                     names[host, at, seg] = seg if len(own) == 1 else min(x[0] for x in own) + "+"
@@ -155,6 +162,24 @@ def test_url_tree_as_by_hand(spark):
     assert got == tree_by_hand(urls) and len(set(got.values())) < len(got) / 3
 
 
+def test_similarity_is_not_handed_on(spark):
+    """Siblings with 0, 1, ... 20 bad pages of 20: no branch holds two that differ, so clean and bad ones stay apart."""
+    names = [f"s{chr(97 + k)}" for k in range(21)]
+    rows = spark.createDataFrame([("h.net", f"/{s}/x", 20, k, 20 - k) for k, s in enumerate(names)], "host string, path string, n long, bad long, good long")
+    branch = defaultdict(list)
+    for r in templates(rows).collect():
+        branch[r["template"]].append(r["bad"])
+    assert sorted(x for own in branch.values() for x in own) == list(range(21)) and 3 <= len(branch) < 12
+    assert all(alike(a, 20 - a, b, 20 - b) for own in branch.values() for a in own for b in own)
+
+
+def test_depth_is_a_parameter(spark):
+    path = "/" + "/".join(f"s{chr(97 + k)}" for k in range(15))
+    rows = spark.createDataFrame([("h.net", path, 9, 9, 0), ("h.net", path + "x", 9, 0, 9)], "host string, path string, n long, bad long, good long")
+    assert [r["template"].count("/") for r in templates(rows).collect()] == [13, 13] and templates(rows).select("template").distinct().count() == 1
+    assert sorted(r["template"] for r in templates(rows, depth=None).collect()) == [path, path + "x"]
+
+
 def test_variable_segments_below_variable_segments(spark):
     letters = "abcdefghijklmnopqrst"
     urls = [(f"http://h.net/user/{x * 3}/item/{y}",) for x in letters for y in ("red", "blue", "tall", "wide")] + [("http://h.net/about",), ("http://h.net/help/",)]
