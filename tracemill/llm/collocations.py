@@ -28,9 +28,9 @@ from .common import packed, quoted, slices, stage_table, unpacked
 from .rows import batch, ranked, run_starts
 
 #: Words of a chunk, cells of a tile's side, tiles a side that are counted by address, words for each bucket of sparse tiles, chunks for each salt.
-CHUNK, SIDE, DENSE, BUCKET, SALT = 2_000_000, 1024, 4, 4_000_000, 64
-#: Entries that a task holds before it adds them up.
-HELD = 4_000_000
+CHUNK, SIDE, DENSE, BUCKET, SALT = 2_000_000, 1024, 4, 4_000_000, 16
+#: Entries that a task holds before it adds them up, and parts of a language whose best phrases are found on their own first.
+HELD, PARTS = 4_000_000, 64
 
 CHUNKS = "chunk long, langs array<string>, words array<binary>, lang array<long>, n array<long>, codes binary"
 CELLS = "tile long, salt long, chunk long, cells binary, counts binary"
@@ -354,9 +354,12 @@ def collocations(docs: DataFrame, least: int = 10, most: int = 2000, within: int
     cuts = three.withColumn("s1", ratio("a3", "f_one", "a23")).withColumn("s2", ratio("a3", "a12", "f_three"))
     late = F.col("s2") < F.col("s1")
     trigrams = cuts.select("lang", "one", "two", "three", F.col("a3").alias("a"), F.when(late, F.col("a12")).otherwise(F.col("f_one")).alias("l"), F.when(late, F.col("f_three")).otherwise(F.col("a23")).alias("r"), F.least("s1", "s2").alias("score"))
-    # those that tie with the last one stay until their words are known
-    by = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc())
-    best = stage_table(bigrams.union(trigrams).withColumn("place", F.rank().over(by)).where(F.col("place") <= most).drop("place"), "best")
+    # first of parts of a language, then of it; those that tie with the last one stay until their words are known
+    best = bigrams.union(trigrams).withColumn("part", F.pmod(F.xxhash64("one", "two", "three"), F.lit(PARTS)))
+    for keys in (("lang", "part"), ("lang",)):
+        by = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("a").desc())
+        best = best.withColumn("place", F.rank().over(by)).where(F.col("place") <= most).drop("place")
+    best = stage_table(best.drop("part"), "best")
     for at in ("one", "two", "three"):
         best = best.join(vocabulary.select(F.col("rank").alias(at), F.col("word").alias(f"w_{at}")), at, "left")
     phrase = F.concat("w_one", F.lit(b" "), "w_two", F.coalesce(F.concat(F.lit(b" "), "w_three"), F.lit(b"")))
