@@ -11,7 +11,7 @@ index a token. A chunk ships its distinct words and pairs once, with their count
 hashes; each range adds up the counts of all chunks and answers every chunk that has documents to score with the totals
 of what it asked for, and the chunk scores its documents. So a hot n-gram is one entry a chunk, what is counted grows
 with the corpus, and no task holds more than a chunk or a range. Within its range, a hash is told by KEY_BITS bits
-(a range holds up to a million distinct pairs, of which two share theirs with a chance of one in ten thousand).
+(a range holds up to a million distinct pairs, of which two share theirs with a chance of at most one in a hundred).
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import mix, packed, quoted, slices, spans, stage_table, text_bytes, unpacked, words
 
 #: Tokens and documents of a chunk, bytes of text for each range of hashes, bits of a hash within its range, weight of unigrams.
-CHUNK_TOKENS, CHUNK_DOCS, SHARD_BYTES, KEY_BITS, PRIOR = 1_000_000, 100_000, 8 << 20, 52, 4.0
+CHUNK_TOKENS, CHUNK_DOCS, SHARD_BYTES, KEY_BITS, PRIOR = 1_000_000, 100_000, 8 << 20, 46, 4.0
 FIRST = np.uint64(0x243F6A8885A308D3)  # stands for the start of a document where pairs are hashed
 BACKGROUND, TARGET = 1, 2  # flags of a document
 
@@ -121,7 +121,7 @@ def asked(shard_bits: int):
         short = (keys << shift) >> rest
         start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else shard
         own = [[x[order].astype(np.uint64) for x in c] for c in counts]
-        return {int(shard[s]): [packed(np.diff(short[s:e], prepend=np.uint64(0)), 7), *(packed(np.concatenate([x[s:e] for x in c]), 5) for c in own)] for s, e in spans(start, len(shard))}
+        return {int(shard[s]): [packed(np.diff(short[s:e], prepend=np.uint64(0)), 6), *(packed(np.concatenate([x[s:e] for x in c]), 5) for c in own)] for s, e in spans(start, len(shard))}
 
     def run(chunk: pa.Table, wanted: pa.Table) -> pa.Table:
         if not chunk.num_rows:
@@ -139,7 +139,7 @@ def totals(part: pa.Table) -> pa.Table:
     chunks, shard = part["chunk"].to_pylist(), part["shard"][0].as_py()
     answers, sums = {}, {}
     for key, names in (("words", ("n", "ends")), ("pairs", ("m",))):
-        own = [np.cumsum(unpacked(x, 7), dtype=np.uint64) for x in part[key].to_pylist()]
+        own = [np.cumsum(unpacked(x, 6), dtype=np.uint64) for x in part[key].to_pylist()]
         size = [len(x) for x in own]
         every, at = np.unique(np.concatenate(own), return_inverse=True)
         sums[key], first = len(every), np.cumsum([0, *size])
