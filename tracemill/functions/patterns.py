@@ -107,7 +107,7 @@ WIDE = r"[^\x00-\x{24f}]"
 
 
 #: Patterns of one alternation, at most.
-GROUP = 12
+GROUP = 4
 
 
 @lru_cache(maxsize=None)

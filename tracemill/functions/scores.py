@@ -216,9 +216,10 @@ def sentence_score(sentence: Column, refusal=has_refusal) -> Column:
 
 
 @lru_cache(maxsize=1)
-def plain_class() -> str:
-    """A class of characters that NFKC may change or join with others: all but the long runs of those that it surely leaves as
-    they are, wherever they stand. Read off the Unicode tables of Python, whose NFKC is applied."""
+def plain_class() -> tuple[str, str]:
+    """Patterns of a character that NFKC may change or join with others: all but the long runs of those that it surely leaves as
+    they are, wherever they stand. The first pattern has Latin runs alone, and finds all others too; the second has all, a
+    dozen to a class, as a class looks at all its runs. Read off the Unicode tables of Python, whose NFKC is applied."""
     joining = set()
     for i in range(0x110000):
         own = unicodedata.decomposition(chr(i))
@@ -237,7 +238,18 @@ def plain_class() -> str:
             if i - start >= 6:
                 runs.append((start, i - 1))
             start = None
-    return "[^" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
+    listed = lambda own: "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in own)
+    parts = [runs[k : k + 12] for k in range(0, len(runs), 12)]
+    ends = [own[0][0] - 1 for own in parts[1:]] + [0x10FFFF]
+    blocks = [rf"[\x{{{start:x}}}-\x{{{end:x}}}&&[^{listed(own)}]]" for own, start, end in zip(parts, [0] + [e + 1 for e in ends[:-1]], ends, strict=True)]
+    # what is not ASCII is looked for first, as most characters are
+    return rf"[\x{{80}}-\x{{10ffff}}&&[^{listed([r for r in runs if r[1] < 0x250])}]]", "|".join(blocks)
+
+
+def may_change(t: Column) -> Column:
+    """Whether a text holds a character that NFKC may change or join."""
+    latin, full = plain_class()
+    return (F.octet_length(t) > F.length(t)) & F.rlike(t, F.lit(latin)) & F.rlike(t, F.lit(full))
 
 
 @F.pandas_udf(T.StringType())
@@ -247,7 +259,7 @@ def _nfkc(t: pd.Series) -> pd.Series:
 
 def nfkc(t: Column) -> Column:
     """Spark has no Unicode normalisation. Texts without a character that it may change never go to Python; nulls stand for them there."""
-    return F.coalesce(_nfkc(F.when(F.rlike(t, F.lit(plain_class())), t)), t)
+    return F.coalesce(_nfkc(F.when(may_change(t), t)), t)
 
 
 def content_tokens(text: Column | str, normalise: bool = True) -> Column:

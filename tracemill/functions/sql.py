@@ -72,7 +72,8 @@ def register(spark: SparkSession, patterns: Iterable[str] = fixed.REFUSAL_PATTER
     bare = f"regexp_replace({spread}, {quoted(rf'[^\p{{L}}\p{{N}}_{fixed.CJK}{WS_IN}]+')}, '')"
     stops = f"from_json({quoted(json.dumps(list(stop_words)))}, 'array<string>')"
     words = f"array_distinct(filter(split({bare}, {quoted(f'{WS}+')}, -1), w -> length(w) > 1 AND NOT array_contains({stops}, w)))"
-    plain = f"coalesce(nfkc_of(if(rlike(t, {quoted(plain_class())}), t, NULL)), t, '')"
+    latin, full = plain_class()
+    plain = f"coalesce(nfkc_of(if(rlike(t, {quoted(latin)}) AND rlike(t, {quoted(full)}), t, NULL)), t, '')"
     scalar = {
         "refuses(t STRING) RETURNS BOOLEAN": refuses,
         "reasons_about_safety(t STRING) RETURNS BOOLEAN": any_pattern(clean("t"), fixed.SAFETY_PATTERNS),
