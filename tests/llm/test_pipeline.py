@@ -59,7 +59,7 @@ def test_stages(spark):
 
 def test_run_and_registration(spark):
     assert P.run(spark, SF).count() > 0
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)} and set(SQL) <= set(QUERIES)
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)} and set(SQL) <= set(QUERIES)
 
 
 #: Rows with nulls in every column, empty, repeated and very long texts, ties, and columns named as inner ones might be.
