@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.llm import collocations as C
+from tracemill.llm import vector_search as S
 from tracemill.llm.collocations import collocations
 from tracemill.llm.conversation_trie import numbered, prefix_trie, renamed, with_heads
 from tracemill.llm.rows import list_digests
@@ -57,6 +58,19 @@ def test_search_against_brute_force(spark):
     assert sorted(map(tuple, got.collect()), key=str) == nearest(rows, 5)
 
 
+@pytest.mark.parametrize(("limit", "parts"), [(8 << 20, {1}), (8 * 8 * 3, set(range(4, 12)))])
+def test_queries_are_searched_in_parts_by_their_bytes(spark, monkeypatch, limit, parts):
+    """However many partitions they come in: 10 queries of 8 components, then at most three a part."""
+    calls, own = [], S.searched
+    monkeypatch.setattr(S, "QUERY_BYTES", limit)
+    monkeypatch.setattr(S, "searched", lambda spark, blocks, ids, v, k: calls.append(len(ids)) or own(spark, blocks, ids, v, k))
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(500)]
+    got = top_k(vectors(spark, rows).repartition(23), 5, "id % 50 = 0")
+    assert sorted(map(tuple, got.collect()), key=str) == nearest(rows, 5)
+    assert len(calls) in parts and sum(calls) == 10 and max(calls) <= limit // 64
+
+
 def test_search_with_huge_components(spark):
     """Scores beyond what sums in double precision hold are exact; those beyond 64 bits stand at the end."""
     rows = [(0, [2.0**22 + 0.25, 3.0]), (1, [2.0**22, 1.0]), (2, [2.0**22, 1.25]), (3, [1e300, 1.0]), (4, [2.0**21, 5.5])]

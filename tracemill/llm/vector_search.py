@@ -7,8 +7,8 @@ upper bound reaches the kth largest lower bound so far; over all tasks, those th
 vectors are then read in the order of the upper bounds: a first read of a few candidates a query gives a kth score, a
 second reads those alone whose upper bound still reaches it, after which the result is certain.
 
-Queries are searched in parts of QUERY_BYTES at most, which are broadcast one after the other; blocks are never
-shuffled. Of equal vectors the k + 1 smallest identifiers are candidates, as no more can be in a result that leaves out the
+Queries are searched in parts of QUERY_BYTES at most, which are broadcast one after the other; as many parts are dealt as
+their bytes ask for, however many partitions the rows come in. Blocks are never shuffled. Of equal vectors the k + 1 smallest identifiers are candidates, as no more can be in a result that leaves out the
 query's own, so a vector in a third of all rows is a few candidates.
 """
 
@@ -224,7 +224,9 @@ def top_k(rows: DataFrame, k: int, is_query: str, id_col: str = "vec_id", vector
     order = Window.partitionBy("v").orderBy(F.col("id").asc_nulls_last())
     candidates = vectors(own).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select("id", "v")
     blocks = stage_table(candidates.mapInArrow(packs, BLOCKS), "blocks")
-    parts = stage_table(vectors(own.where(is_query)).mapInArrow(parted, PARTS), "queries")
+    asked = stage_table(vectors(own.where(is_query)), "asked")
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("v") * 4), F.lit(0))).first()[0]  # as doubles, of the least integers' two bytes
+    parts = stage_table(asked.repartition(max(1, -(-size // QUERY_BYTES))).mapInArrow(parted, PARTS), "queries")
     path = f"{checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
     schema = "query_id long, rank int, id long, score long"
     spark.createDataFrame([], schema).write.parquet(path)
