@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from tracemill.llm import common
 from tracemill.llm.embedding_dedup import Rotations, near_vectors
-from tracemill.llm.exact_dedup import PatriciaTrie, exact_dedup, keep_one
+from tracemill.llm.exact_dedup import NODE_BYTES, PatriciaTrie, exact_dedup, keep_one, local_tries
 from tracemill.llm.lm_scoring import score_by_difference
 from tracemill.llm.mixing import mix, mix_rates
 from tracemill.llm.packing import cuts, pack
@@ -318,6 +318,48 @@ def test_a_trie_filled_in_order_holds_one_path():
         assert [b for b, _ in got] == sorted(set(keys)) and sorted(x for _, v in got for x in v[3]) == list(range(len(keys)))
 
 
+def test_a_trie_sheds_whole_subtrees():
+    for seed in range(40):
+        rng = random.Random(seed)
+        keys = {bytes(rng.choice(b"ab") for _ in range(rng.randrange(12))) for _ in range(60)}
+        trie = PatriciaTrie()
+        for i, k in enumerate(sorted(keys)):
+            trie.insert(k, i, i)
+        goal = rng.randrange(trie.size)
+        before, out = trie.size, [k for k, _ in trie.shed(goal)]
+        left = [k for k, _ in trie.items()]
+        assert sorted(out + left) == sorted(keys) and goal <= before - trie.size <= goal + 12 + NODE_BYTES
+        assert trie.size == sum(len(k) + NODE_BYTES for k in left)
+        gone = set(out)
+        for i, k in enumerate(out):  # what went lies below a common node, but for the ways to it
+            assert not any(k.startswith(x) and k != x for x in out[:i])
+        for k in keys:  # a trie that has shed takes strings again
+            trie.insert(k, 1, 1)
+        assert sorted(k for k, _ in trie.items()) == sorted(keys) and gone <= keys
+
+
+def test_the_largest_trie_is_spilled_first(monkeypatch):
+    monkeypatch.setattr("tracemill.llm.exact_dedup.TaskContext", type("Here", (), {"get": staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 0})())}))
+    texts = ["a" * 5, "b" * 30, "c" * 20000, "d" * 9000]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(texts)], names=["id", "text"])
+    told = [b for out in local_tries("largest", 25000)(iter([batch])) for b in out["body"].to_pylist() if b is not None]
+    assert [len(b) for b in told] == [20000, 9000, 30, 5]
+
+
+def test_rows_that_repeat_meet_as_one_a_task(spark):
+    """The row that stays, with a map beside it; its copies are settled before they are shuffled."""
+    rows = [(7, "Same Text", f"s{i % 3}", {"k": i % 3}) for i in range(300)] + [(8, "other", None, None), (None, "x", "b", {}), (None, "X", "a", {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `so.urce` string, m map<string,int>").repartition(6)
+    for d, m in ((docs, {"k": 0}), (docs.drop("m"), None)):
+        got = keep_one(d)
+        assert got.columns == d.columns
+        assert sorted(((r[0] or 0), r[1], r[2] or "") for r in got.collect()) == [(0, "X", "a"), (7, "Same Text", "s0"), (8, "other", "")]
+        if m:
+            assert got.where("doc_id = 7").first()["m"] == m
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and ("partial_min(" in plan or "partial_min_by(" in plan)
+
+
 def test_tries_that_are_spilled_lose_nothing(spark, docs, monkeypatch):
     monkeypatch.setattr("tracemill.llm.exact_dedup.TRIE_BYTES", 2000)
     monkeypatch.setattr("tracemill.llm.exact_dedup.BITS", 1)

@@ -5,8 +5,8 @@ bits of a content hash, and whole byte strings of one such part are inserted int
 is of bytes, never of hashes. A terminal node stores the owner's identifier and row and the count.
 
 First, each task collapses its own copies in tries, one for each part, and gives every row the number of its terminal;
-a group of copies that holds a third of all rows thus goes on as one string a task. Tries over their budget are spilled,
-the largest first; a spilled string that comes again opens another terminal. Second, the strings of all tasks meet by
+a group of copies that holds a third of all rows thus goes on as one string a task. Tries over their budget are spilled
+by subtree, those of the largest trie first; a spilled string that comes again opens another terminal. Second, the strings of all tasks meet by
 part in the order of their bytes, a sort that Spark spills to disk. A trie that is filled in this order is complete to
 the left of its last path, so those subtrees are settled and dropped at once, and a task holds one path. Each terminal
 of the first step learns its owner from the terminal it ended in, and rows are labelled through their terminals.
@@ -20,13 +20,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, fresh, quoted, slices, stage_table
 
-#: Distinct bytes that a task keeps in its tries, bits of the content hash that deal strings of one length.
-TRIE_BYTES, BITS = 48 << 20, 12
+#: Distinct bytes that a task keeps in its tries, what a terminal takes beside its string, bits of the content hash that
+#: deal strings of one length.
+TRIE_BYTES, NODE_BYTES, BITS = 48 << 20, 500, 12
 
 LOCAL = pa.schema([("terminal", pa.int64()), ("row", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("length", pa.int64()), ("bits", pa.int32()), ("body", pa.binary())])
 LOCAL_DDL = "terminal long, row long, id long, n long, length long, bits int, body binary"
@@ -74,7 +75,7 @@ class PatriciaTrie:
             node = child
 
     def opened(self, key: bytes, owner: int | None, row: int, n: int, name: int | None) -> list:
-        self.size += len(key) + 500
+        self.size += len(key) + NODE_BYTES
         return [owner, row, n, [row if name is None else name]]
 
     def merged(self, held: list, owner: int | None, row: int, n: int, name: int | None) -> None:
@@ -95,6 +96,24 @@ class PatriciaTrie:
                 yield whole, node[2]
             stack += [(child, whole) for child in node[1].values()]
 
+    def shed(self, goal: int) -> Iterator[tuple[bytes, list]]:
+        """Takes out subtree after subtree, the terminals below a node before its own, until `goal` bytes are gone."""
+        least, path = self.size - goal, [(self.root, self.root[0], None, 0)]
+        while path and self.size > least:
+            node, whole, parent, first = path[-1]
+            if node[1]:
+                below, child = next(iter(node[1].items()))
+                path.append((child, whole + child[0], node, below))
+                continue
+            path.pop()
+            if node[2] is not None:
+                self.size -= len(whole) + NODE_BYTES
+                yield whole, node[2]
+            if parent is None:
+                self.root = [b"", {}, None]
+            else:
+                del parent[1][first]
+
     def settled(self, key: bytes) -> Iterator[tuple[bytes, list]]:
         """Takes out the subtrees that lie before a string: no string that follows it in order can reach them."""
         node, at = self.root, 0
@@ -130,17 +149,19 @@ def local_tries(keep: str, budget: int):
         def spilled(most: int) -> Iterator[pa.RecordBatch]:
             nonlocal held
             out, size = [], 0
-            for part in sorted(tries, key=lambda p: tries[p].size):
+            for part in sorted(tries, key=lambda p: tries[p].size, reverse=True):
                 if held <= most:
                     break
-                trie = tries.pop(part)
-                held -= trie.size
-                for body, (owner, at, n, names) in trie.items():
+                trie, before = tries[part], tries[part].size
+                for body, (owner, at, n, names) in trie.shed(held - most):
                     out.append((names[0], at, owner, n, *part, body))
                     size += len(body)
                     if size > 4 << 20:
                         yield rows_of(out, LOCAL)
                         out, size = [], 0
+                held -= before - trie.size
+                if not trie.size:
+                    del tries[part]
             if out:
                 yield rows_of(out, LOCAL)
 
@@ -218,14 +239,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of docs that stay, with all their columns, whatever their names; of repeated rows with one identifier and
-    text, one. Nulls and empty tables as in exact_dedup()."""
-    own, nil, own_sha, n, key, null, sha = fresh(docs.columns, "own", "nil", "own_sha", "n", "key", "null", "sha")
+    """The rows of docs that stay, with all their columns, whatever their names. Of repeated rows with one identifier and
+    text, the least by all columns in their order stays (maps, which have no order, are passed over). Nulls and empty
+    tables as in exact_dedup()."""
+    own, nil, own_sha, key, null, sha, row = fresh(docs.columns, "own", "nil", "own_sha", "key", "null", "sha", "row")
     stay = labelled(docs, id_col, text_col, keep).where("kept").select(F.coalesce("id", F.lit(0)).alias(own), F.col("id").isNull().alias(nil), F.col("sha").alias(own_sha))
     id_ = quoted(id_col).cast("long")
-    marked = docs.select("*", F.coalesce(id_, F.lit(0)).alias(key), id_.isNull().alias(null), F.unhex(F.sha2(ascii_lower(F.coalesce(quoted(text_col), F.lit(""))), 256)).alias(sha))
-    # the join and the window deal rows by the same columns, so that texts are shuffled once
-    kept = marked.join(stay, (F.col(key) == F.col(own)) & (F.col(null) == F.col(nil)) & (F.col(sha) == F.col(own_sha)), "left_semi")
-    others = [quoted(c) for c, t in docs.dtypes if t in ("string", "bigint", "int", "double") and c not in (id_col, text_col)][:8]
-    first = F.row_number().over(Window.partitionBy(key, null, sha).orderBy(*others or [F.lit(1)]))
-    return kept.withColumn(n, first).where(F.col(n) == 1).drop(n, key, null, sha)
+    named = [F.coalesce(id_, F.lit(0)).alias(key), id_.isNull().alias(null), F.unhex(F.sha2(ascii_lower(F.coalesce(quoted(text_col), F.lit(""))), 256)).alias(sha)]
+    # a task settles its own repeated rows before the exchange, and the join reads that exchange: texts are shuffled once
+    whole, ordered = F.struct("*"), [quoted(c) for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    least = F.min(row) if len(ordered) == len(docs.columns) else F.min_by(F.col(row), F.col(f"{row}_order"))
+    given = docs.select(*named, whole.alias(row), *([] if len(ordered) == len(docs.columns) else [F.struct(*ordered).alias(f"{row}_order")]))
+    once = given.groupBy(key, null, sha).agg(least.alias(row))
+    kept = once.join(stay, (F.col(key) == F.col(own)) & (F.col(null) == F.col(nil)) & (F.col(sha) == F.col(own_sha)), "left_semi")
+    return kept.select(f"{row}.*")
