@@ -13,10 +13,12 @@ under three shingles say little and are not indexed; where the agreeing blocks o
 texts), more forests with other hashes are kept, until the chance of that is under MISS for each link. Beyond 300 blocks
 a third of them, 100 and more, agree at a link's worst, so one forest is enough.
 
-A leaf's points are compared with its smallest alone (all pairs in a leaf of four or fewer). Leaves with points that do
-not link with their smallest are opened: the points below one smallest are dealt into pages by size and hash, and pairs
-of pages are compared in one task each, which emits a spanning forest of the links that it finds and never a pair that
-is no link. So no link between components is lost, and no group emits all of its pairs. Points are distinct sets:
+A leaf's points are compared with its smallest alone (all pairs in a leaf of four or fewer). Leaves whose points are not
+all in one component of the links so found are opened. Leaves that share most of their points are gathered into one group,
+so that a point comes in few groups however many leaves it lies in. A group is cut into pages, the points of its largest
+component first, and pairs of pages that can hold a link between components are compared in one task each, which emits
+a spanning forest of such links and never a pair that is no link. So no link between components is lost, no group emits
+all of its pairs, and the pages of a large component meet those of points outside it alone. Points are distinct sets:
 copies collapse before anything is compared.
 """
 
@@ -29,7 +31,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, mix, planes, slices, spans, stage_table, text_bytes, unplanes, word_hashes
@@ -351,16 +353,16 @@ def summed_minima(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def compared(num: int, den: int):
-    """Of one pair of pages: a spanning forest of the links between points of different components."""
+    """Of one pair of pages: a spanning forest of the links between points of different components, as pairs of those."""
 
-    def run(key: tuple, page: pa.Table) -> pa.Table:
-        low, i, j = (k.as_py() for k in key[1:])
-        names, band, chunk = (np.asarray(page[c]) for c in ("sid", "band", "chunk"))
-        sets = [np.cumsum(unplanes(x, 6), dtype=np.uint64) for x in page["shingles"].to_pylist()]
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        i, j = (k.as_py() for k in key[1:])
+        component, page = np.asarray(rows["component"]), np.asarray(rows["page"])
+        sets = [np.cumsum(unplanes(x, 6), dtype=np.uint64) for x in rows["shingles"].to_pylist()]
         n = np.array([len(x) for x in sets], dtype=np.int64)
         counts = np.stack([np.bincount((x >> np.uint64(42)).astype(np.int64), minlength=GROUPS) for x in sets]).astype(np.int32)
-        part = np.unique(np.asarray(page["component"]), return_inverse=True)[1]
-        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        part = np.unique(component, return_inverse=True)[1]
+        left, right = np.flatnonzero(page == i), np.flatnonzero(page == j)
         edges: list[tuple[int, int]] = []
         if not len(left) or not len(right):
             return pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
@@ -372,22 +374,22 @@ def compared(num: int, den: int):
                 continue
             y = np.concatenate(mates)
             both = n[x][:, None] + n[y][None, :]
-            ok = (part[x][:, None] != part[y][None, :]) & (np.minimum(band[x][:, None], band[y][None, :]) == low)
+            ok = part[x][:, None] != part[y][None, :]
             if i == j:
                 ok &= x[:, None] < y[None, :]
             ok &= np.minimum(n[x][:, None], n[y][None, :]) * den >= np.maximum(n[x][:, None], n[y][None, :]) * num
             if not ok.any():
                 continue
             ok &= summed_minima(counts[x], counts[y]) * (den + num) >= num * both
-            rows, cols = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
-            if not len(rows):
+            rows_, cols = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
+            if not len(rows_):
                 continue
-            common = overlaps([sets[r] for r in x[rows]], [sets[c] for c in y[cols]])
-            linked = ok[np.ix_(rows, cols)] & (common * (den + num) >= num * both[np.ix_(rows, cols)])
+            common = overlaps([sets[r] for r in x[rows_]], [sets[c] for c in y[cols]])
+            linked = ok[np.ix_(rows_, cols)] & (common * (den + num) >= num * both[np.ix_(rows_, cols)])
             for r, c in zip(*np.nonzero(linked), strict=True):
-                u, v = x[rows[r]], y[cols[c]]
+                u, v = x[rows_[r]], y[cols[c]]
                 if part[u] != part[v]:
-                    edges.append((int(names[u]), int(names[v])))
+                    edges.append((int(component[u]), int(component[v])))
                     part[part == part[v]] = part[u]
         return pa.table([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
@@ -412,23 +414,59 @@ def overlaps(xs: list[np.ndarray], ys: list[np.ndarray], step: int = 2048) -> np
     return out.astype(np.int64)
 
 
-def opened(members: DataFrame, sure: DataFrame, points: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links among the points of leaves that hold points without a link to their leaf's smallest."""
+def gathered(members: DataFrame) -> DataFrame:
+    """(first, sid): groups of points, so that each leaf lies whole in one of them.
+
+    At first a group is all leaves with one smallest point. Groups of near copies overlap, so a leaf then goes to the
+    largest group that holds any of its points, if the points which that group lacks bring fewer rows than are saved.
+    """
     first = members.groupBy("leaf").agg(F.min("sid").alias("first"))
-    below = members.join(first, "leaf").select("sid", "first").distinct()
-    linked = sure.select(F.col("a").alias("sid"), F.col("b").alias("first"), F.lit(False).alias("apart")).distinct()
-    below = below.join(linked, ["sid", "first"], "left").withColumn("apart", F.coalesce("apart", F.col("sid") != F.col("first")))
-    below = below.join(points.select("sid", "n"), "sid")
-    pages = F.greatest(F.ceil(F.count("*") / PAGE), F.ceil(F.sum("n") / PAGE_SHINGLES))
-    open_ = below.groupBy("first").agg(F.max("apart").alias("apart"), pages.cast("int").alias("chunks")).where("apart").drop("apart")
-    # points with one part are linked through it already
-    part = sure.groupBy(F.col("a").alias("sid")).agg(F.min("b").alias("least"))
-    rows = below.select("sid", "first", "n").join(open_, "first").join(part, "sid", "left")
-    width = math.log(den / num) * 1.0001  # so that sizes of a link lie in one band or in two neighbours
-    dealt = rows.select("first", "sid", F.least("least", "sid").alias("component"), F.floor(F.log(F.col("n").cast("double")) / width).cast("int").alias("band"), "chunks", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int").alias("chunk"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("low", F.explode(F.array(F.col("band") - 1, F.col("band"))))
-    dealt = dealt.select("first", "low", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "sid", "band", "chunk", "component").join(sets, "sid")
-    return dealt.groupBy("first", "low", "i", "j").applyInArrow(compared(num, den), "a long, b long")
+    placed = stage_table(members.join(first, "leaf").select("leaf", "sid", "first"), "members")
+    own = stage_table(placed.select("first", "sid").distinct(), "groups")
+    largest = own.join(own.groupBy("first").agg(F.count("*").alias("size")), "first").groupBy("sid").agg(F.max(F.struct("size", "first")).alias("hub"))
+    asked = placed.join(largest, "sid").groupBy("leaf", "first").agg(F.max("hub").alias("hub"), F.count("*").alias("points")).where("hub.first <> first")
+    asked = placed.join(asked.select("leaf", F.col("hub.first").alias("to"), "hub.size", "points"), "leaf").select("leaf", "sid", "to", "size", "points")
+    held = own.select(F.col("first").alias("to"), "sid", F.lit(1).alias("held"))
+    lacks = asked.join(held, ["to", "sid"], "left").groupBy("leaf", "to", "size", "points").agg(F.count("*").alias("all"), F.count("held").alias("held"))
+    moved = lacks.where((F.col("all") - F.col("held")) * F.greatest(F.lit(1.0), F.col("size") / PAGE) * 2 <= F.col("points")).select("leaf", "to")
+    return placed.join(moved, "leaf", "left").select(F.coalesce("to", "first").alias("first"), "sid").distinct()
+
+
+def dealt(group: DataFrame, num: int, den: int) -> DataFrame:
+    """Points of (first, sid, n, component) by pairs of pages (first, i, j), without pairs that can hold no link between components.
+
+    A group that fits one page is that page. Points of others lie in their pages in the order of size, those of the
+    group's largest component first, so that its pages meet the pages of other points alone, and only of sizes that link.
+    """
+    load = F.greatest(F.count("*") / PAGE, F.sum("n") / PAGE_SHINGLES)
+    open_ = group.groupBy("first").agg(F.min("component").alias("low"), F.max("component").alias("high"), load.alias("load")).where("low <> high").select("first", "load")
+    rows = group.join(open_, "first")
+    single = rows.where("load <= 1").select("first", F.lit(0).alias("page"), F.lit(0).alias("i"), F.lit(0).alias("j"), "sid", "component")
+    rows = rows.where("load > 1").drop("load")
+    main = rows.groupBy("first", "component").agg(F.count("*").alias("size")).groupBy("first").agg(F.max(F.struct("size", "component")).alias("main"))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)) if den > num else F.col("n")
+    rows = rows.join(main, "first").select("first", "sid", "n", "component", (F.col("component") != F.col("main.component")).alias("other"), band.cast("int").alias("band"))
+    # strata are few; a point's place in its own is its hash
+    before = Window.partitionBy("first").orderBy("other", "band").rowsBetween(Window.unboundedPreceding, -1)
+    strata = rows.groupBy("first", "other", "band").agg(load.alias("load")).withColumn("before", F.coalesce(F.sum("load").over(before), F.lit(0.0)))
+    place = F.pmod(F.xxhash64("sid"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    paged = rows.join(strata, ["first", "other", "band"]).select("first", F.floor(F.col("before") + F.col("load") * place).cast("int").alias("page"), "sid", "n", "component")
+    paged = stage_table(paged, "pages")
+    page = paged.groupBy("first", "page").agg(*(f(c).alias(f"{k}_{c}") for c in ("n", "component") for k, f in (("low", F.min), ("high", F.max))))
+    x, y = page.alias("x"), page.alias("y")
+    sizes = (F.col("x.high_n") * den >= F.col("y.low_n") * num) & (F.col("y.high_n") * den >= F.col("x.low_n") * num)
+    apart = F.least("x.low_component", "y.low_component") != F.greatest("x.high_component", "y.high_component")
+    pairs = x.join(y, (F.col("x.first") == F.col("y.first")) & (F.col("x.page") <= F.col("y.page")) & sizes & apart).select("x.first", F.col("x.page").alias("i"), F.col("y.page").alias("j"))
+    sides = pairs.select("first", F.col("i").alias("page"), "i", "j").union(pairs.where("i < j").select("first", F.col("j").alias("page"), "i", "j"))
+    return single.union(paged.join(sides, ["first", "page"]).select("first", "page", "i", "j", "sid", "component"))
+
+
+def opened(members: DataFrame, known: DataFrame, points: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between the known components (node, component) of points that lie in one leaf, as pairs of components."""
+    own = known.select(F.col("node").alias("sid"), "component")
+    group = gathered(members).join(points.select("sid", "n"), "sid").join(own, "sid", "left").select("first", "sid", "n", F.coalesce("component", "sid").alias("component"))
+    rows = dealt(stage_table(group, "opened"), num, den).join(sets, "sid")
+    return rows.groupBy("first", "i", "j").applyInArrow(compared(num, den), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -450,8 +488,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = found.where(f"kind = {MEMBER}").select(F.col("a").alias("leaf"), F.col("b").alias("sid")).distinct()
     sets = set_table(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(members.select("sid")).distinct(), points, rows, width)
     sure = stage_table(links(pairs, points, sets, num, den), "links")
-    joined = components(sure.union(opened(members, sure, points, sets, num, den)))
-    joined = stage_table(joined, "components")
+    known = stage_table(components(sure), "known")
+    joined = stage_table(components(opened(members, known, points, sets, num, den)), "components")
+    # components that opened leaves join, and the points in them
+    whole = known.join(joined.select(F.col("node").alias("component"), F.col("component").alias("all")), "component", "left")
+    joined = whole.select("node", F.coalesce("all", "component").alias("component")).union(joined).distinct()
     placed = signed.select("id", "n", "sid").join(joined, F.col("sid") == F.col("node"), "left").select("id", "n", F.coalesce("component", "sid").alias("component"))
     least = placed.where("n > 0").groupBy("component").agg(F.min("id").alias("least"))
     some = placed.where("n > 0").join(least, "component").select("id", "n", "least")
