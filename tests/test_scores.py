@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import fixed
 from tracemill.functions import scores as S
-from tracemill.functions.text import clean, count_of, java_pattern, sentences, strip, tokens
+from tracemill.functions.text import PUNCTUATION, WS, WS_IN, clean, count_of, java_pattern, sentences, strip, tokens
 from tracemill.operators.features import SOLUTION_FEATURES, cohens_d, fire_rates, fitted, solution_features, step_features, step_rows, trace_features
 
 LITERALS = {
@@ -127,3 +128,18 @@ def test_stop_words_of_all_languages(spark):
     rows = spark.createDataFrame([("der Hund und le chat que la casa de",)], "t string")
     assert sorted(rows.select(S.content_words("t").alias("w")).first()["w"]) == ["casa", "chat", "hund"]
     assert len(set(fixed.STOP_WORDS)) == 707
+
+
+def test_classes_are_those_of_python(spark):
+    """White space, digits and punctuation, each character of the first plane by itself."""
+    chars = [chr(i) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000]
+    df = spark.createDataFrame([(c,) for c in chars], "c string").select("c", *[F.rlike("c", F.lit(f"^{p}\\z")).alias(n) for n, p in (("w", WS), ("p", PUNCTUATION), ("old", f"[{WS_IN}]"))])
+    found = {r["c"]: r for r in df.collect()}
+    assert {c for c in chars if found[c]["w"]} == {c for c in chars if found[c]["old"]} == {c for c in chars if c.isspace()}
+    assert {c for c in chars if found[c]["p"]} == set(string.punctuation)
+
+
+def test_words_of_sentences(spark):
+    texts = ["", " . ", "A b. C\n\nd  e!? F", "one two", "...x y... z　u.\t"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(S.sentence_lengths(tokens(F.lower("t"))).alias("n"))
+    assert [r["n"] for r in df.collect()] == [[n for p in re.split("[.!?]+", t) if (n := len(p.split()))] for t in texts]
